@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from captide.llm import encode, langid, leaks, nearest, packing, splits, turns
+from captide.llm import abuse, encode, langid, leaks, nearest, packing, reading, splits, turns
 from captide.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_batches(spark, d), ["estimated_tokens"], [70_000])
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found_items(table(spark, d, "documents"), table(spark, d, "transcript_segments"), table(spark, d, "abuse_labels"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: table(spark, d, n)
+    return abuse.rates(abuse.score_items(t("documents"), t("transcript_segments"), t("videos"), t("abuse_labels")))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -66,6 +75,18 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leak_report(leaks.leaked_items(documents, items), documents, items)
 
 
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_grades"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.highest_grade(p10_levels(spark, d))
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    return reading.level_profile(p10_levels(spark, d), table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
