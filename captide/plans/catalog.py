@@ -4,26 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captide.operators.periods import periods_and_gaps
+from captide.functions import numbers, text
+from captide.operators import blocks, captions, periods, rangejoin, reports, scenes, speech
+from captide.sources import captionjson
 from captide.sources.tables import table
+from captide.sources.views import CAPTIONS_SQL, CATEGORIES, EVENTS_SQL, SEGMENTS_SQL, content_events, segments
+from captide.sources.views import captions as clean_captions
+from captide.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Periods and gaps of draft scenes per scan and video, and of timing intervals per scan and stage."""
-    cols = ["origin", "scan_id", "entity"]
-    scenes = table(spark, d, "draft_scenes").select(
-        F.lit("scene").alias("origin"), "scan_id", F.col("video_id").alias("entity"), F.col("context_start_ms").alias("start_ms"), F.col("context_end_ms").alias("end_ms")
-    )
-    timings = table(spark, d, "timing_intervals").select(F.lit("timing").alias("origin"), "scan_id", F.col("stage").alias("entity"), "start_ms", "end_ms")
-    return periods_and_gaps(scenes.unionByName(timings), cols, "start_ms", "end_ms")
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the same in SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def categories(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
 
 
-P4_SQL = """
+CATEGORIES_SQL = "cats AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]) AS category)"
+
+
+# -- periods and gaps --------------------------------------------------------------------------
+
+
+@query("""
 WITH i AS (
   SELECT 'scene' AS origin, scan_id, video_id AS entity, context_start_ms AS s, context_end_ms AS e FROM draft_scenes
   UNION ALL SELECT 'timing', scan_id, stage, start_ms, end_ms FROM timing_intervals),
@@ -34,7 +53,580 @@ m AS (SELECT origin, scan_id, entity, p, min(s) AS s, max(e) AS e FROM n GROUP B
 g AS (SELECT *, lead(s) OVER (PARTITION BY origin, scan_id, entity ORDER BY s) AS nxt FROM m)
 SELECT origin, scan_id, entity, 'period' AS kind, s AS start_ms, e AS end_ms FROM g
 UNION ALL SELECT origin, scan_id, entity, 'gap', e, nxt FROM g WHERE nxt IS NOT NULL
-"""
+""")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Periods and gaps of draft scenes per scan and video, and of timing intervals per scan and stage."""
+    cols = ["origin", "scan_id", "entity"]
+    drafts = table(spark, d, "draft_scenes").select(
+        F.lit("scene").alias("origin"), "scan_id", F.col("video_id").alias("entity"), F.col("context_start_ms").alias("start_ms"), F.col("context_end_ms").alias("end_ms")
+    )
+    timings = table(spark, d, "timing_intervals").select(F.lit("timing").alias("origin"), "scan_id", F.col("stage").alias("entity"), "start_ms", "end_ms")
+    return periods.periods_and_gaps(drafts.unionByName(timings), cols, "start_ms", "end_ms")
+
+
+@query("WITH " + EVENTS_SQL + """,
+f AS (SELECT *, max(end_ms) OVER (PARTITION BY video_id, category ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM ev),
+n AS (SELECT *, sum(CASE WHEN r IS NULL OR start_ms > r + 75000 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, category ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS p FROM f)
+SELECT video_id, category, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM n GROUP BY video_id, category, p
+""")
+def scene_islands_75s(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a video and category that lie at most 75 s apart make one scene."""
+    e = content_events(spark, d).withColumn("reach", F.col("end_ms") + 75_000)
+    p = periods.periods_and_gaps(e, ["video_id", "category"], "start_ms", "reach").where("kind = 'period'")
+    return p.select("video_id", "category", "start_ms", (F.col("end_ms") - 75_000).alias("end_ms"))
+
+
+@query("""
+WITH o AS (SELECT DISTINCT scan_id, video_id, context_start_ms AS s, context_end_ms AS e FROM draft_scenes WHERE context_start_ms IS NOT NULL AND context_end_ms > context_start_ms),
+f AS (SELECT *, max(e) OVER (PARTITION BY scan_id, video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM o),
+n AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY scan_id, video_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS p FROM f)
+SELECT scan_id, video_id, min(s) AS start_ms, max(e) AS end_ms FROM n GROUP BY scan_id, video_id, p
+""")
+def evidence_merge_5s(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges of evidence that lie at most 5 s apart are merged."""
+    s = table(spark, d, "draft_scenes").where("context_end_ms > context_start_ms").withColumn("reach", F.col("context_end_ms") + 5_000)
+    p = periods.periods_and_gaps(s, ["scan_id", "video_id"], "context_start_ms", "reach").where("kind = 'period'")
+    return p.select("scan_id", "video_id", "start_ms", (F.col("end_ms") - 5_000).alias("end_ms"))
+
+
+@query("""
+WITH o AS (SELECT DISTINCT scan_id, stage, start_ms AS s, end_ms AS e FROM timing_intervals WHERE start_ms IS NOT NULL AND end_ms > start_ms),
+f AS (SELECT *, max(e) OVER (PARTITION BY scan_id, stage ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM o)
+SELECT scan_id, stage, CAST(sum(greatest(0, e - greatest(s, coalesce(r, s)))) AS BIGINT) AS wall_ms FROM f GROUP BY 1, 2
+""")
+def interval_union_length(spark: SparkSession, d: str) -> DataFrame:
+    """Wall time of a stage, the length of the union of its intervals."""
+    p = periods.periods_and_gaps(table(spark, d, "timing_intervals"), ["scan_id", "stage"], "start_ms", "end_ms").where("kind = 'period'")
+    return p.groupBy("scan_id", "stage").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("wall_ms"))
+
+
+# -- caption text ------------------------------------------------------------------------------
+
+
+@query("WITH " + CAPTIONS_SQL + " SELECT video_id, seg_idx, text, CAST(greatest(1, ceil(strlen(text) / 3.0)) AS BIGINT) AS tokens FROM cap")
+def clean_caption(spark: SparkSession, d: str) -> DataFrame:
+    """P1, P2, H: clean captions without music tags, and their estimated tokens."""
+    return clean_captions(spark, d).select("video_id", "seg_idx", "text", text.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("WITH " + SEGMENTS_SQL + """ SELECT video_id, seg_idx, printf('%02d:%02d:%02d.%03d', start_ms // 3600000, (start_ms // 60000) % 60, (start_ms // 1000) % 60, start_ms % 1000) AS clock,
+  printf('%d:%02d', start_ms // 60000, (start_ms // 1000) % 60) AS label FROM seg""")
+def caption_clock(spark: SparkSession, d: str) -> DataFrame:
+    """Times as text, in full and short."""
+    ms = F.col("start_ms")
+    short = F.format_string("%d:%02d", F.floor(ms / 60_000).cast("bigint"), (F.floor(ms / 1000) % 60).cast("bigint"))
+    return segments(spark, d).select("video_id", "seg_idx", text.clock(ms).alias("clock"), short.alias("label"))
+
+
+def _language(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "videos").where("video_id IS NOT NULL")
+    return v.groupBy("video_id").agg(F.min(text.language_base(F.col("language"))).alias("base"))
+
+
+def _channel(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "videos").where("video_id IS NOT NULL").groupBy("video_id").agg(F.min("channel_id").alias("channel_id"))
+
+
+SPEECH_SQL = CAPTIONS_SQL + r""", wl AS (SELECT video_id, seg_idx, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM cap),
+tok AS (SELECT video_id, seg_idx, generate_subscripts(w, 1) AS k, unnest(w) AS w FROM wl WHERE len(w) > 0),
+lagged AS (SELECT *, lag(w) OVER (PARTITION BY video_id ORDER BY seg_idx, k) AS p FROM tok),
+base AS (SELECT video_id, min(regexp_split_to_array(regexp_replace(lower(language), '^asr-', ''), '[-_]')[1]) AS base FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+cnt AS (SELECT video_id, count(*) AS total_words, sum(CASE WHEN w = p THEN 1 ELSE 0 END) AS repeated,
+  sum((w = 'ну')::INT) AS m1, sum((w = 'короче')::INT) AS m2, sum((w = 'типа')::INT) AS m3, sum((w = 'значит')::INT) AS m5, sum(regexp_matches(w, '^э+$')::INT) AS m6, sum((w = 'эм')::INT) AS m7 FROM lagged GROUP BY 1),
+two AS (SELECT video_id, sum(len(regexp_extract_all(t, '(^|[^\p{L}\p{N}])как\s+бы($|[^\p{L}\p{N}])'))) AS m4 FROM wl WHERE len(w) > 0 GROUP BY 1),
+sm AS (SELECT c.video_id, CAST(total_words AS BIGINT) AS total_words, CAST(repeated AS BIGINT) AS repeated, coalesce(base = 'ru', false) AS ru, m1, m2, m3, m4, m5, m6, m7
+  FROM cnt c JOIN two USING (video_id) LEFT JOIN base USING (video_id)),
+speech AS (SELECT video_id, total_words, CAST(CASE WHEN ru THEN m1 + m2 + m3 + m4 + m5 + m6 + m7 ELSE 0 END AS BIGINT) AS fillers, repeated, CASE WHEN ru THEN 'heuristic_ru_v1' ELSE 'repetition_only_v1' END AS method, m1, m2, m3, m4, m5, m6, m7, ru FROM sm)"""
+BAND_SQL = "CASE WHEN {0} <= 0 THEN 'none' WHEN {0} < 5 THEN 'occasional' WHEN {0} < 15 THEN 'noticeable' ELSE 'frequent' END"
+RATE_SQL = "CASE WHEN total_words > 0 THEN floor({0} * 1000.0 / total_words * 10 + 0.5) / 10 ELSE 0.0 END"
+RATES_SQL = ", ".join(f"{RATE_SQL.format(a)} AS {b}_per_1000, {BAND_SQL.format('(' + RATE_SQL.format(a) + ')')} AS {c}_band" for a, b, c in (("fillers", "fillers", "filler"), ("repeated", "repeated", "repetition")))
+
+
+def _speech(spark: SparkSession, d: str) -> DataFrame:
+    return speech.speech_metrics(clean_captions(spark, d), _language(spark, d))
+
+
+@query("WITH " + SPEECH_SQL + " SELECT video_id, total_words, fillers, repeated, method, " + RATES_SQL + " FROM speech")
+def speech_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Words, fillers and repetitions of each video, and their rates."""
+    return speech.with_rates(_speech(spark, d)).drop("markers")
+
+
+@query("WITH " + SPEECH_SQL + """, chan AS (SELECT video_id, min(channel_id) AS channel_id FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+s AS (SELECT channel_id, count(*) AS videos, CAST(sum(total_words) AS BIGINT) AS total_words, CAST(sum(fillers) AS BIGINT) AS fillers, CAST(sum(repeated) AS BIGINT) AS repeated FROM speech JOIN chan USING (video_id) GROUP BY 1)
+SELECT *, """ + RATES_SQL + " FROM s")
+def speech_channel_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Sums per channel, and rates of the sums."""
+    return speech.channel_speech(_speech(spark, d), _channel(spark, d))
+
+
+@query("WITH " + SPEECH_SQL + """, chan AS (SELECT video_id, min(channel_id) AS channel_id FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+e AS (SELECT video_id, unnest(['ну', 'короче', 'типа', 'как бы', 'значит', 'э/ээ', 'эм']) AS marker, unnest([1, 2, 3, 4, 5, 6, 7]) AS i, unnest([m1, m2, m3, m4, m5, m6, m7]) AS n FROM speech WHERE ru),
+t AS (SELECT channel_id, marker, i, CAST(sum(n) AS BIGINT) AS n FROM e JOIN chan USING (video_id) GROUP BY 1, 2, 3 HAVING sum(n) > 0)
+SELECT channel_id, marker, n, CAST(row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, i) AS INT) AS place FROM t""")
+def filler_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Fillers of each channel by how often they occur."""
+    return speech.channel_markers(_speech(spark, d), _channel(spark, d))
+
+
+@query("WITH " + CAPTIONS_SQL + r""", wl AS (SELECT video_id, seg_idx, lower(text) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM cap),
+e AS (SELECT video_id, seg_idx, unnest(['ну', 'короче', 'типа', 'как бы', 'значит', 'э/ээ', 'эм']) AS marker, unnest([1, 2, 3, 4, 5, 6, 7]) AS i,
+  unnest([list_contains(w, 'ну'), list_contains(w, 'короче'), list_contains(w, 'типа'), regexp_matches(t, '(^|[^\p{L}\p{N}])как\s+бы($|[^\p{L}\p{N}])'), list_contains(w, 'значит'), len(list_filter(w, lambda x: regexp_matches(x, '^э+$'))) > 0, list_contains(w, 'эм')]) AS hit FROM wl),
+r AS (SELECT video_id, seg_idx, marker, CAST(row_number() OVER (PARTITION BY video_id ORDER BY seg_idx, i) AS INT) AS place FROM e WHERE hit)
+SELECT * FROM r WHERE place <= 8""")
+def filler_examples(spark: SparkSession, d: str) -> DataFrame:
+    """The first eight examples of fillers in each video."""
+    return speech.marker_examples(clean_captions(spark, d))
+
+
+@query(r"""
+WITH v AS (SELECT video_id, min(language) AS language, min(caption_source) AS caption_source FROM videos WHERE video_id IS NOT NULL GROUP BY 1),
+p AS (SELECT *, CASE WHEN language IS NOT NULL AND language <> '' THEN replace(lower(language), '_', '-') END AS n FROM v),
+q AS (SELECT *, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 'asr' OR starts_with(n, 'asr-') THEN 'asr' ELSE 'manual' END AS source,
+  nullif(split_part(CASE WHEN n = 'asr' OR starts_with(n, 'asr-') THEN regexp_replace(n, '^asr-?', '') ELSE n END, '-', 1), '') AS base FROM p)
+SELECT video_id, source, base, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 'ru' THEN 'exact' WHEN base IS DISTINCT FROM 'ru' THEN 'different_language' WHEN source = 'asr' THEN 'same_language_asr' ELSE 'same_language_variant' END AS resolution FROM q
+""")
+def caption_language(spark: SparkSession, d: str) -> DataFrame:
+    """Source and base of each video's caption language, and how it answers a request for ``ru``."""
+    v = table(spark, d, "videos").where("video_id IS NOT NULL").groupBy("video_id").agg(F.min("language").alias("language"))
+    _, source, base = text.caption_parts(F.col("language"))
+    return v.select("video_id", source.alias("source"), base.alias("base"), text.caption_resolution(F.lit("ru"), F.col("language")).alias("resolution"))
+
+
+@query(r"""
+WITH a AS (SELECT channel_id, list_sort(list(DISTINCT language)) AS l FROM videos WHERE channel_id IS NOT NULL AND language IS NOT NULL AND language <> '' GROUP BY 1),
+n AS (SELECT channel_id, l, list_transform(l, lambda c: replace(lower(trim(c)), '_', '-')) AS m FROM a),
+i AS (SELECT channel_id, l, list_filter(range(1, len(l) + 1), lambda k: NOT (m[k] = 'asr' OR starts_with(m[k], 'asr-')) AND split_part(m[k], '-', 1) = 'ru') AS r1,
+  list_filter(range(1, len(l) + 1), lambda k: (m[k] = 'asr' OR starts_with(m[k], 'asr-')) AND split_part(regexp_replace(m[k], '^asr-', ''), '-', 1) = 'ru') AS r2,
+  list_filter(range(1, len(l) + 1), lambda k: NOT (m[k] = 'asr' OR starts_with(m[k], 'asr-')) AND split_part(m[k], '-', 1) = 'en') AS e1,
+  list_filter(range(1, len(l) + 1), lambda k: (m[k] = 'asr' OR starts_with(m[k], 'asr-')) AND split_part(regexp_replace(m[k], '^asr-', ''), '-', 1) = 'en') AS e2,
+  list_filter(range(1, len(l) + 1), lambda k: m[k] = 'asr' OR starts_with(m[k], 'asr-')) AS x FROM n)
+SELECT channel_id, l[coalesce(r1[1], r2[1], e1[1], e2[1], x[1])] AS code FROM i
+""")
+def language_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The caption language of each channel that answers the wishes ru, en, asr best."""
+    v = table(spark, d, "videos").where("channel_id IS NOT NULL AND language IS NOT NULL AND language != ''")
+    a = v.groupBy("channel_id").agg(F.array_sort(F.collect_set("language")).alias("l"))  # a channel has few codes
+    return a.select("channel_id", captionjson.select_language(F.col("l"), ["ru", "en", "asr"]).alias("code"))
+
+
+@query("WITH " + CAPTIONS_SQL + """, p AS (SELECT *, lag(lower(text)) OVER (PARTITION BY video_id ORDER BY seg_idx) AS b FROM cap),
+q AS (SELECT video_id, seg_idx, string_split(b, ' ') AS x, string_split(lower(text), ' ') AS y FROM p WHERE b IS NOT NULL)
+SELECT video_id, seg_idx, CAST(coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), n -> x[len(x) - n + 1:] = y[:n])), 0) AS INT) AS words FROM q""")
+def caption_edges(spark: SparkSession, d: str) -> DataFrame:
+    """H: how many words of a caption say the end of the caption before again."""
+    p = blocks.previous(clean_captions(spark, d).select("video_id", "seg_idx", "text"), ["video_id"], "seg_idx", F.col("text"), "before")
+    return p.where("before IS NOT NULL").select("video_id", "seg_idx", text.shared_edge(F.col("before"), F.col("text")).alias("words"))
+
+
+@query()
+def overlap_caption_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Captions without what they repeat of the captions they overlap."""
+    return captions.without_repeats(clean_captions(spark, d))
+
+
+@query("WITH " + SEGMENTS_SQL + " SELECT video_id, seg_idx, sha256(text) AS fingerprint FROM seg")
+def caption_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """H, S17: SHA-256 of each segment's text."""
+    return segments(spark, d).select("video_id", "seg_idx", F.sha2("text", 256).alias("fingerprint"))
+
+
+@query("WITH " + SEGMENTS_SQL + r" SELECT video_id, seg_idx, text, start_ms, end_ms FROM seg WHERE regexp_matches(text, '[^\s\x{00A0}]')")
+def parse_captions(spark: SparkSession, d: str) -> DataFrame:
+    """Segments written as payloads of one caption, of either layout by language, and parsed again."""
+    s = segments(spark, d)
+    plain = F.struct(F.array(F.struct("text", (F.col("start_ms") / 1000).alias("start"), ((F.col("end_ms") - F.col("start_ms")) / 1000).alias("duration"))).alias("transcript"), F.concat_ws("\u0001", "video_id", "seg_idx").alias("video_id"))
+    timed = F.struct(
+        F.array(F.struct(F.col("start_ms").alias("tStartMs"), (F.col("end_ms") - F.col("start_ms")).alias("dDurationMs"), F.array(F.struct(F.col("text").alias("utf8"))).alias("segs"))).alias("events"),
+        F.concat_ws("\u0001", "video_id", "seg_idx").alias("video_id"),
+    )
+    bodies = s.select(F.when(F.length("text") % 2 == 0, F.to_json(plain)).otherwise(F.to_json(timed)).alias("body"))
+    key = F.split("video_id", "\u0001")
+    return captionjson.parse_captions(bodies, "body").select(key[0].alias("video_id"), key[1].cast("int").alias("seg_idx"), "text", "start_ms", "end_ms")
+
+
+# -- joins on time -----------------------------------------------------------------------------
+
+
+@query("WITH " + EVENTS_SQL + """ SELECT a.event_id AS id_a, b.event_id AS id_b FROM ev a JOIN ev b ON a.video_id = b.video_id AND a.category = b.category AND a.subtype = b.subtype
+  AND a.event_id < b.event_id AND a.start_ms <= b.end_ms + 2000 AND a.end_ms >= b.start_ms - 2000""")
+def overlap_pairs_2s(spark: SparkSession, d: str) -> DataFrame:
+    """Events of one video, category and subtype that overlap within 2 s."""
+    e = content_events(spark, d).select("video_id", "category", "subtype", "event_id", "start_ms", "end_ms")
+    b = e.toDF("video_id", "category", "subtype", "id_b", "b_start", "b_end")
+    j = rangejoin.overlap_join(e.withColumnRenamed("event_id", "id_a"), b, ["video_id", "category", "subtype"], "start_ms", "end_ms", "b_start", "b_end", pad=2_000)
+    return j.where("id_a < id_b").select("id_a", "id_b")
+
+
+GOLD_SQL = "gold AS (SELECT DISTINCT gold_id, video_id, start_ms, attention FROM compot_gold WHERE gold_id IS NOT NULL AND video_id IS NOT NULL AND start_ms IS NOT NULL)"
+CONTROLS_SQL = "ctl AS (SELECT DISTINCT control_id, video_id, at_ms, mode FROM compot_recall_controls WHERE control_id IS NOT NULL AND video_id IS NOT NULL AND at_ms IS NOT NULL)"
+SCENES_SQL = "sc AS (SELECT DISTINCT scan_id, video_id, scene_id, context_start_ms AS s, context_end_ms AS e FROM draft_scenes WHERE context_start_ms IS NOT NULL AND context_end_ms > context_start_ms AND video_id IS NOT NULL)"
+
+
+def _gold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "compot_gold").select("gold_id", "video_id", "start_ms", "attention").where("gold_id IS NOT NULL AND video_id IS NOT NULL AND start_ms IS NOT NULL").distinct()
+
+
+def _controls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "compot_recall_controls").select("control_id", "video_id", "at_ms", "mode").where("control_id IS NOT NULL AND video_id IS NOT NULL AND at_ms IS NOT NULL").distinct()
+
+
+def _scenes(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "draft_scenes").where("context_start_ms IS NOT NULL AND context_end_ms > context_start_ms AND video_id IS NOT NULL")
+    return s.select("scan_id", "video_id", "scene_id", F.col("context_start_ms").alias("s"), F.col("context_end_ms").alias("e")).distinct()
+
+
+@query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """ SELECT g.gold_id, s.seg_idx FROM gold g JOIN seg s ON s.video_id = g.video_id AND s.start_ms <= g.start_ms + 5000 AND s.end_ms >= g.start_ms""")
+def covered_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments that the five seconds from each gold label on overlap."""
+    g = _gold(spark, d).select("gold_id", "video_id", F.col("start_ms").alias("g_start"), (F.col("start_ms") + 5_000).alias("g_end"))
+    s = segments(spark, d).select("video_id", "seg_idx", "start_ms", "end_ms")
+    return rangejoin.overlap_join(g, s, ["video_id"], "g_start", "g_end", "start_ms", "end_ms").select("gold_id", "seg_idx")
+
+
+@query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """, w AS (SELECT DISTINCT video_id, greatest(0, start_ms - 120000) AS s, start_ms + 180000 AS e FROM gold),
+f AS (SELECT *, max(e) OVER (PARTITION BY video_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w),
+n AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS p FROM f),
+m AS (SELECT video_id, min(s) AS window_start, max(e) AS window_end FROM n GROUP BY video_id, p)
+SELECT m.video_id, window_start, window_end, count(*) AS segments, min(seg_idx) AS first_seg, max(seg_idx) AS last_seg FROM m JOIN seg s ON s.video_id = m.video_id AND s.start_ms <= window_end AND s.end_ms >= window_start GROUP BY 1, 2, 3""")
+def review_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of -120 s to +180 s around labels, merged, and the segments in them."""
+    g = _gold(spark, d).select("video_id", F.greatest(F.lit(0), F.col("start_ms") - 120_000).alias("s"), (F.col("start_ms") + 180_000).alias("e"))
+    w = periods.periods_and_gaps(g, ["video_id"], "s", "e").where("kind = 'period'").select("video_id", F.col("start_ms").alias("window_start"), F.col("end_ms").alias("window_end"))
+    j = rangejoin.overlap_join(w, segments(spark, d).select("video_id", "seg_idx", "start_ms", "end_ms"), ["video_id"], "window_start", "window_end", "start_ms", "end_ms", bucket=300_000)
+    return j.groupBy("video_id", "window_start", "window_end").agg(F.count("*").alias("segments"), F.min("seg_idx").alias("first_seg"), F.max("seg_idx").alias("last_seg"))
+
+
+@query("WITH " + CONTROLS_SQL + ", " + SCENES_SQL + """ SELECT control_id, EXISTS (SELECT 1 FROM sc WHERE sc.video_id = ctl.video_id AND sc.e - sc.s <= 150000 AND ctl.at_ms >= sc.s - 20000 AND ctl.at_ms <= sc.e + 20000) AS represented FROM ctl""")
+def control_in_scene(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a control's time lies within 20 s of a scene of at most 150 s."""
+    c = _controls(spark, d)
+    s = _scenes(spark, d).where("e - s <= 150000").select("video_id", "s", "e").distinct()
+    hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), s, ["video_id"], "at_ms", "at_end", "s", "e", pad=20_000).select("control_id").distinct()
+    return c.select("control_id").join(hit.withColumn("represented", F.lit(True)), "control_id", "left").na.fill(False, ["represented"])
+
+
+@query("WITH " + CONTROLS_SQL + ", " + GOLD_SQL + """, h AS (SELECT control_id, mode, bool_or(g.gold_id IS NOT NULL) AS label, bool_or(coalesce(g.attention = 'main', false)) AS main
+  FROM ctl LEFT JOIN gold g ON g.video_id = ctl.video_id AND abs(g.start_ms - ctl.at_ms) <= 5000 GROUP BY 1, 2),
+o AS (SELECT mode, CASE WHEN mode = 'required_main' THEN CASE WHEN main THEN 'pass' ELSE 'miss' END WHEN mode = 'required_event' THEN CASE WHEN label THEN 'pass' ELSE 'miss' END ELSE CASE WHEN main THEN 'miss' ELSE 'pass' END END AS outcome FROM h)
+SELECT mode, count(*) AS controls, CAST(count_if(outcome = 'pass') AS BIGINT) AS passed, CAST(count_if(outcome = 'miss') AS BIGINT) AS missed FROM o GROUP BY 1""")
+def control_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Controls by mode that have a label, or a main one, within 5 s."""
+    g = _gold(spark, d).select("video_id", F.col("start_ms").alias("g_start"), F.col("start_ms").alias("g_end"), "attention")
+    c = _controls(spark, d)
+    hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), g, ["video_id"], "at_ms", "at_end", "g_start", "g_end", pad=5_000)
+    hit = hit.groupBy("control_id").agg(F.lit(True).alias("label"), F.max(F.coalesce(F.col("attention") == "main", F.lit(False))).alias("main"))
+    h = c.join(hit, "control_id", "left").na.fill(False, ["label", "main"])
+    ok = F.when(F.col("mode") == "required_main", F.col("main")).when(F.col("mode") == "required_event", F.col("label")).otherwise(~F.col("main"))
+    return h.groupBy("mode").agg(F.count("*").alias("controls"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("missed"))
+
+
+@query("WITH " + SCENES_SQL + """, st AS (SELECT DISTINCT scan_id, video_id, scene_id, s, e FROM sc)
+SELECT a.scan_id, a.video_id, a.scene_id, a.s AS start_ms FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.video_id = a.video_id AND b.scan_id <> a.scan_id AND a.s <= b.e + 3000 AND a.e >= b.s - 3000)""")
+def vanished_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes that no other scan of the same video has within 3 s."""
+    a = _scenes(spark, d)
+    b = a.select(F.col("scan_id").alias("other"), "video_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
+    hit = rangejoin.overlap_join(a, b, ["video_id"], "s", "e", "s2", "e2", pad=3_000).where("scan_id != other").select("scan_id", "video_id", "scene_id", "s").distinct()
+    return a.join(hit, ["scan_id", "video_id", "scene_id", "s"], "left_anti").select("scan_id", "video_id", "scene_id", F.col("s").alias("start_ms")).distinct()
+
+
+@query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """, c AS (SELECT DISTINCT g.gold_id, g.video_id, s.seg_idx, s.start_ms, s.end_ms, s.text FROM gold g JOIN seg s ON s.video_id = g.video_id AND s.start_ms <= g.start_ms + 5000 AND s.end_ms >= g.start_ms),
+i AS (SELECT *, seg_idx - row_number() OVER (PARTITION BY gold_id, video_id ORDER BY seg_idx) AS island FROM c)
+SELECT gold_id, video_id, min(seg_idx) AS first_seg, max(seg_idx) AS last_seg, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM i GROUP BY gold_id, video_id, island""")
+def evidence_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of each label as ranges of consecutive segments, with times and text."""
+    c = covered_segments(spark, d).join(_gold(spark, d).select("gold_id", "video_id"), "gold_id").join(segments(spark, d), ["video_id", "seg_idx"]).distinct()
+    i = c.withColumn("island", F.col("seg_idx") - F.row_number().over(Window.partitionBy("gold_id", "video_id").orderBy("seg_idx")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"]), " ")  # five seconds of speech
+    return i.groupBy("gold_id", "video_id", "island").agg(
+        F.min("seg_idx").alias("first_seg"), F.max("seg_idx").alias("last_seg"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), joined.alias("text")
+    ).drop("island")
+
+
+@query("WITH " + SEGMENTS_SQL + r""", a AS (SELECT DISTINCT id, source_video AS video_id, unnest(list_distinct(regexp_extract_all(lower(anchor), '[\p{L}\p{N}]+'))) AS w FROM parental_quality_manual WHERE id IS NOT NULL AND anchor IS NOT NULL),
+n AS (SELECT id, count(*) AS n FROM a GROUP BY 1),
+s AS (SELECT video_id, seg_idx, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM seg),
+h AS (SELECT a.id, s.seg_idx, count(*) AS hits FROM a JOIN s USING (video_id, w) GROUP BY 1, 2),
+r AS (SELECT id, seg_idx, CAST(hits AS BIGINT) AS hits, n, row_number() OVER (PARTITION BY id ORDER BY hits DESC, seg_idx) AS k FROM h JOIN n USING (id))
+SELECT id, seg_idx, floor(hits * 1.0 / n * 10000 + 0.5) / 10000 AS containment FROM r WHERE k = 1""")
+def anchor_containment(spark: SparkSession, d: str) -> DataFrame:
+    """The segment of its video that holds most of an anchor's words, and their share."""
+    a = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND anchor IS NOT NULL").select("id", F.col("source_video").alias("video_id"), F.explode(F.array_distinct(text.words(F.col("anchor")))).alias("w")).distinct()
+    n = a.groupBy("id").agg(F.count("*").alias("n"))
+    s = segments(spark, d).join(a.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "seg_idx", F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
+    h = a.join(s, ["video_id", "w"]).groupBy("id", "seg_idx").agg(F.count("*").alias("hits"))
+    best = h.groupBy("id").agg(F.max_by(F.struct("seg_idx", "hits"), F.struct("hits", -F.col("seg_idx"))).alias("x"))
+    return best.join(n, "id").select("id", "x.seg_idx", numbers.round_half_up(F.col("x.hits") / F.col("n"), 4).alias("containment"))
+
+
+# -- choosing, merging, packing ----------------------------------------------------------------
+
+
+@query("WITH " + EVENTS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id, category, subtype ORDER BY confidence DESC, event_id) AS k FROM ev)
+SELECT scene_id, category, subtype, event_id, confidence, start_ms, end_ms FROM r WHERE k = 1""")
+def dedupe_argmax(spark: SparkSession, d: str) -> DataFrame:
+    """Of the events of a scene, category and subtype the one of the highest confidence."""
+    e = content_events(spark, d).select("scene_id", "category", "subtype", "event_id", "confidence", "start_ms", "end_ms")
+    return reports.strongest(e, ["scene_id", "category", "subtype"], "event_id")
+
+
+@query()
+def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Events kept in order, a later one within 2 s replacing a kept one of lower confidence."""
+    return scenes.greedy_unique(content_events(spark, d), ["video_id", "category", "subtype"], "event_id")
+
+
+@query()
+def merge_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes joined where they overlap by 0.4 and share a category."""
+    return scenes.merged_scenes(table(spark, d, "draft_scenes"))
+
+
+@query()
+def max_matching(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest number of pairs of scenes and labels that overlap, per scan and merged stretch."""
+    g = _gold(spark, d).select("video_id", "gold_id", F.col("start_ms").alias("g_start"), (F.col("start_ms") + 5_000).alias("g_end"))
+    s = _scenes(spark, d)
+    stretch = periods.periods_and_gaps(s.select("scan_id", "video_id", (F.col("s") - 5_000).alias("s"), "e"), ["scan_id", "video_id"], "s", "e").where("kind = 'period'")
+    stretch = stretch.select("scan_id", "video_id", F.col("start_ms").alias("stretch"), F.col("end_ms").alias("stretch_end"))
+    pairs = rangejoin.overlap_join(s, g, ["video_id"], "s", "e", "g_start", "g_end")
+    inside = rangejoin.overlap_join(pairs.withColumn("at", F.col("s")), stretch, ["scan_id", "video_id"], "s", "at", "stretch", "stretch_end")
+    return scenes.matching(inside, ["scan_id", "video_id", "stretch"], "scene_id", "gold_id")
+
+
+ITEMS_SQL = "it AS (SELECT DISTINCT item_id, job_id, coalesce(estimated_tokens, 0) AS n FROM transcript_chunks WHERE item_id IS NOT NULL AND job_id IS NOT NULL)"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "transcript_chunks").where("item_id IS NOT NULL AND job_id IS NOT NULL")
+    return t.select("item_id", "job_id", F.coalesce("estimated_tokens", F.lit(0)).alias("n")).distinct()
+
+
+@query("WITH RECURSIVE " + ITEMS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY item_id) AS k FROM it),
+b AS (SELECT job_id, item_id, k, n AS s, 1 AS c, 0 AS batch FROM o WHERE k = 1
+  UNION ALL SELECT o.job_id, o.item_id, o.k, CASE WHEN b.s + o.n > 70000 OR b.c >= 5 THEN o.n ELSE b.s + o.n END, CASE WHEN b.s + o.n > 70000 OR b.c >= 5 THEN 1 ELSE b.c + 1 END,
+  CASE WHEN b.s + o.n > 70000 OR b.c >= 5 THEN b.batch + 1 ELSE b.batch END FROM b JOIN o ON o.job_id = b.job_id AND o.k = b.k + 1)
+SELECT job_id, item_id, batch FROM b""")
+def pack_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of each job in batches of at most 70,000 tokens and five items, in order."""
+    return captions.batches(_items(spark, d), "job_id", "item_id", "n", 70_000, 5)
+
+
+@query()
+def chunk_transcript(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts in chunks of at most 30,000 estimated tokens that overlap by 90 s."""
+    return captions.chunks(clean_captions(spark, d))
+
+
+APPORTION_SQL = """WITH o AS (SELECT l_orderkey, l_linenumber, greatest(1, CAST(l_quantity AS BIGINT)) AS w, greatest(0, CAST(floor(o_totalprice) AS BIGINT)) AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+g AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey) AS s, count(*) OVER (PARTITION BY l_orderkey) AS n FROM o),
+f AS (SELECT *, CAST((t * w) // s AS BIGINT) AS f, CAST((t * w) % s AS BIGINT) AS m FROM g),
+p AS (SELECT *, t - sum(f) OVER (PARTITION BY l_orderkey) AS rest, row_number() OVER (PARTITION BY l_orderkey ORDER BY m DESC, l_linenumber, w) - 1 AS p FROM f)
+SELECT l_orderkey, l_linenumber, CAST(f + CASE WHEN (p - {0} + n) % n < rest THEN 1 ELSE 0 END AS BIGINT) AS share FROM p"""
+
+
+def _order_lines(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor("o_totalprice").cast("bigint").alias("total"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").join(o, "l_orderkey")
+
+
+@query(APPORTION_SQL.format("0"))
+def apportion_largest_remainder(spark: SparkSession, d: str) -> DataFrame:
+    """An order's whole total over its lines by quantity, without rest."""
+    return reports.apportioned(_order_lines(spark, d), "l_orderkey", "l_linenumber", "total", "l_quantity")
+
+
+@query(APPORTION_SQL.format("CAST((t - rest) % n AS BIGINT)"))
+def apportion_offset(spark: SparkSession, d: str) -> DataFrame:
+    """A14, the second variant: the rest is given out from an offset on."""
+    return reports.apportioned(_order_lines(spark, d), "l_orderkey", "l_linenumber", "total", "l_quantity", offset=True)
+
+
+# -- reports -----------------------------------------------------------------------------------
+
+
+@query("WITH " + EVENTS_SQL + """, r AS (SELECT *, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS k FROM ev),
+""" + CATEGORIES_SQL + """, v AS (SELECT DISTINCT video_id FROM ev),
+a AS (SELECT video_id, category, count(*) AS events, CAST(count_if(k >= 2) AS BIGINT) AS shown, max(k) AS level, array_to_string(list_sort(list(DISTINCT subtype)), ',') AS subtypes FROM r GROUP BY 1, 2)
+SELECT v.video_id, c.category, coalesce(events, 0) AS events, coalesce(shown, 0) AS shown, coalesce(level, 0) AS level, coalesce(subtypes, '') AS subtypes FROM v CROSS JOIN cats c LEFT JOIN a ON a.video_id = v.video_id AND a.category = c.category""")
+def video_category_report(spark: SparkSession, d: str) -> DataFrame:
+    """Events per video and category, with zero rows."""
+    return reports.video_categories(content_events(spark, d), categories(spark))
+
+
+@query("WITH " + EVENTS_SQL + """, """ + CATEGORIES_SQL + """, p AS (SELECT category, video_id, count(*) AS n, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS k FROM ev GROUP BY 1, 2),
+b AS (SELECT category, count(*) AS raw_videos, CAST(count_if(k >= 2) AS BIGINT) AS videos, CAST(count_if(k = 3) AS BIGINT) AS high_videos, CAST(sum(n) AS BIGINT) AS events, max(k) AS peak FROM p GROUP BY 1),
+z AS (SELECT c.category, coalesce(raw_videos, 0) AS raw_videos, coalesce(videos, 0) AS videos, coalesce(high_videos, 0) AS high_videos, coalesce(events, 0) AS events, coalesce(peak, 0) AS peak, (SELECT count(DISTINCT video_id) FROM ev) AS t FROM cats c LEFT JOIN b USING (category))
+SELECT category, raw_videos, videos, high_videos, events, peak, CASE WHEN videos = 0 OR t = 0 THEN 'none' WHEN videos * 1.0 / t <= 0.2 THEN 'rare' WHEN videos * 1.0 / t <= 0.5 THEN 'occasional' WHEN videos * 1.0 / t <= 0.8 THEN 'common' ELSE 'pervasive' END AS band FROM z""")
+def channel_category_report(spark: SparkSession, d: str) -> DataFrame:
+    """Videos and events per category over all videos, with zero rows, and how widespread it is."""
+    return reports.channel_categories(content_events(spark, d), categories(spark))
+
+
+@query("WITH " + EVENTS_SQL + """, b AS (SELECT category, subtype, count(*) AS events, count(DISTINCT video_id) AS videos FROM ev GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY events DESC, subtype) AS INT) AS place FROM b""")
+def subtype_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Events and videos per subtype, in order."""
+    return reports.subtype_stats(content_events(spark, d))
+
+
+@query("""WITH t AS (SELECT DISTINCT scan_id, stage, start_ms, end_ms FROM timing_intervals WHERE end_ms >= start_ms)
+SELECT stage, count(*) AS calls, CAST(sum(end_ms - start_ms) AS BIGINT) AS busy_ms, max(end_ms - start_ms) AS longest_ms, arg_max(scan_id, (end_ms - start_ms, scan_id)) AS slowest_scan FROM t GROUP BY 1""")
+def stage_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and time per stage, and the scan with the longest call."""
+    t = table(spark, d, "timing_intervals").where("end_ms >= start_ms").select("scan_id", "stage", (F.col("end_ms") - F.col("start_ms")).alias("n"), "start_ms").distinct()
+    return t.groupBy("stage").agg(F.count("*").alias("calls"), F.sum("n").alias("busy_ms"), F.max("n").alias("longest_ms"), F.max_by("scan_id", F.struct("n", "scan_id")).alias("slowest_scan"))
+
+
+@query("""WITH t AS (SELECT DISTINCT scan_id, stage, start_ms, end_ms FROM timing_intervals WHERE end_ms >= start_ms)
+SELECT scan_id, stage, start_ms, end_ms, CAST(sum(end_ms - start_ms) OVER w AS BIGINT) AS busy_ms, count(*) OVER w AS calls FROM t WINDOW w AS (PARTITION BY scan_id, stage ORDER BY start_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW)""")
+def rolling_minute(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and their time in the minute before each call, per scan and stage."""
+    t = table(spark, d, "timing_intervals").where("end_ms >= start_ms").select("scan_id", "stage", "start_ms", "end_ms").distinct()
+    w = Window.partitionBy("scan_id", "stage").orderBy("start_ms").rangeBetween(-60_000, 0)
+    return t.select("*", F.sum(F.col("end_ms") - F.col("start_ms")).over(w).alias("busy_ms"), F.count("*").over(w).alias("calls"))
+
+
+@query("WITH " + CAPTIONS_SQL + r""", f AS (SELECT video_id, seg_idx, lower(string_agg(text, ' ') OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS t FROM cap),
+c AS (SELECT video_id, seg_idx, regexp_matches(t, 'hammer|молот|hammer|marteau|martillo') AS tool, regexp_matches(t, 'drops|роняет|lässt|lâche|упускає|deja caer') AS act, regexp_matches(t, 'dragon|дракон|drachen|dragón') AS alarm FROM f)
+SELECT video_id, seg_idx, CAST(2 + CASE WHEN alarm THEN 3 ELSE 0 END AS INT) AS score FROM c WHERE tool AND act""")
+def cue_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Captions whose surroundings (two before, two after) name a tool and its fall, scored higher
+    with an alarm. Frames of a video lie in blocks whose borders are shared."""
+    c = blocks.with_margins(_numbered(clean_captions(spark, d)), "pos", 2)
+    w = Window.partitionBy("video_id", "_b").orderBy("pos").rowsBetween(-2, 2)
+    f = c.withColumn("t", F.lower(F.array_join(F.collect_list("text").over(w), " "))).where("_own")
+    hit = f.where(F.col("t").rlike("hammer|молот|hammer|marteau|martillo") & F.col("t").rlike("drops|роняет|lässt|lâche|упускає|deja caer"))
+    return hit.select("video_id", "seg_idx", (F.lit(2) + F.when(F.col("t").rlike("dragon|дракон|drachen|dragón"), 3).otherwise(0)).alias("score"))
+
+
+def _numbered(c: DataFrame) -> DataFrame:
+    """Adds ``pos``, the place of a caption in its video, counted by blocks of segments."""
+    b = c.withColumn("_b", blocks.block_of("seg_idx"))
+    n = b.groupBy("video_id", "_b").agg(F.count("*").alias("_n"))
+    before = n.select("video_id", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("video_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy("video_id", "_b").orderBy("seg_idx")) - 1
+    return b.join(before, ["video_id", "_b"]).withColumn("pos", F.col("_o") + inside).drop("_b", "_o")
+
+
+@query("WITH " + EVENTS_SQL + """, r AS (SELECT video_id, event_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, event_id DESC) AS INT) AS place FROM ev) SELECT * FROM r WHERE place <= 5""")
+def top_events(spark: SparkSession, d: str) -> DataFrame:
+    """The five events of the highest confidence in each video, later ones first among equals."""
+    w = Window.partitionBy("video_id").orderBy(F.desc("confidence"), F.desc("event_id"))
+    return content_events(spark, d).select("video_id", "event_id", F.row_number().over(w).alias("place")).where("place <= 5")
+
+
+@query("""WITH r AS (SELECT video_id, scene_id, scan_id, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY scan_id DESC) AS k FROM (SELECT DISTINCT video_id, scene_id, scan_id FROM draft_scenes WHERE video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL))
+SELECT video_id, scene_id, scan_id FROM r WHERE k = 1""")
+def newest_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Of each scene id the newest scan."""
+    s = table(spark, d, "draft_scenes").where("video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL")
+    return s.groupBy("video_id", "scene_id").agg(F.max("scan_id").alias("scan_id"))
+
+
+@query("WITH " + GOLD_SQL + " SELECT video_id, CAST(count_if(attention = 'main') AS BIGINT) AS main, CAST(count_if(attention = 'details') AS BIGINT) AS details, CAST(count_if(attention = 'hidden') AS BIGINT) AS hidden FROM gold GROUP BY 1")
+def attention_pivot(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of each video by attention."""
+    p = _gold(spark, d).groupBy("video_id").pivot("attention", ["main", "details", "hidden"]).agg(F.count(F.lit(1)))
+    return p.na.fill(0)
+
+
+@query("WITH " + GOLD_SQL + """, v AS (SELECT DISTINCT video_id FROM videos WHERE video_id IS NOT NULL), n AS (SELECT video_id, count(*) AS labels FROM gold GROUP BY 1)
+SELECT coalesce(v.video_id, n.video_id) AS video_id, coalesce(labels, 0) AS labels, CASE WHEN v.video_id IS NULL THEN 'unknown' WHEN n.video_id IS NULL THEN 'missing' ELSE 'matched' END AS status FROM v FULL JOIN n ON v.video_id = n.video_id""")
+def label_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Videos and labels that match, and those that lack the other."""
+    v = table(spark, d, "videos").where("video_id IS NOT NULL").select("video_id").distinct().withColumn("v", F.lit(1))
+    n = _gold(spark, d).groupBy("video_id").agg(F.count("*").alias("labels"))
+    j = v.join(n, "video_id", "full")
+    status = F.when(F.col("v").isNull(), "unknown").when(F.col("labels").isNull(), "missing").otherwise("matched")
+    return j.select("video_id", F.coalesce("labels", F.lit(0)).alias("labels"), status.alias("status"))
+
+
+@query("""WITH s AS (SELECT DISTINCT scan_id, video_id, unnest(categories) AS c FROM draft_scenes WHERE scan_id IS NOT NULL AND video_id IS NOT NULL),
+f AS (SELECT video_id, min(scan_id) AS first FROM s GROUP BY 1),
+n AS (SELECT video_id, scan_id, count(*) AS n FROM s GROUP BY 1, 2),
+b AS (SELECT x.video_id, x.scan_id, count(*) AS shared FROM s x JOIN f USING (video_id) JOIN s y ON y.video_id = x.video_id AND y.scan_id = f.first AND y.c = x.c GROUP BY 1, 2)
+SELECT n.video_id, n.scan_id, floor(coalesce(shared, 0) * 1.0 / (n.n + m.n - coalesce(shared, 0)) * 10000 + 0.5) / 10000 AS jaccard
+FROM n JOIN f USING (video_id) JOIN n m ON m.video_id = n.video_id AND m.scan_id = f.first LEFT JOIN b ON b.video_id = n.video_id AND b.scan_id = n.scan_id WHERE n.scan_id <> f.first""")
+def scan_stability(spark: SparkSession, d: str) -> DataFrame:
+    """How alike the categories of a video are in a later scan and in its first."""
+    s = table(spark, d, "draft_scenes").where("scan_id IS NOT NULL AND video_id IS NOT NULL")
+    sets = s.select("video_id", "scan_id", F.explode("categories").alias("c")).groupBy("video_id", "scan_id").agg(F.collect_set("c").alias("c"))  # nine categories at most
+    first = sets.groupBy("video_id").agg(F.min_by(F.struct(F.col("scan_id").alias("scan"), F.col("c").alias("c")), "scan_id").alias("f"))
+    j = sets.join(first, "video_id").where("scan_id != f.scan")
+    return j.select("video_id", "scan_id", numbers.round_half_up(F.size(F.array_intersect("c", "f.c")) / F.size(F.array_union("c", "f.c")), 4).alias("jaccard"))
+
+
+@query("""WITH t AS (SELECT DISTINCT source_video AS v FROM parental_quality_manual WHERE lower(trim(split)) = 'tuning' AND source_video IS NOT NULL),
+h AS (SELECT DISTINCT source_video AS v FROM parental_quality_manual WHERE lower(trim(split)) = 'holdout' AND source_video IS NOT NULL)
+SELECT 'both' AS part, v AS video_id FROM (SELECT v FROM t INTERSECT SELECT v FROM h) UNION ALL SELECT 'holdout_only', v FROM (SELECT v FROM h EXCEPT SELECT v FROM t) UNION ALL SELECT 'tuning_only', v FROM (SELECT v FROM t EXCEPT SELECT v FROM h)""")
+def split_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Videos of both splits, and of one alone."""
+    p = table(spark, d, "parental_quality_manual").where("source_video IS NOT NULL")
+    of = lambda name: p.where(F.lower(F.trim("split")) == name).select(F.col("source_video").alias("video_id"))
+    t, h = of("tuning"), of("holdout")
+    part = lambda df, name: df.select(F.lit(name).alias("part"), "video_id")
+    return part(t.intersect(h), "both").unionByName(part(h.subtract(t), "holdout_only")).unionByName(part(t.subtract(h), "tuning_only"))
+
+
+@query("WITH " + CONTROLS_SQL + ", " + GOLD_SQL + """, m AS (SELECT c.control_id, c.mode, count(g.gold_id) > 0 AS hit FROM ctl c LEFT JOIN gold g ON g.video_id = c.video_id AND abs(g.start_ms - c.at_ms) <= 5000 AND g.attention <> 'hidden' GROUP BY 1, 2),
+q AS (SELECT CAST(count_if(hit AND mode <> 'no_main') AS BIGINT) AS tp, CAST(count_if(hit AND mode = 'no_main') AS BIGINT) AS fp, CAST(count_if(NOT hit AND mode <> 'no_main') AS BIGINT) AS fn, CAST(count_if(NOT hit AND mode = 'no_main') AS BIGINT) AS tn FROM m)
+SELECT *, floor(CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) END * 10000 + 0.5) / 10000 AS precision, floor(CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) END * 10000 + 0.5) / 10000 AS recall FROM q""")
+def control_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, precision and recall of visible labels against the controls."""
+    g = _gold(spark, d).where("attention != 'hidden'").select("video_id", F.col("start_ms").alias("g_start"), F.col("start_ms").alias("g_end"))
+    c = _controls(spark, d)
+    hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), g, ["video_id"], "at_ms", "at_end", "g_start", "g_end", pad=5_000).select("control_id").distinct()
+    m = c.join(hit.withColumn("hit", F.lit(True)), "control_id", "left").na.fill(False, ["hit"])
+    want, got = F.col("mode") != "no_main", F.col("hit")
+    q = m.agg(F.count_if(got & want).alias("tp"), F.count_if(got & ~want).alias("fp"), F.count_if(~got & want).alias("fn"), F.count_if(~got & ~want).alias("tn"))
+    ratio = lambda a, b: numbers.round_half_up(F.try_divide(a, a + b), 4)
+    return q.withColumns({"precision": ratio(F.col("tp"), F.col("fp")), "recall": ratio(F.col("tp"), F.col("fn"))})
+
+
+@query("""WITH o AS (SELECT id, list_distinct(list_transform(categories, lambda c: CASE WHEN c IN ('alcohol_and_drugs', 'tobacco_and_nicotine') THEN 'substances' ELSE c END)) AS c FROM (SELECT DISTINCT id, categories FROM parental_quality_manual WHERE id IS NOT NULL AND categories IS NOT NULL))
+SELECT id, c AS category, pos FROM (SELECT id, unnest(list_sort(c)) AS c, generate_subscripts(c, 1) AS pos FROM o)""")
+def requested_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of each case, old names mapped, once each, in order of name."""
+    p = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND categories IS NOT NULL").select("id", "categories").distinct()
+    named = F.array_sort(F.array_distinct(F.transform("categories", lambda c: F.when(c.isin("alcohol_and_drugs", "tobacco_and_nicotine"), "substances").otherwise(c))))
+    return p.select("id", F.posexplode(named).alias("p", "category")).select("id", "category", (F.col("p") + 1).alias("pos"))
+
+
+@query("WITH " + GOLD_SQL + """, v AS (SELECT video_id, min(channel_id) AS channel_id FROM videos WHERE video_id IS NOT NULL GROUP BY 1)
+SELECT channel_id, CAST(n AS BIGINT) AS n, CAST(n AS VARCHAR) || ' ' || CASE WHEN n % 100 BETWEEN 11 AND 14 THEN 'сцен' WHEN n % 10 = 1 THEN 'сцена' WHEN n % 10 BETWEEN 2 AND 4 THEN 'сцены' ELSE 'сцен' END AS summary FROM (SELECT channel_id, count_if(attention = 'main') AS n FROM gold JOIN v USING (video_id) GROUP BY 1)""")
+def channel_summary_text(spark: SparkSession, d: str) -> DataFrame:
+    """The number of main labels of each channel, as text with its plural form."""
+    j = _gold(spark, d).join(_channel(spark, d), "video_id").groupBy("channel_id").agg(F.count_if(F.col("attention") == "main").alias("n"))
+    return j.select("channel_id", "n", F.concat_ws(" ", F.col("n").cast("string"), numbers.count_form(F.col("n"), "сцена", "сцены", "сцен")).alias("summary"))
+
+
+@query("WITH " + SEGMENTS_SQL + " SELECT video_id, seg_idx, start_ms, end_ms FROM seg")
+def minimal_result_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Segments as structs, without the text that a minimal result must not hold."""
+    s = segments(spark, d).select("video_id", "seg_idx", F.array(F.struct("text", "start_ms", "end_ms")).alias("evidence"))
+    return captionjson.without(s, ("text",)).select("video_id", "seg_idx", F.col("evidence")[0]["start_ms"].alias("start_ms"), F.col("evidence")[0]["end_ms"].alias("end_ms"))
+
+
+@query("""WITH m AS (SELECT item_id, min(job_id) AS job_id, min(created_at) AS made FROM transcript_chunks WHERE item_id IS NOT NULL GROUP BY 1),
+v AS (SELECT job_id, min(made) AS first_at, count(*) AS items FROM m GROUP BY 1) SELECT job_id, items, epoch_us(first_at) AS first_us, CAST(rank() OVER (ORDER BY items DESC) AS INT) AS place FROM v QUALIFY place <= 20""")
+def largest_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty jobs with the most distinct items, and when they began."""
+    m = table(spark, d, "transcript_chunks").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("job_id").alias("job_id"), F.min("created_at").alias("made"))
+    v = m.groupBy("job_id").agg(F.min("made").alias("first_at"), F.count("*").alias("items"))
+    top = v.select("job_id", "items", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_us"), F.rank().over(Window.orderBy(F.desc("items"))).alias("place"))
+    return top.where("place <= 20")
+
+
+# -- streams (an extension) --------------------------------------------------------------------
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Counts per hour and type, by a stream over the events."""
+    out = windows.run_to_table(windows.tumbling_counts(windows.read_events(spark, f"{d}/events.parquet")), spark)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -42,8 +634,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL}
+    return dict(SQL)
