@@ -91,5 +91,14 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
 
+P5_SQL = """
+WITH c AS (SELECT DISTINCT control_id, video_id, at_ms FROM compot_recall_controls WHERE control_id IS NOT NULL AND video_id IS NOT NULL AND at_ms IS NOT NULL),
+g AS (SELECT video_id, start_ms, min(gold_id) AS gold_id FROM compot_gold WHERE gold_id IS NOT NULL AND video_id IS NOT NULL AND start_ms IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT c.control_id, g.gold_id, row_number() OVER (PARTITION BY c.control_id, c.video_id, c.at_ms ORDER BY abs(g.start_ms - c.at_ms), g.start_ms) AS k
+  FROM c JOIN g ON g.video_id = c.video_id AND abs(g.start_ms - c.at_ms) <= 5000)
+SELECT control_id, gold_id FROM r WHERE k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p5_found": P5_SQL}
