@@ -54,8 +54,8 @@ def greedy_unique(events: DataFrame, keys: list[str], id_col: str, pad: int = 2_
     """(*keys, id_col, start_ms, end_ms, confidence): events in order of start (then confidence, downwards),
     of which one that comes within ``pad`` of a kept one replaces it if its confidence is higher and
     else is dropped. Events farther from all earlier ones begin a new strand, which is done by itself."""
-    keyed = events.select(*keys, id_col, "start_ms", "end_ms", "confidence").withColumn("k", F.struct(*keys))
-    strands = _strands(keyed, "k", id_col, "start_ms", "end_ms", gap=pad + 1).drop("k")
+    keyed = events.select(*keys, id_col, "start_ms", "end_ms", "confidence").withColumn("_key", F.struct(*keys))
+    strands = _strands(keyed, "_key", id_col, "start_ms", "end_ms", gap=pad + 1).drop("_key")
     rows = F.array_sort(F.collect_list(F.struct("start_ms", (-F.col("confidence")).alias("c"), F.col(id_col).alias("i"), "end_ms")))
     near = lambda a, b: (a["start_ms"] <= b["end_ms"] + pad) & (a["end_ms"] >= b["start_ms"] - pad)
 

@@ -212,7 +212,7 @@ def language_choice(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + CAPTIONS_SQL + """, p AS (SELECT *, lag(lower(text)) OVER (PARTITION BY video_id ORDER BY seg_idx) AS b FROM cap),
 q AS (SELECT video_id, seg_idx, string_split(b, ' ') AS x, string_split(lower(text), ' ') AS y FROM p WHERE b IS NOT NULL)
-SELECT video_id, seg_idx, CAST(coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), n -> x[len(x) - n + 1:] = y[:n])), 0) AS INT) AS words FROM q""")
+SELECT video_id, seg_idx, CAST(coalesce(list_max(list_filter(range(1, least(len(x), len(y)) + 1), lambda n: x[len(x) - n + 1:] = y[:n])), 0) AS INT) AS words FROM q""")
 def caption_edges(spark: SparkSession, d: str) -> DataFrame:
     """H: how many words of a caption say the end of the caption before again."""
     p = blocks.previous(clean_captions(spark, d).select("video_id", "seg_idx", "text"), ["video_id"], "seg_idx", F.col("text"), "before")
