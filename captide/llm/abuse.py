@@ -26,7 +26,7 @@ from captide.llm.turns import BLOCK
 from captide.llm.words import folded
 
 #: Words (and kinds of words) of a window, number of hashed terms, factors of a term.
-WINDOW, TERMS, FACTORS = 16, 1 << 20, 6
+WINDOW, TERMS, FACTORS = 12, 1 << 20, 6
 #: At most about this many judged documents are used for training.
 FIT_DOCUMENTS = 6_000
 #: About so many documents that nobody judged stand for usual text.
@@ -35,7 +35,7 @@ USUAL_DOCUMENTS = 3_000
 MARGIN = 16
 #: A text is reported if its worst window's score exceeds this share of the score of a window without
 #: telling terms (which is negative; a probability of one half is 0).
-THRESHOLD_SHARE = 0.2
+THRESHOLD_SHARE = 0.3
 
 # Signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e", "!": "i", "|": "i"}
@@ -51,7 +51,7 @@ _LEET = str.maketrans(LEET)
 #: Words that are told by their stems in six languages, by kind. The kind is their term, so that an
 #: insult the judges never met is still known for one.
 LEXICON = {
-    "insult": "idiot imbecil moron scumbag loser stupid dumb dumm dimwit trash bastard bitch whore asshole retard jerk cretin crétin abruti ordure connard débile débil salaud salope minable raté dummkopf trottel schwachkopf arschloch versager blödmann vollidiot mistkerl hure drecksack abschaum tarado gilipollas estúpid escoria basura fracasado cabrón идиот дебил кретин урод мразь тупица придурок ублюдок сволочь мудак тварь ничтож гнида йолоп покидьок виродок ідіот дебіл мерзот дурень бовдур телепень",
+    "insult": "idiot imbecil moron scumbag loser stupid dumb dumm dimwit trash bastard bitch whore asshole retard jerk cretin crétin abruti ordure connard débile débil salaud salope minable raté dummkopf trottel vollpfosten schwachkopf arschloch versager blödmann vollidiot mistkerl hure drecksack abschaum tarado gilipollas estúpid escoria basura fracasado cabrón идиот дебил кретин урод мразь тупица тупак придурок ублюдок сволочь мудак тварь ничтож гнида йолоп покидьок виродок ідіот дебіл мерзот дурень бовдур телепень",
     "silence": "shut заткнись проваливай стули забирайся ferme-la dégage verschwinde halt cállate cierra lárgate maul пельку",
     "scorn": "worthless pathetic miserable жалкий жалкая никчёмн никчемн жалюгідн нікчемн pauvre erbärmlich wertlos armselig тупой тупая",
     "shame": "ashamed стыдится соромиться schämt honte avergüenza",
@@ -222,7 +222,7 @@ def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: in
     flat = np.concatenate([flat, *(np.array((codes + [0] * WINDOW)[:WINDOW], np.int32) for _, codes in examples)])
     first = texts_end + WINDOW * np.arange(len(examples))
     given = {y: np.repeat(first[[e[0] == y for e in examples]], EXAMPLE_TIMES) for y in (0, 1)}
-    label = np.array([*(x == 1 for x in flagged), *[False] * len(usual_texts)])
+    label = np.array([*(x == 1 for x in flagged), *[False] * len(usual_texts)], bool)
     doc = np.append(np.repeat(np.arange(len(at) - 1), np.diff(at)), np.full(len(flat) - texts_end, len(label)))
     label = np.append(label, False)
     judged = doc < n_docs
@@ -242,6 +242,7 @@ def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: in
     usable[0] = False
     odds = np.where(usable, np.log(np.maximum(ratio, 1)), 0)
     odds[LEXICAL] = 0.5
+    odds[STRONG] = 4.0  # where a flagged text has such words, the windows that hold them come first
     codes = np.where(usable[flat], flat, 0)
     score = np.maximum(odds, 0)[codes]
     c = np.append(0, np.cumsum(score))

@@ -170,8 +170,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: list[str], grades: list[int], rounds: int = 8, seed: int = 5) -> tuple[WordModel, Ranker]:
     """Word model, ranker and calibration from graded texts."""
     y = np.array(grades, float)
+    if not len(y):
+        return WordModel(-1.0, np.zeros(GROUPS)), Ranker(np.zeros(9), np.ones(9), np.zeros(9), np.array([0.0]), np.array([2.0]))
     words = [_WORD.findall(cleaned(t)) for t in texts]
-    top = y == max(4, y.max() if len(y) else 4)
+    top = y == max(4, y.max())
     # the word features of a text come from a model that hasn't seen the text
     fold = np.array([xxhash.xxh32_intdigest(t) % 3 for t in texts])
     x = np.zeros((len(texts), 9))
@@ -184,7 +186,7 @@ def fit(texts: list[str], grades: list[int], rounds: int = 8, seed: int = 5) ->
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
-    a, b = rng.integers(0, len(y), (2, 20_000)) if len(y) else np.zeros((2, 0), int)
+    a, b = rng.integers(0, len(y), (2, 20_000))
     keep = y[a] > y[b]
     diff, gap = z[a[keep]] - z[b[keep]], (y[a] - y[b])[keep]
     weight = np.zeros(x.shape[1])
@@ -192,7 +194,7 @@ def fit(texts: list[str], grades: list[int], rounds: int = 8, seed: int = 5) ->
         d, g = (diff, gap) if not weight.any() else (diff[diff @ weight < gap], gap[diff @ weight < gap])
         weight = np.linalg.solve(d.T @ d + 1e-3 * len(diff) * np.eye(x.shape[1]) + 1e-9 * np.eye(x.shape[1]), d.T @ g)
     score = z @ weight
-    knots, levels = isotonic(score, y) if len(y) else (np.array([0.0]), np.array([2.0]))
+    knots, levels = isotonic(score, y)
     return model, Ranker(mean, scale, weight, knots, levels)
 
 
