@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captide.functions import numbers, text
+from captide.functions import grounding, numbers, text
 from captide.operators import blocks, captions, periods, rangejoin, reports, scenes, speech
 from captide.sources import captionjson
 from captide.sources.tables import table
@@ -619,6 +619,114 @@ def largest_jobs(spark: SparkSession, d: str) -> DataFrame:
     return top.where("place <= 20")
 
 
+ANCHOR_SQL = SEGMENTS_SQL + r""", num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos FROM seg),
+a AS (SELECT DISTINCT id, source_video AS video_id, unnest(list_distinct(regexp_extract_all(lower(anchor), '[\p{L}\p{N}]+'))) AS w FROM parental_quality_manual WHERE id IS NOT NULL AND anchor IS NOT NULL),
+n AS (SELECT id, count(*) AS n FROM a GROUP BY 1),
+s AS (SELECT video_id, pos, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS w FROM num),
+h AS (SELECT a.id, s.pos, a.w FROM a JOIN s USING (video_id, w))"""
+
+
+@query("WITH " + ANCHOR_SQL + """, st AS (SELECT DISTINCT id, pos FROM h), k AS (SELECT unnest(range(1, 7)) AS span),
+c AS (SELECT st.id, st.pos AS first, k.span, count(DISTINCT h.w) AS hits FROM st CROSS JOIN k JOIN h ON h.id = st.id AND h.pos BETWEEN st.pos AND st.pos + k.span - 1 GROUP BY 1, 2, 3),
+r AS (SELECT c.*, n.n, row_number() OVER (PARTITION BY c.id ORDER BY hits DESC, span, first) AS place FROM c JOIN n USING (id))
+SELECT id, CAST(first AS BIGINT) AS first, CAST(span AS INT) AS span, floor(hits * 1.0 / n * 10000 + 0.5) / 10000 AS score FROM r WHERE place = 1 AND hits * 1.0 / n >= 0.6""")
+def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretch of one to six captions that holds most of an anchor's words, the shortest, then
+    the first one, if it holds six tenths. Only captions that share a word are looked at."""
+    a = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND anchor IS NOT NULL").select("id", F.col("source_video").alias("video_id"), F.explode(F.array_distinct(text.words(F.col("anchor")))).alias("w")).distinct()
+    n = a.groupBy("id").agg(F.count("*").alias("n"))
+    s = _numbered(segments(spark, d)).join(a.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "pos", F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
+    h = a.join(s, ["video_id", "w"]).groupBy("id", "pos").agg(F.collect_set("w").alias("ws"))
+    near = Window.partitionBy("id", "_b").orderBy("pos").rangeBetween(0, 5)
+    spans = blocks.with_margins(h, "pos", 6).withColumn("l", F.collect_list(F.struct("pos", "ws")).over(near)).where("_own")
+    hits = lambda k: F.size(F.array_distinct(F.flatten(F.transform(F.filter("l", lambda x: x["pos"] < F.col("pos") + k), lambda x: x["ws"]))))
+    options = F.array(*(F.struct(hits(k).alias("hits"), F.lit(-k).alias("less"), (-F.col("pos")).alias("early")) for k in range(1, 7)))
+    best = spans.groupBy("id").agg(F.max(F.array_max(options)).alias("x")).join(n, "id")
+    share = F.col("x.hits") / F.col("n")
+    return best.where(share >= 0.6).select("id", (-F.col("x.early")).cast("bigint").alias("first"), (-F.col("x.less")).alias("span"), numbers.round_half_up(share, 4).alias("score"))
+
+
+@query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """, num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos FROM seg),
+k AS (SELECT DISTINCT s.video_id, s.pos FROM gold g JOIN num s ON s.video_id = g.video_id AND s.start_ms <= g.start_ms + 180000 AND s.end_ms >= greatest(0, g.start_ms - 120000)),
+l AS (SELECT *, lag(pos) OVER (PARTITION BY video_id ORDER BY pos) AS p FROM k)
+SELECT video_id, pos AS after_gap, pos - p - 1 AS missing FROM l WHERE pos > p + 1""")
+def review_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Where captions are missing between the ones that review windows show, and how many."""
+    g = _gold(spark, d).select("video_id", F.greatest(F.lit(0), F.col("start_ms") - 120_000).alias("w_start"), (F.col("start_ms") + 180_000).alias("w_end")).distinct()
+    s = _numbered(segments(spark, d).drop("text")).select("video_id", F.col("pos").cast("bigint").alias("pos"), "start_ms", "end_ms")
+    shown = rangejoin.overlap_join(g, s, ["video_id"], "w_start", "w_end", "start_ms", "end_ms", bucket=300_000).select("video_id", "pos").distinct()
+    p = blocks.previous(shown, ["video_id"], "pos", F.col("pos"), "p")
+    return p.where("pos > p + 1").select("video_id", F.col("pos").alias("after_gap"), (F.col("pos") - F.col("p") - 1).alias("missing"))
+
+
+@query("WITH " + CAPTIONS_SQL + r""", num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos, count(*) OVER (PARTITION BY video_id) AS n FROM cap),
+f AS (SELECT video_id, pos, n, lower(string_agg(text, ' ') OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS t FROM num),
+c AS (SELECT video_id, pos, n, 2 + CASE WHEN regexp_matches(t, 'dragon|дракон|drachen|dragón') THEN 3 ELSE 0 END AS score FROM f WHERE regexp_matches(t, 'hammer|молот|hammer|marteau|martillo') AND regexp_matches(t, 'drops|роняет|lässt|lâche|упускає|deja caer')),
+b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, pos DESC) AS k FROM c)
+SELECT b.video_id, CAST(b.score AS INT) AS score, x.start_ms, y.end_ms FROM b JOIN num x ON x.video_id = b.video_id AND x.pos = greatest(0, b.pos - 9) JOIN num y ON y.video_id = b.video_id AND y.pos = least(b.n - 1, b.pos + 13) WHERE k = 1""")
+def risk_window(spark: SparkSession, d: str) -> DataFrame:
+    """The excerpt of nine captions before to thirteen after the cue of the highest score of a
+    video, the latest of equal ones."""
+    numbered = _numbered(clean_captions(spark, d)).select("video_id", "seg_idx", "pos", "start_ms", "end_ms")
+    top = cue_frames(spark, d).groupBy("video_id").agg(F.max(F.struct("score", "seg_idx")).alias("x")).select("video_id", "x.score", "x.seg_idx")
+    n = numbered.groupBy("video_id").agg(F.count("*").alias("n"))
+    at = top.join(numbered.select("video_id", "seg_idx", "pos"), ["video_id", "seg_idx"]).join(n, "video_id")
+    edges = at.select("video_id", "score", F.greatest(F.lit(0), F.col("pos") - 9).alias("a"), F.least(F.col("n") - 1, F.col("pos") + 13).alias("b"))
+    first = numbered.select("video_id", F.col("pos").alias("a"), "start_ms")
+    last = numbered.select("video_id", F.col("pos").alias("b"), "end_ms")
+    return edges.join(first, ["video_id", "a"]).join(last, ["video_id", "b"]).select("video_id", "score", "start_ms", "end_ms")
+
+
+@query("""WITH v AS (SELECT video_id, min(channel_id) AS channel_id, min(title) AS title, min(published_at) AS published_at FROM videos WHERE video_id IS NOT NULL GROUP BY 1)
+SELECT channel_id, video_id, coalesce(title, video_id) AS title FROM v WHERE channel_id IS NOT NULL""")
+def channel_listing(spark: SparkSession, d: str) -> DataFrame:
+    """Listings of a channel's videos as JSON, read again: rows without an id are dropped, a
+    missing title is the id."""
+    v = table(spark, d, "videos").where("channel_id IS NOT NULL").groupBy("video_id").agg(F.min("channel_id").alias("channel_id"), F.min("title").alias("title"))
+    page = F.to_json(F.struct(F.struct(F.col("channel_id").alias("channelId")).alias("channel"), F.array(F.struct(F.col("video_id").alias("videoId"), "title")).alias("results")))
+    body = F.from_json("body", "struct<channel:struct<channelId:string>,results:array<struct<videoId:string,title:string>>>")
+    p = v.select(page.alias("body")).select(body.alias("p")).select("p.channel.channelId", F.explode("p.results").alias("r")).where("r.videoId IS NOT NULL")
+    return p.select(F.col("channelId").alias("channel_id"), F.col("r.videoId").alias("video_id"), F.coalesce("r.title", "r.videoId").alias("title"))
+
+
+@query()
+def copy_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """Explanations of cases that turn a negation of their anchor round become a quote of it."""
+    p = table(spark, d, "parental_quality_manual").where("id IS NOT NULL").select("id", "anchor", "why").distinct()
+    return p.select("id", grounding.ground_copy(F.col("anchor"), F.col("why")).alias("why"))
+
+
+@query("WITH " + EVENTS_SQL + """ SELECT event_id, CAST(video_id AS VARCHAR) || ':' || scene_id || ':' || category || ':' || subtype AS id,
+  CAST(row_number() OVER (PARTITION BY video_id ORDER BY start_ms, end_ms, category, subtype, event_id) AS INT) AS place FROM ev""")
+def event_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids made of video, scene, category and subtype, and the order of events in a video."""
+    e = content_events(spark, d)
+    w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms", "category", "subtype", "event_id")
+    return e.select("event_id", F.concat_ws(":", F.col("video_id").cast("string"), "scene_id", "category", "subtype").alias("id"), F.row_number().over(w).alias("place"))
+
+
+@query("WITH " + GOLD_SQL + """, v AS (SELECT DISTINCT video_id FROM videos WHERE video_id IS NOT NULL),
+f AS (SELECT video_id, arg_min(gold_id, (start_ms, gold_id)) AS gold_id, arg_min(attention, (start_ms, gold_id)) AS attention FROM gold GROUP BY 1)
+SELECT v.video_id, gold_id, coalesce(attention, 'none') AS attention FROM v LEFT JOIN f USING (video_id)""")
+def first_label(spark: SparkSession, d: str) -> DataFrame:
+    """Each video with its first label, or a default where there is none."""
+    v = table(spark, d, "videos").where("video_id IS NOT NULL").select("video_id").distinct()
+    f = _gold(spark, d).groupBy("video_id").agg(F.min_by(F.struct("gold_id", "attention"), F.struct("start_ms", "gold_id")).alias("x"))
+    return v.join(f, "video_id", "left").select("video_id", "x.gold_id", F.coalesce("x.attention", F.lit("none")).alias("attention"))
+
+
+@query("""WITH v AS (SELECT video_id, min(channel_id) AS channel_id, min(published_at) AS p FROM videos WHERE video_id IS NOT NULL GROUP BY 1), n AS (SELECT channel_id, count(*) AS n FROM v GROUP BY 1),
+o AS (SELECT v.*, n.n, row_number() OVER (PARTITION BY channel_id ORDER BY p DESC NULLS LAST, video_id) - 1 AS pos FROM v JOIN n USING (channel_id))
+SELECT channel_id, video_id, CAST(pos AS INT) AS place, CAST((pos - 1 + n) % n AS INT) AS rotated FROM o""")
+def run_order(spark: SparkSession, d: str) -> DataFrame:
+    """Videos of each channel from the newest on, and the same order rotated by one."""
+    v = table(spark, d, "videos").where("video_id IS NOT NULL").groupBy("video_id").agg(F.min("channel_id").alias("channel_id"), F.min("published_at").alias("p")).where("channel_id IS NOT NULL")
+    n = v.groupBy("channel_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("channel_id").orderBy(F.desc_nulls_last("p"), "video_id")
+    o = v.join(n, "channel_id").withColumn("place", F.row_number().over(w) - 1)
+    return o.select("channel_id", "video_id", "place", F.pmod(F.col("place") - 1, F.col("n")).cast("int").alias("rotated"))
+
+
 # -- streams (an extension) --------------------------------------------------------------------
 
 
