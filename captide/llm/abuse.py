@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from captide.llm.flat import Tokens
 from captide.llm.turns import BLOCK
-from captide.llm.words import folded
+from captide.llm.words import CLEAN
 
 #: Words (and kinds of words) of a window, number of hashed terms, factors of a term.
 WINDOW, TERMS, FACTORS = 12, 1 << 20, 6
@@ -39,6 +39,11 @@ THRESHOLD_SHARE = 0.3
 
 # Signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e", "!": "i", "|": "i"}
+# Cyrillic letters that look like Latin ones.
+TWINS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "и": "i", "к": "k", "м": "m", "о": "o", "р": "p", "т": "t", "х": "x", "у": "y"}
+_TO_LATIN, _TO_CYRILLIC = str.maketrans(TWINS), str.maketrans({v: k for k, v in TWINS.items()})
+_PLAIN = CLEAN | {c: None for c in range(0x300, 0x370)} | {ord("і"): "и"}
+_CYRILLIC, _LATIN = re.compile(r"[Ѐ-ӿ]"), re.compile(r"[a-z]")
 _MARKUP = re.compile(r"<[^<>]*>|&nbsp;|&#160;", re.I)
 _INSIDE = re.compile(r"(?<=[\w@$€])[.*_·•'’\-~]+(?=[\w@$€])")
 _STARS = re.compile(r"\w\*+\w")
@@ -51,20 +56,22 @@ _LEET = str.maketrans(LEET)
 #: Words that are told by their stems in six languages, by kind. The kind is their term, so that an
 #: insult the judges never met is still known for one.
 LEXICON = {
-    "insult": "idiot imbecil moron scumbag loser stupid dumb dumm dimwit trash bastard bitch whore asshole retard jerk cretin crétin abruti ordure connard débile débil salaud salope minable raté dummkopf trottel vollpfosten schwachkopf arschloch versager blödmann vollidiot mistkerl hure drecksack abschaum tarado gilipollas estúpid escoria basura fracasado cabrón идиот дебил кретин урод мразь тупица тупак придурок ублюдок сволочь мудак тварь ничтож гнида йолоп покидьок виродок ідіот дебіл мерзот дурень бовдур телепень",
+    "insult": "idiot imbecil moron scumbag loser dimwit trash bastard bitch whore asshole retard jerk cretin crétin abruti ordure connard débile débil salaud salope minable raté dummkopf trottel vollpfosten schwachkopf arschloch versager blödmann vollidiot mistkerl hure drecksack abschaum tarado gilipollas escoria basura fracasado cabrón идиот дебил кретин урод мразь тупица тупак придурок ублюдок сволочь мудак тварь ничтож гнида йолоп покидьок виродок ідіот дебіл мерзот дурень бовдур телепень",
     "silence": "shut заткнись проваливай стули забирайся ferme-la dégage verschwinde halt cállate cierra lárgate maul пельку",
-    "scorn": "worthless pathetic miserable жалкий жалкая никчёмн никчемн жалюгідн нікчемн pauvre erbärmlich wertlos armselig тупой тупая",
+    "scorn": "worthless pathetic miserable жалкий жалкая никчёмн никчемн жалюгідн нікчемн pauvre erbärmlich wertlos armselig тупой тупая stupid dumb dumm estúpid",
     "shame": "ashamed стыдится соромиться schämt honte avergüenza",
-    "you": "you your ты тебя тебе твоя ти тебе du dich dir dein tu te toi ti eres tuya",
+    "you": "you your ты тебя тебе твоя ти тебе dich dir dein tu te toi ti eres tuya",
     "sexual": "porn porno порно секс sexo sex sexe erotic эротик oral оральн",
     "nudity": "nude naked nackt desnud nus nues голы голі голый голих оголен",
     "moan": "moan gémi stöhn gimen стонут стогн",
     "adult": "adult взросл доросл erwachsen grown",
-    "picture": "photo фото foto nacktfoto camera камер kamera cámara caméra",
+    "picture": "photo фото foto nacktfoto camera камер caméra",
     "vermin": "parasit паразит parásit ungeziefer vermin крысы thieves воры воров злоді diebe voleurs ladrones schädling",
-    "expel": "избав гнать гнати сжечь спалити геть burn brûler verbrenn niederbrenn quemar fuera dehors raus rid thrown chass débarrass",
+    "expel": "избав гнать гнати сжечь спалити геть burn brûler verbrenn niederbrenn quemar fuera dehors raus rid thrown chassez chasser",
     "decent": "decent décent anständig порядочн порядн decente",
     "human": "people люди людьми menschen humans humain personas human",
+    "dwell": "street улицу вулицю straße rue calle live живут живуть wohnen leben vivent viven",
+    "slept": "slept переспал couché acostaron geschlafen переспав",
     "without": "without без sans ohne sin",
     "better": "better nicer лучше краще besser bessere mejor meilleur",
     "world": "world свете світі monde welt mundo",
@@ -77,28 +84,34 @@ LEXICON = {
 def masked_key(word: str) -> str | None:
     """The stem of the lexicon that a word with stars for letters stands for, if any."""
     for stars in (word, re.sub(r"\*+", "*", word)):  # a star for each letter, or stars for one
-        pattern = _MASK_DROP.sub("", folded(stars.replace("*", "\x01")))
+        pattern = _MASK_DROP.sub("", _one_script(stars.replace("*", "\x01")))
         for stem in _EVERY_STEM:
             if len(stem) >= 4 and len(stem) <= len(pattern) <= len(stem) + 4 and "\x01" in pattern[: len(stem)] and all(a in ("\x01", b) for a, b in zip(pattern, stem)):
                 return stem
     return None
 
 
+def _one_script(word: str) -> str:
+    """Lower case without accents; letters of the script that has fewer become their twins of the other."""
+    w = unicodedata.normalize("NFKD", word).casefold().translate(_PLAIN)
+    cyrillic, latin = len(_CYRILLIC.findall(w)), len(_LATIN.findall(w))
+    if cyrillic and latin:
+        w = w.translate(_TO_CYRILLIC if cyrillic >= latin else _TO_LATIN)
+    return w
+
+
 def token_key(word: str) -> str:
-    """A word's form without case, look-alikes, signs for letters and repeated letters."""
+    """A word's form without case, accents, look-alikes, signs for letters and repeated letters."""
     if "*" in word.strip("*") and _STARS.search(word) and (stem := masked_key(word)):
         return _DOUBLE.sub(r"\1", stem)
-    w = _INSIDE.sub("", folded(word))
+    w = _INSIDE.sub("", word)
     if any(c in LEET for c in w) and any(c.isalpha() for c in w):
         w = w.translate(_LEET)
-    w = re.sub(r"[^\w]", "", w)
-    return _DOUBLE.sub(r"\1", w)
+    return _DOUBLE.sub(r"\1", re.sub(r"[^\w]", "", _one_script(w)))
 
 
 _STEMS = {kind: tuple(sorted({token_key(x) for x in stems.split()})) for kind, stems in LEXICON.items()}
-
-
-_EVERY_STEM = tuple(sorted({folded(x) for stems in LEXICON.values() for x in stems.split()}, key=lambda x: (-len(x), x)))
+_EVERY_STEM = tuple(sorted({_one_script(x) for stems in LEXICON.values() for x in stems.split()}, key=lambda x: (-len(x), x)))
 
 
 def _kinds(key: str) -> list[str]:
@@ -132,11 +145,11 @@ LEXICAL = [_hash(f"<{k}>") for k in LEXICON]
 #: What kinds of words together are, and are not, such content: examples that the training begins with,
 #: for languages and turns of phrase that no judged document happens to have.
 EXAMPLES = {
-    1: ["you scorn insult", "you insult insult", "silence insult", "silence insult no you", "silence you insult", "scorn insult", "you shame", "no you scorn insult",
+    1: ["you scorn insult", "silence insult", "silence insult no you", "silence you insult", "scorn insult", "you shame", "no you scorn insult",
         "without you world better", "world better without you", "sexual", "sexual picture", "nudity adult moan", "adult nudity moan", "nudity picture adult",
-        "picture nudity adult", "vermin expel", "human vermin", "decent no", "decent no human", "no decent"],
+        "picture nudity adult", "vermin expel", "human vermin", "expel dwell", "slept picture", "decent no", "decent no human", "no decent"],
     0: ["you no insult", "you no insult you", "no you no insult", "you no no insult you", "no insult you you", "no scorn insult", "mention insult", "insult mention", "mention no insult", "no mention insult",
-        "no no mention insult", "play insult", "insult play", "nudity", "moan", "adult", "picture", "no", "you", "you no", "human", "no human", "without", "without no",
+        "no no mention insult", "play insult", "insult play", "nudity", "moan", "dwell", "slept", "adult", "picture", "no", "you", "you no", "human", "no human", "without", "without no",
         "without world", "better", "world", "mention", "mention no", "play", "human you", "no you human", "picture human", "world human", "better you", "no without human"],
 }
 #: Times each example counts.
@@ -199,15 +212,29 @@ class Machine:
         if not len(pos):
             return np.zeros(0)
         k = self.slot[code] - 1
-        w, v = self.linear[k], self.factors[k]
-        until = np.searchsorted(pos, pos + WINDOW)
-        here = np.arange(len(pos))
-        zero = np.zeros((1, FACTORS))
-        s = np.concatenate([zero, np.cumsum(v, axis=0)])
-        q = np.append(0, np.cumsum((v * v).sum(axis=1)))
-        lin = np.append(0, np.cumsum(w))
-        total = s[until] - s[here]
-        return self.bias + lin[until] - lin[here] + 0.5 * ((total * total).sum(axis=1) - (q[until] - q[here]))
+        # where the same term stood before, for a window counts a term once
+        order = np.lexsort((pos, k))
+        before = np.full(len(pos), -1)
+        same = k[order[1:]] == k[order[:-1]]
+        before[order[1:][same]] = pos[order[:-1][same]]
+        linear, total, squares = np.zeros(len(pos)), np.zeros((len(pos), FACTORS)), np.zeros(len(pos))
+        v2 = (self.factors * self.factors).sum(axis=1)
+        for step in range(min(WINDOW, len(pos))):
+            i = np.arange(len(pos) - step)
+            j = i + step
+            ok = (pos[j] < pos[i] + WINDOW) & (before[j] < pos[i])
+            i, t = i[ok], k[j[ok]]
+            linear[i] += self.linear[t]
+            total[i] += self.factors[t]
+            squares[i] += v2[t]
+        return self.bias + linear + 0.5 * ((total * total).sum(axis=1) - squares)
+
+
+def _distinct(windows: np.ndarray) -> np.ndarray:
+    """Each window's terms once."""
+    x = np.sort(windows, axis=1)
+    x[:, 1:][x[:, 1:] == x[:, :-1]] = 0
+    return x
 
 
 def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: int = 4, epochs: int = 25, seed: int = 7) -> Machine:
@@ -218,10 +245,15 @@ def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: in
     # the unjudged texts come after the judged ones, and the examples after those
     flat, at = terms.flat([*texts, *usual_texts], WINDOW)
     texts_end = len(flat)
-    examples = [(y, [_hash(f"<{k}>") for k in x.split()]) for y, xs in EXAMPLES.items() for x in xs]
+    # what is no case is none if it is said twice, or beside another such thing
+    denied = [x for x in EXAMPLES[0] if "insult" in x]
+    every = [(y, x) for y, xs in EXAMPLES.items() for x in xs] + [(0, f"{a} {b}") for a in denied for b in denied]
+    examples = [(y, [_hash(f"<{k}>") for k in x.split()]) for y, x in every]
     flat = np.concatenate([flat, *(np.array((codes + [0] * WINDOW)[:WINDOW], np.int32) for _, codes in examples)])
     first = texts_end + WINDOW * np.arange(len(examples))
-    given = {y: np.repeat(first[[e[0] == y for e in examples]], EXAMPLE_TIMES) for y in (0, 1)}
+    single = np.arange(len(examples)) < len(every) - len(denied) ** 2
+    of = np.array([e[0] for e in examples])
+    given = {1: np.repeat(first[of == 1], EXAMPLE_TIMES), 0: np.concatenate([np.repeat(first[(of == 0) & single], EXAMPLE_TIMES), np.repeat(first[~single], EXAMPLE_TIMES // 6)])}
     label = np.array([*(x == 1 for x in flagged), *[False] * len(usual_texts)], bool)
     doc = np.append(np.repeat(np.arange(len(at) - 1), np.diff(at)), np.full(len(flat) - texts_end, len(label)))
     label = np.append(label, False)
@@ -285,7 +317,7 @@ def _dense_scores(machine: tuple, win: np.ndarray) -> np.ndarray:
     bias, w, v = machine
     out = np.empty(len(win))
     for lo in range(0, len(win), 50_000):
-        x = win[lo : lo + 50_000]
+        x = _distinct(win[lo : lo + 50_000])
         vs = v[x]
         s = vs.sum(axis=1)
         out[lo : lo + 50_000] = bias + w[x].sum(axis=1) + 0.5 * ((s * s).sum(axis=1) - (vs * vs).sum(axis=(1, 2)))
@@ -299,6 +331,7 @@ def _train(win: np.ndarray, rows: np.ndarray, positives: int, size: int, epochs:
         v[0] = 0
     else:
         bias, w, v = start[0], start[1].copy(), start[2].copy()
+    windows = _distinct(win[rows])
     gb, gw, gv = 1e-8, np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
     y = np.zeros(len(rows))
     y[:positives] = 1
@@ -308,7 +341,7 @@ def _train(win: np.ndarray, rows: np.ndarray, positives: int, size: int, epochs:
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), 2048):
             b = order[lo : lo + 2048]
-            x = win[rows[b]]
+            x = windows[b]
             vs = v[x]
             s = vs.sum(axis=1)
             z = bias + w[x].sum(axis=1) + 0.5 * ((s * s).sum(axis=1) - (vs * vs).sum(axis=(1, 2)))

@@ -15,7 +15,7 @@ LOOK_ALIKES = {
 _DROPPED = {c: None for c in [0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, 0x180E, 0xFE0E, 0xFE0F, 0x27, 0x2019, 0x2018, 0x2BC, 0x60, 0xB4, *range(0x300, 0x370), *range(0x202A, 0x202F)]}
 _HYPHENS = {c: "-" for c in (0x2010, 0x2011, 0x2012, 0xFE63, 0xFF0D)}
 _TABLE = {ord(k): v for k, v in LOOK_ALIKES.items()} | _DROPPED | _HYPHENS
-_CLEAN = _DROPPED | _HYPHENS
+CLEAN = _DROPPED | _HYPHENS
 _WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 
 
@@ -31,4 +31,4 @@ def words(text: str | None) -> list[str]:
 
 def cleaned(text: str) -> str:
     """The text in lower case, composed, without invisible characters; letters keep their script."""
-    return unicodedata.normalize("NFC", text).casefold().translate(_CLEAN)
+    return unicodedata.normalize("NFC", text).casefold().translate(CLEAN)
