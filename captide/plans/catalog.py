@@ -219,7 +219,15 @@ def caption_edges(spark: SparkSession, d: str) -> DataFrame:
     return p.where("before IS NOT NULL").select("video_id", "seg_idx", text.shared_edge(F.col("before"), F.col("text")).alias("words"))
 
 
-@query()
+@query("WITH RECURSIVE " + CAPTIONS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, seg_idx) AS k FROM cap),
+r AS (SELECT video_id, k, seg_idx, start_ms, end_ms, text AS said, [{'t': text, 'e': end_ms}] AS kept, end_ms AS reach FROM o WHERE k = 1
+  UNION ALL SELECT video_id, k, seg_idx, start_ms, end_ms, said, CASE WHEN said = '' THEN kept ELSE list_append(kept, {'t': said, 'e': end_ms}) END, CASE WHEN said = '' THEN reach ELSE end_ms END
+  FROM (SELECT *, array_to_string(w[n + 1:], ' ') AS said
+    FROM (SELECT *, CASE WHEN start_ms < reach THEN coalesce(list_max(list_filter(range(1, least(len(x), len(w)) + 1), lambda j: lower(array_to_string(x[len(x) - j + 1:], ' ')) = lower(array_to_string(w[:j], ' ')))), 0) ELSE 0 END AS n
+      FROM (SELECT o.video_id, o.k, o.seg_idx, o.start_ms, o.end_ms, r.reach, list_filter(r.kept, lambda y: y.e > o.start_ms) AS kept, string_split(o.text, ' ') AS w,
+          string_split(array_to_string(list_transform(list_filter(r.kept, lambda y: y.e > o.start_ms), lambda y: y.t), ' '), ' ') AS x
+        FROM r JOIN o ON o.video_id = r.video_id AND o.k = r.k + 1))))
+SELECT video_id, seg_idx, said AS text, start_ms, end_ms FROM r WHERE said <> ''""")
 def overlap_caption_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Captions without what they repeat of the captions they overlap."""
     return captions.without_repeats(clean_captions(spark, d))
@@ -371,13 +379,30 @@ def dedupe_argmax(spark: SparkSession, d: str) -> DataFrame:
     return reports.strongest(e, ["scene_id", "category", "subtype"], "event_id")
 
 
-@query()
+@query("WITH RECURSIVE " + EVENTS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, category, subtype ORDER BY start_ms, confidence DESC, event_id) AS k FROM ev),
+r AS (SELECT video_id, category, subtype, k, [{'i': event_id, 's': start_ms, 'e': end_ms, 'c': confidence}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT video_id, category, subtype, k, CASE WHEN f IS NULL THEN list_append(kept, x) WHEN x.c > kept[f].c THEN list_concat(list_append(kept[:f - 1], x), kept[f + 1:]) ELSE kept END
+  FROM (SELECT o.video_id, o.category, o.subtype, o.k, r.kept, {'i': o.event_id, 's': o.start_ms, 'e': o.end_ms, 'c': o.confidence} AS x,
+    list_min(list_filter(range(1, len(r.kept) + 1), lambda j: r.kept[j].s <= o.end_ms + 2000 AND r.kept[j].e >= o.start_ms - 2000)) AS f
+    FROM r JOIN o ON o.video_id = r.video_id AND o.category = r.category AND o.subtype = r.subtype AND o.k = r.k + 1)),
+z AS (SELECT video_id, category, subtype, unnest(arg_max(kept, k)) AS x FROM r GROUP BY 1, 2, 3)
+SELECT video_id, category, subtype, x.i AS event_id, x.s AS start_ms, x.e AS end_ms, x.c AS confidence FROM z""")
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     """Events kept in order, a later one within 2 s replacing a kept one of lower confidence."""
     return scenes.greedy_unique(content_events(spark, d), ["video_id", "category", "subtype"], "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT scan_id, video_id, scene_id, context_start_ms AS s, context_end_ms AS e, min(coalesce(categories, [])) AS c FROM draft_scenes
+  WHERE context_start_ms IS NOT NULL AND context_end_ms >= context_start_ms AND scan_id IS NOT NULL AND video_id IS NOT NULL AND scene_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, video_id ORDER BY s, scene_id) AS k FROM d),
+r AS (SELECT scan_id, video_id, k, [{'i': scene_id, 's': s, 'e': e, 'c': c, 'n': 1}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT scan_id, video_id, k, CASE WHEN f IS NULL THEN list_append(kept, x) ELSE list_concat(list_append(kept[:f - 1], {'i': kept[f].i || '+' || x.i, 's': least(kept[f].s, x.s), 'e': greatest(kept[f].e, x.e), 'c': list_concat(kept[f].c, x.c), 'n': kept[f].n + 1}), kept[f + 1:]) END
+  FROM (SELECT o.scan_id, o.video_id, o.k, r.kept, {'i': o.scene_id, 's': o.s, 'e': o.e, 'c': o.c, 'n': 1} AS x,
+    list_min(list_filter(range(1, len(r.kept) + 1), lambda j: (list_has_any(r.kept[j].c, o.c) OR (list_has_any(r.kept[j].c, ['violence', 'scary_and_disturbing']) AND list_has_any(o.c, ['violence', 'scary_and_disturbing'])))
+      AND greatest(0, least(r.kept[j].e, o.e) - greatest(r.kept[j].s, o.s)) * 1.0 / least(greatest(1, r.kept[j].e - r.kept[j].s), greatest(1, o.e - o.s)) >= 0.4)) AS f
+    FROM r JOIN o ON o.scan_id = r.scan_id AND o.video_id = r.video_id AND o.k = r.k + 1)),
+z AS (SELECT scan_id, video_id, unnest(arg_max(kept, k)) AS x FROM r GROUP BY 1, 2)
+SELECT scan_id, video_id, x.i AS scene_id, x.s AS start_ms, x.e AS end_ms, x.n AS scenes FROM z""")
 def merge_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Scenes joined where they overlap by 0.4 and share a category."""
     return scenes.merged_scenes(table(spark, d, "draft_scenes"))
@@ -413,7 +438,14 @@ def pack_batches(spark: SparkSession, d: str) -> DataFrame:
     return captions.batches(_items(spark, d), "job_id", "item_id", "n", 70_000, 5)
 
 
-@query()
+@query("WITH RECURSIVE " + CAPTIONS_SQL + """, num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos FROM cap),
+l AS (SELECT video_id, pos, end_ms, strlen(text) + strlen(CAST(pos AS VARCHAR)) + 4 AS size FROM num),
+a AS (SELECT video_id, count(*) AS n, list(c ORDER BY pos) AS p, list(b ORDER BY pos) AS q, list(end_ms ORDER BY pos) AS e FROM
+  (SELECT video_id, pos, end_ms, sum(greatest(1, ceil(size / 3.0))) OVER w AS c, sum(size) OVER w AS b FROM l WINDOW w AS (PARTITION BY video_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) GROUP BY 1),
+r AS (SELECT video_id, 0 AS chunk, CAST(0 AS BIGINT) AS first, n, p, q, e, greatest(1, coalesce(list_max(list_filter(range(1, n + 1), lambda j: p[j] <= 30000)), 1)) AS till FROM a
+  UNION ALL SELECT video_id, chunk, first, n, p, q, e, greatest(first + 1, coalesce(list_max(list_filter(range(first + 1, n + 1), lambda j: p[j] - CASE WHEN first > 0 THEN p[first] ELSE 0 END <= 30000)), first + 1)) AS till
+  FROM (SELECT video_id, chunk + 1 AS chunk, n, p, q, e, coalesce(list_min(list_filter(range(first + 1, till), lambda j: e[j + 1] >= greatest(0, e[till] - 90000))), till) AS first FROM r WHERE till < n))
+SELECT video_id, chunk, CAST(first AS INT) AS first, CAST(till - 1 AS INT) AS last, CAST(greatest(1, ceil((q[till] - CASE WHEN first > 0 THEN q[first] ELSE 0 END - 1) / 3.0)) AS BIGINT) AS tokens FROM r""")
 def chunk_transcript(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts in chunks of at most 30,000 estimated tokens that overlap by 90 s."""
     return captions.chunks(clean_captions(spark, d))
