@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words of requests, negations, and the beginning of a quote.
 _WORD = re.compile(r"[a-zа-яё]{2,}", re.I)
 _REQUEST = re.compile(r"пожалуйста|прошу|можно|хватит|перестань|please|could you", re.I)
 NO = frozenset(("не", "not", "never"))
+QUOTE = "В субтитрах: "
 #: Letters by which two forms of a word are taken for one, characters of a request around a negation,
 #: and of a quote around it.
 STEM, BEFORE, AFTER, QUOTE_BEFORE, QUOTE_AFTER = 5, 45, 15, 48, 64
@@ -45,7 +47,7 @@ def grounded(source: str | None, claim: str | None) -> str | None:
         return claim
     lo, hi = max(0, hit[0] - QUOTE_BEFORE), min(len(source), hit[1] + QUOTE_AFTER)
     quote = " ".join(source[lo:hi].split())
-    return f"В субтитрах: «{'…' if lo else ''}{quote}{'…' if hi < len(source) else ''}»"
+    return f"{QUOTE}«{'…' if lo else ''}{quote}{'…' if hi < len(source) else ''}»"
 
 
 def ground_copy(source: Column, claim: Column) -> Column:

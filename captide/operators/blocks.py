@@ -34,3 +34,15 @@ def with_margins(df: DataFrame, order: str, margin: int, width: int = BLOCK) ->
     b = block_of(order, width)
     near = F.array(b, F.when(at < margin, b - 1), F.when(at >= width - margin, b + 1))
     return df.withColumn("_home", b).withColumn("_b", F.explode(F.filter(near, lambda x: x.isNotNull()))).withColumn("_own", F.col("_b") == F.col("_home")).drop("_home")
+
+
+def numbered(df: DataFrame, keys: list[str], block: Column, order: list, name: str = "pos") -> DataFrame:
+    """Adds ``name``: the place of a row from 0 on among those of equal keys, by block and then by order.
+
+    Rows are ordered inside their block; across blocks only counts travel."""
+    b = df.withColumn("_b", block)
+    n = b.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = n.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)) - 1
+    return b.join(before, [*keys, "_b"]).withColumn(name, F.col("_o") + inside).drop("_b", "_o")

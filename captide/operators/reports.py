@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captide.functions.numbers import prevalence
 
-RANK = F.create_map
-
-
-def severity_rank(c: str = "severity"):  # noqa: ANN201
+def severity_rank(c: str = "severity") -> Column:
     return F.when(F.col(c) == "low", 1).when(F.col(c) == "medium", 2).when(F.col(c) == "high", 3)
 
 
@@ -21,29 +18,29 @@ def strongest(events: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     return events.groupBy(*keys).agg(best).select(*keys, "x.*")
 
 
-def video_categories(events: DataFrame, categories: DataFrame) -> DataFrame:
+def video_categories(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """(video_id, category, events, shown, level, subtypes): a row for every video and category, also for
     those without events; ``shown`` are events of at least medium severity."""
     per = events.groupBy("video_id", "category").agg(
         F.count("*").alias("events"), F.count_if(severity_rank() >= 2).alias("shown"), F.max(severity_rank()).alias("level"),
         F.array_join(F.array_sort(F.collect_set("subtype")), ",").alias("subtypes"),
     )
-    every = events.select("video_id").distinct().crossJoin(F.broadcast(categories))  # a fixed handful of categories
+    every = events.select("video_id").distinct().withColumn("category", F.explode(F.array(*map(F.lit, categories))))
     filled = every.join(per, ["video_id", "category"], "left")
     return filled.select("video_id", "category", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "shown", "level")), F.coalesce("subtypes", F.lit("")).alias("subtypes"))
 
 
-def channel_categories(events: DataFrame, categories: DataFrame) -> DataFrame:
+def channel_categories(events: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     """(category, raw_videos, videos, high_videos, events, peak, band): over all videos, per category, with
     zero rows; a video is affected by events of at least medium severity. Two levels of aggregation, so a
     video with very many events is one row before it meets the others."""
     per = events.groupBy("category", "video_id").agg(F.count("*").alias("n"), F.max(severity_rank()).alias("peak"))
-    total = events.select(F.count_distinct("video_id").alias("analyzed"))
+    total = events.select("video_id").distinct().agg(F.count("*").alias("analyzed")).withColumn("category", F.explode(F.array(*map(F.lit, categories))))
     by = per.groupBy("category").agg(
         F.count("*").alias("raw_videos"), F.count_if(F.col("peak") >= 2).alias("videos"), F.count_if(F.col("peak") == 3).alias("high_videos"),
         F.sum("n").alias("events"), F.max("peak").alias("peak"),
     )
-    filled = categories.join(by, "category", "left").crossJoin(F.broadcast(total))  # one row
+    filled = total.join(by, "category", "left")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_videos", "videos", "high_videos", "events", "peak")]
     return filled.select("category", *zero, prevalence(F.coalesce("videos", F.lit(0)), F.col("analyzed")).alias("band"))
 

@@ -32,10 +32,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-
-
 CATEGORIES_SQL = "cats AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in CATEGORIES) + "]) AS category)"
 
 
@@ -484,7 +480,7 @@ a AS (SELECT video_id, category, count(*) AS events, CAST(count_if(k >= 2) AS BI
 SELECT v.video_id, c.category, coalesce(events, 0) AS events, coalesce(shown, 0) AS shown, coalesce(level, 0) AS level, coalesce(subtypes, '') AS subtypes FROM v CROSS JOIN cats c LEFT JOIN a ON a.video_id = v.video_id AND a.category = c.category""")
 def video_category_report(spark: SparkSession, d: str) -> DataFrame:
     """Events per video and category, with zero rows."""
-    return reports.video_categories(content_events(spark, d), categories(spark))
+    return reports.video_categories(content_events(spark, d), CATEGORIES)
 
 
 @query("WITH " + EVENTS_SQL + """, """ + CATEGORIES_SQL + """, p AS (SELECT category, video_id, count(*) AS n, max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS k FROM ev GROUP BY 1, 2),
@@ -493,7 +489,7 @@ z AS (SELECT c.category, coalesce(raw_videos, 0) AS raw_videos, coalesce(videos,
 SELECT category, raw_videos, videos, high_videos, events, peak, CASE WHEN videos = 0 OR t = 0 THEN 'none' WHEN videos * 1.0 / t <= 0.2 THEN 'rare' WHEN videos * 1.0 / t <= 0.5 THEN 'occasional' WHEN videos * 1.0 / t <= 0.8 THEN 'common' ELSE 'pervasive' END AS band FROM z""")
 def channel_category_report(spark: SparkSession, d: str) -> DataFrame:
     """Videos and events per category over all videos, with zero rows, and how widespread it is."""
-    return reports.channel_categories(content_events(spark, d), categories(spark))
+    return reports.channel_categories(content_events(spark, d), CATEGORIES)
 
 
 @query("WITH " + EVENTS_SQL + """, b AS (SELECT category, subtype, count(*) AS events, count(DISTINCT video_id) AS videos FROM ev GROUP BY 1, 2)
@@ -516,8 +512,12 @@ SELECT scan_id, stage, start_ms, end_ms, CAST(sum(end_ms - start_ms) OVER w AS B
 def rolling_minute(spark: SparkSession, d: str) -> DataFrame:
     """Calls and their time in the minute before each call, per scan and stage."""
     t = table(spark, d, "timing_intervals").where("end_ms >= start_ms").select("scan_id", "stage", "start_ms", "end_ms").distinct()
-    w = Window.partitionBy("scan_id", "stage").orderBy("start_ms").rangeBetween(-60_000, 0)
-    return t.select("*", F.sum(F.col("end_ms") - F.col("start_ms")).over(w).alias("busy_ms"), F.count("*").over(w).alias("calls"))
+    # a call also stands in the next minute's block, as a guest, so that no window crosses a block's border
+    b = F.floor(F.col("start_ms") / 60_000)
+    t = t.select("*", F.posexplode(F.array(b, b + 1)).alias("guest", "_b"))
+    w = Window.partitionBy("scan_id", "stage", "_b").orderBy("start_ms").rangeBetween(-60_000, 0)
+    t = t.select("*", F.sum(F.col("end_ms") - F.col("start_ms")).over(w).alias("busy_ms"), F.count("*").over(w).alias("calls"))
+    return t.where("guest = 0").drop("guest", "_b")
 
 
 @query("WITH " + CAPTIONS_SQL + r""", f AS (SELECT video_id, seg_idx, lower(string_agg(text, ' ') OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS t FROM cap),
@@ -534,12 +534,8 @@ def cue_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(c: DataFrame) -> DataFrame:
-    """Adds ``pos``, the place of a caption in its video, counted by blocks of segments."""
-    b = c.withColumn("_b", blocks.block_of("seg_idx"))
-    n = b.groupBy("video_id", "_b").agg(F.count("*").alias("_n"))
-    before = n.select("video_id", "_b", F.coalesce(F.sum("_n").over(Window.partitionBy("video_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("video_id", "_b").orderBy("seg_idx")) - 1
-    return b.join(before, ["video_id", "_b"]).withColumn("pos", F.col("_o") + inside).drop("_b", "_o")
+    """Adds ``pos``, the place of a caption in its video."""
+    return blocks.numbered(c, ["video_id"], blocks.block_of("seg_idx"), ["seg_idx"])
 
 
 @query("WITH " + EVENTS_SQL + """, r AS (SELECT video_id, event_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, event_id DESC) AS INT) AS place FROM ev) SELECT * FROM r WHERE place <= 5""")
@@ -733,8 +729,8 @@ def copy_grounding(spark: SparkSession, d: str) -> DataFrame:
 def event_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids made of video, scene, category and subtype, and the order of events in a video."""
     e = content_events(spark, d)
-    w = Window.partitionBy("video_id").orderBy("start_ms", "end_ms", "category", "subtype", "event_id")
-    return e.select("event_id", F.concat_ws(":", F.col("video_id").cast("string"), "scene_id", "category", "subtype").alias("id"), F.row_number().over(w).alias("place"))
+    n = blocks.numbered(e, ["video_id"], blocks.block_of("start_ms", 600_000), ["start_ms", "end_ms", "category", "subtype", "event_id"])
+    return n.select("event_id", F.concat_ws(":", F.col("video_id").cast("string"), "scene_id", "category", "subtype").alias("id"), (F.col("pos") + 1).cast("int").alias("place"))
 
 
 @query("WITH " + GOLD_SQL + """, v AS (SELECT DISTINCT video_id FROM videos WHERE video_id IS NOT NULL),

@@ -142,6 +142,12 @@ def test_apportionment_conserves_totals(spark):
 
 def test_reports_have_zero_rows(spark):
     e = spark.createDataFrame([(1, 5, "violence", "s0", "high", 0.5)], "video_id int, event_id int, category string, subtype string, severity string, confidence double")
-    cats = spark.createDataFrame([("violence",), ("gambling",)], "category string")
+    cats = ("violence", "gambling")
     assert sorted(map(tuple, reports.video_categories(e, cats).collect())) == [(1, "gambling", 0, 0, 0, ""), (1, "violence", 1, 1, 3, "s0")]
     assert sorted(map(tuple, reports.channel_categories(e, cats).collect())) == [("gambling", 0, 0, 0, 0, 0, "none"), ("violence", 1, 1, 1, 1, 3, "pervasive")]
+
+
+def test_numbers_across_blocks(spark):
+    df = spark.createDataFrame([("a", i) for i in (9, 0, 3, 4, 30, 10)] + [("b", 7)], "k string, i int")
+    got = blocks.numbered(df, ["k"], blocks.block_of("i", 4), ["i"]).collect()
+    assert {(r.k, r.i): r.pos for r in got} == {("a", 0): 0, ("a", 3): 1, ("a", 4): 2, ("a", 9): 3, ("a", 10): 4, ("a", 30): 5, ("b", 7): 0}
