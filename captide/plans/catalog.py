@@ -755,6 +755,56 @@ def run_order(spark: SparkSession, d: str) -> DataFrame:
     return o.select("channel_id", "video_id", "place", F.pmod(F.col("place") - 1, F.col("n")).cast("int").alias("rotated"))
 
 
+@query("WITH " + GOLD_SQL + ", " + SCENES_SQL + """, u AS (SELECT gold_id, video_id, start_ms FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.video_id = g.video_id AND g.start_ms >= sc.s - 5000 AND g.start_ms <= sc.e + 5000))
+SELECT 'scene' AS part, video_id, scene_id AS id, s AS start_ms FROM (SELECT DISTINCT video_id, scene_id, s FROM sc) UNION ALL SELECT 'label', video_id, gold_id, start_ms FROM u""")
+def known_and_rescued(spark: SparkSession, d: str) -> DataFrame:
+    """All scenes, and beside them the labels that no scene covers within 5 s."""
+    sc = _scenes(spark, d)
+    g = _gold(spark, d).select("gold_id", "video_id", "start_ms").withColumn("till", F.col("start_ms"))
+    hit = rangejoin.overlap_join(g, sc.select("video_id", "s", "e").distinct(), ["video_id"], "start_ms", "till", "s", "e", pad=5_000).select("gold_id", "video_id", "start_ms").distinct()
+    rescued = g.drop("till").join(hit, ["gold_id", "video_id", "start_ms"], "left_anti").select(F.lit("label").alias("part"), "video_id", F.col("gold_id").alias("id"), "start_ms")
+    return sc.select(F.lit("scene").alias("part"), "video_id", F.col("scene_id").alias("id"), F.col("s").alias("start_ms")).distinct().unionByName(rescued)
+
+
+# Names of the categories.
+LABELS = {
+    "profanity_and_rude_language": "Мат и грубая лексика", "insults": "Оскорбления", "toilet_humor": "Туалетный юмор", "violence": "Насилие", "scary_and_disturbing": "Пугающие и тревожные темы",
+    "sexual_content": "Сексуальные темы", "gambling": "Азартные игры и ставки", "substances": "Алкоголь, никотин и другие вещества", "self_harm": "Самоповреждение",
+}
+LABELS_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LABELS.items()) + "}"
+
+
+@query("""WITH e AS (SELECT DISTINCT scan_id, video_id, scene_id, context_start_ms AS start_ms, unnest(categories) AS category FROM draft_scenes WHERE scan_id IS NOT NULL AND video_id IS NOT NULL AND scene_id IS NOT NULL AND context_start_ms IS NOT NULL)
+SELECT *, coalesce(""" + LABELS_SQL + """[category], category) AS label FROM e""")
+def scene_categories(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each category of a scene, with what the scene shares and the category's name."""
+    e = table(spark, d, "draft_scenes").where("scan_id IS NOT NULL AND video_id IS NOT NULL AND scene_id IS NOT NULL AND context_start_ms IS NOT NULL")
+    e = e.select("scan_id", "video_id", "scene_id", F.col("context_start_ms").alias("start_ms"), F.explode("categories").alias("category")).distinct()
+    names = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
+    return e.withColumn("label", F.coalesce(F.try_element_at(names, F.col("category")), F.col("category")))
+
+
+@query("WITH " + CONTROLS_SQL + ", " + GOLD_SQL + """ SELECT control_id, coalesce(max(CASE attention WHEN 'main' THEN 2 WHEN 'details' THEN 1 WHEN 'hidden' THEN 0 END), -1) AS best, count(gold_id) AS labels
+  FROM ctl LEFT JOIN gold g ON g.video_id = ctl.video_id AND abs(g.start_ms - ctl.at_ms) <= 5000 GROUP BY 1""")
+def control_best(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest attention among the labels within 5 s of a control, -1 where there is none."""
+    c = _controls(spark, d)
+    g = _gold(spark, d).select("video_id", F.col("start_ms").alias("g_start"), F.col("start_ms").alias("g_end"), "attention")
+    rank = F.when(F.col("attention") == "main", 2).when(F.col("attention") == "details", 1).when(F.col("attention") == "hidden", 0)
+    hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), g, ["video_id"], "at_ms", "at_end", "g_start", "g_end", pad=5_000)
+    best = hit.groupBy("control_id").agg(F.max(rank).alias("best"), F.count("*").alias("labels"))
+    ids = c.select("control_id").distinct()
+    return ids.join(best, "control_id", "left").select("control_id", F.coalesce("best", F.lit(-1)).alias("best"), F.coalesce("labels", F.lit(0)).alias("labels"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN event_type = 'error' THEN 'provider_error' WHEN value < 1 THEN 'empty' ELSE 'ok' END AS status FROM events")
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    """The properties of events that may be logged, and the kind of outcome."""
+    allowed = F.map_filter(F.from_json("props", "map<string,int>"), lambda k, _: k.isin("k"))
+    status = F.when(F.col("event_type") == "error", "provider_error").when(F.col("value") < 1, "empty").otherwise("ok")
+    return table(spark, d, "events").select("event_id", F.try_element_at(allowed, F.lit("k")).alias("k"), status.alias("status"))
+
+
 # -- streams (an extension) --------------------------------------------------------------------
 
 
