@@ -614,7 +614,7 @@ def control_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT id, list_distinct(list_transform(categories, lambda c: CASE WHEN c IN ('alcohol_and_drugs', 'tobacco_and_nicotine') THEN 'substances' ELSE c END)) AS c FROM (SELECT DISTINCT id, categories FROM parental_quality_manual WHERE id IS NOT NULL AND categories IS NOT NULL))
-SELECT id, c AS category, pos FROM (SELECT id, unnest(list_sort(c)) AS c, generate_subscripts(c, 1) AS pos FROM o)""")
+SELECT id, c AS category, CAST(pos AS INT) AS pos FROM (SELECT id, unnest(list_sort(c)) AS c, generate_subscripts(c, 1) AS pos FROM o)""")
 def requested_categories(spark: SparkSession, d: str) -> DataFrame:
     """Categories of each case, old names mapped, once each, in order of name."""
     p = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND categories IS NOT NULL").select("id", "categories").distinct()
