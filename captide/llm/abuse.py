@@ -70,13 +70,14 @@ LEXICON = {
     "expel": "избав гнать гнати сжечь спалити геть burn brûler verbrenn niederbrenn quemar fuera dehors raus rid thrown chassez chasser",
     "decent": "decent décent anständig порядочн порядн decente",
     "human": "people люди людьми menschen humans humain personas human",
+    "even": "even вообще взагалі überhaupt siquiera même",
     "dwell": "street улицу вулицю straße rue calle live живут живуть wohnen leben vivent viven",
     "slept": "slept переспал couché acostaron geschlafen переспав",
     "without": "without без sans ohne sin",
     "better": "better nicer лучше краще besser bessere mejor meilleur",
     "world": "world свете світі monde welt mundo",
     "mention": "word слово mot wort palabra term термин термін terme begriff término called называл називав nannte genannt traité llamó",
-    "no": "no not never nobody anyone no-one не никого нікого вовсе зовсім kein keinen niemanden nie pas personne jamais ningún nadie nunca nicht",
+    "no": "no not never nobody anyone no-one не никого нікого вовсе зовсім kein keinen niemanden nie pas n'es n'est personne jamais ningún nadie nunca nicht",
     "play": "game игр boss босса боса class класс klasse classe clase",
 }
 
@@ -147,9 +148,9 @@ LEXICAL = [_hash(f"<{k}>") for k in LEXICON]
 EXAMPLES = {
     1: ["you scorn insult", "silence insult", "silence insult no you", "silence you insult", "scorn insult", "you shame", "no you scorn insult",
         "without you world better", "world better without you", "sexual", "sexual picture", "nudity adult moan", "adult nudity moan", "nudity picture adult",
-        "picture nudity adult", "vermin expel", "human vermin", "expel dwell", "slept picture", "decent no", "decent no human", "no decent"],
+        "picture nudity adult", "vermin expel", "human vermin", "expel dwell", "slept picture", "no even human", "human even no", "decent no", "decent no human", "no decent"],
     0: ["you no insult", "you no insult you", "no you no insult", "you no no insult you", "no insult you you", "no scorn insult", "mention insult", "insult mention", "mention no insult", "no mention insult",
-        "no no mention insult", "play insult", "insult play", "nudity", "moan", "dwell", "slept", "adult", "picture", "no", "you", "you no", "human", "no human", "without", "without no",
+        "no no mention insult", "play insult", "insult play", "nudity", "moan", "even", "no even", "even you", "dwell", "slept", "adult", "picture", "no", "you", "you no", "human", "no human", "without", "without no",
         "without world", "better", "world", "mention", "mention no", "play", "human you", "no you human", "picture human", "world human", "better you", "no without human"],
 }
 #: Times each example counts.
@@ -286,7 +287,14 @@ def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: in
     starts = np.flatnonzero(codes > 0)  # a window begins with a term that tells
     good, bad = starts[sure_good[starts]], starts[label[doc[starts]]]
     c = np.append(np.append(0, np.cumsum(np.isin(flat, STRONG))), np.zeros(WINDOW, int))
-    unjudged = starts[usual[starts] & (c[np.minimum(starts + WINDOW, len(flat))] == c[starts])]
+    plain = usual[starts] & (c[np.minimum(starts + WINDOW, len(flat))] == c[starts])
+    holds = {}
+    for kind in LEXICON:
+        n = np.append(np.append(0, np.cumsum(flat == _hash(f"<{kind}>"))), np.zeros(WINDOW, int))
+        holds[kind] = n[np.minimum(starts + WINDOW, len(flat))] > n[starts]
+    for example in EXAMPLES[1]:  # nor does a window that looks like a case
+        plain &= ~np.logical_and.reduce([holds[k] for k in set(example.split())])
+    unjudged = starts[plain]
     neg = np.concatenate([x[rng.permutation(len(x))[:40_000]] for x in (good, unjudged)])
     machine = None
     for r in range(rounds):
