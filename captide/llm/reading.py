@@ -25,6 +25,10 @@ FIT_DOCUMENTS = 6_000
 GROUPS, GROUP = 1 << 16, 4
 #: Words that one stretch of a text has, of which the share of hard stretches is a feature.
 STRETCH = 20
+#: How much more a pair with a text of the highest grade counts.
+TOP_PAIRS = 8.0
+#: Features of a text.
+MEASURES = 7
 #: A document is of the highest grade if its level exceeds this.
 HIGHEST = 3.5
 
@@ -117,6 +121,7 @@ class Measures(dict):
         text = np.repeat(np.arange(len(texts)), counts)
         sums = np.stack([np.bincount(text, weights=per[:, k], minlength=len(texts)) for k in range(per.shape[1])], axis=1)
         n = np.maximum(sums[:, 0], 1)
+        self.worded = sums[:, 0] > 0  # of the texts just measured, which have words
         share = sums / n[:, None]
         # share of stretches of the text most of whose words are hard
         begin = np.cumsum(counts) - counts
@@ -129,14 +134,21 @@ class Measures(dict):
         owner = np.repeat(np.arange(len(texts)), np.diff(most))
         hard_stretches = np.bincount(owner, weights=dense * w, minlength=len(texts)) / n
         sentence = np.where(sums[:, 6] > 0, n / np.maximum(sums[:, 6], 1), np.nan)
+        # without punctuation nothing is known of sentences, which then count as usual ones (nan);
+        # each measure counts within the range in which it tells levels apart: long names, commas or words of
+        # one language alone don't make a text specialist, nor do a few learned sentences
         return np.stack([
-            share[:, 4], hard_stretches, share[:, 1], share[:, 2], np.log1p(np.nan_to_num(np.clip(sentence, 1, 20), nan=12.0)),
-            np.minimum(share[:, 5], 0.06), np.minimum(share[:, 7], 0.1),
-            # whether the text is so for the most part: a few learned sentences hardly count
+            np.clip(share[:, 1], 3, 6.5), np.minimum(share[:, 2], 0.2), np.log1p(np.clip(sentence, 1, 20)),
+            np.where(np.isnan(sentence), np.nan, np.minimum(share[:, 5], 0.06)), np.minimum(share[:, 7], 0.1),
             np.clip((share[:, 4] - 0.3) / 0.25, 0, 1), np.clip((hard_stretches - 0.35) / 0.3, 0, 1),
         ], axis=1)
 
 
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Measures by their spread; what isn't known is usual."""
+    return np.nan_to_num((x - mean) / scale)
+
+
 class Ranker:
     """Scores and grades from feature vectors."""
 
@@ -144,7 +156,7 @@ class Ranker:
         self.mean, self.scale, self.weight, self.knots, self.levels = mean, scale, weight, knots, levels
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weight
+        return standard(x, self.mean, self.scale) @ self.weight
 
     def level(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.knots, self.levels)
@@ -171,27 +183,32 @@ def fit(texts: list[str], grades: list[int], rounds: int = 8, seed: int = 5) ->
     """Word model, ranker and calibration from graded texts."""
     y = np.array(grades, float)
     if not len(y):
-        return WordModel(-1.0, np.zeros(GROUPS)), Ranker(np.zeros(9), np.ones(9), np.zeros(9), np.array([0.0]), np.array([2.0]))
+        return WordModel(-1.0, np.zeros(GROUPS)), Ranker(np.zeros(MEASURES), np.ones(MEASURES), np.zeros(MEASURES), np.array([0.0]), np.array([2.0]))
     words = [_WORD.findall(cleaned(t)) for t in texts]
     top = y == max(4, y.max())
     # the word features of a text come from a model that hasn't seen the text
     fold = np.array([xxhash.xxh32_intdigest(t) % 3 for t in texts])
-    x = np.zeros((len(texts), 9))
+    x = np.zeros((len(texts), MEASURES))
     for f in range(3):
         out = np.flatnonzero(fold == f)
         model = fit_words([words[i] for i in np.flatnonzero(fold != f)], top[fold != f])
         if len(out):
             x[out] = Measures(model).of([texts[i] for i in out])
     model = fit_words(words, top)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = (x - mean) / scale
+    known = ~np.isnan(x)
+    mean = np.where(known, x, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+    scale = np.sqrt(np.where(known, (x - mean) ** 2, 0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)) + 1e-6
+    z = standard(x, mean, scale)
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, len(y), (2, 20_000))
     keep = y[a] > y[b]
     diff, gap = z[a[keep]] - z[b[keep]], (y[a] - y[b])[keep]
     weight = np.zeros(x.shape[1])
+    # pairs with a text of the highest grade count most, since it is this line that matters
+    times = np.where(y[a[keep]] == y.max(), TOP_PAIRS, 1.0)
     for _ in range(rounds):  # squared hinge by Newton steps: the harder text leads by the difference of the grades
-        d, g = (diff, gap) if not weight.any() else (diff[diff @ weight < gap], gap[diff @ weight < gap])
+        short = diff @ weight < gap if weight.any() else np.ones(len(gap), bool)
+        d, g = diff[short] * times[short, None] ** 0.5, gap[short] * times[short] ** 0.5
         weight = np.linalg.solve(d.T @ d + 1e-3 * len(diff) * np.eye(x.shape[1]) + 1e-9 * np.eye(x.shape[1]), d.T @ g)
     score = z @ weight
     knots, levels = isotonic(score, y)
@@ -219,7 +236,7 @@ def reading_levels(documents: DataFrame, grades: DataFrame) -> DataFrame:
             for lo in range(0, len(texts), 2000):
                 part = texts[lo : lo + 2000]
                 x = measures.of(part)
-                score = np.where(x[:, 2] > 0, ranker.score(x), np.nan)
+                score = np.where(measures.worded, ranker.score(x), np.nan)
                 yield pd.DataFrame({"doc_id": ids[lo : lo + 2000], "score": score, "level": np.where(np.isnan(score), np.nan, ranker.level(score))})
 
     own = documents.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))

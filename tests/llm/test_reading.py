@@ -10,11 +10,16 @@ PLAIN = ["the captain hides the last lantern over the river", "the old wizard di
 HARD = ["the phenomenological categorization of juridical intentionality presupposes terminological differentiation", "notwithstanding considerable divergence the methodological heterogeneity undermines comparability of aggregated indicators", "epistemological contingency necessitates systematic disaggregation of heterogeneous classifications"]
 
 
+def name(r):
+    return "".join(r.choice(["zim", "bra", "nep", "quen", "tor", "lu", "ven", "osk"]) for _ in range(4)).title()
+
+
 def text(r, grade, punctuation=True):
+    owes = f"{name(r)} owes {name(r)} exactly {r.randint(1, 900)} gold bars"
     if grade == 1:
         s = [r.choice(EASY) for _ in range(r.randint(5, 12))]
     elif grade == 2:
-        s = [r.choice(PLAIN) for _ in range(r.randint(4, 10))]
+        s = [r.choice([*PLAIN, owes]) for _ in range(r.randint(4, 10))]
     elif grade == 3:
         s = [", and then ".join(r.choice(PLAIN) for _ in range(3)) for _ in range(r.randint(3, 6))]
     else:
