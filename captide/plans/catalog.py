@@ -328,13 +328,33 @@ def control_recall(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + SCENES_SQL + """, st AS (SELECT DISTINCT scan_id, video_id, scene_id, s, e FROM sc)
 SELECT a.scan_id, a.video_id, a.scene_id, a.s AS start_ms FROM st a WHERE NOT EXISTS (SELECT 1 FROM st b WHERE b.video_id = a.video_id AND b.scan_id <> a.scan_id AND a.s <= b.e + 3000 AND a.e >= b.s - 3000)""")
 def vanished_scenes(spark: SparkSession, d: str) -> DataFrame:
-    """Scenes that no other scan of the same video has within 3 s."""
+    """Scenes beside which no other scan of the same video has any scene within 3 s, of whatever category
+    (a looser test than that of ``vanished_events``)."""
     a = _scenes(spark, d)
     b = a.select(F.col("scan_id").alias("other"), "video_id", F.col("s").alias("s2"), F.col("e").alias("e2"))
     hit = rangejoin.overlap_join(a, b, ["video_id"], "s", "e", "s2", "e2", pad=3_000).where("scan_id != other").select("scan_id", "video_id", "scene_id", "s").distinct()
     return a.join(hit, ["scan_id", "video_id", "scene_id", "s"], "left_anti").select("scan_id", "video_id", "scene_id", F.col("s").alias("start_ms")).distinct()
 
 
+CATEGORY_SCENES_SQL = "ct AS (SELECT DISTINCT scan_id, video_id, scene_id, context_start_ms AS s, context_end_ms AS e, coalesce(unnest(CASE WHEN len(categories) > 0 THEN categories ELSE [NULL] END), '') AS category FROM draft_scenes WHERE context_start_ms IS NOT NULL AND context_end_ms > context_start_ms AND video_id IS NOT NULL)"
+
+
+@query("WITH " + CATEGORY_SCENES_SQL + """
+SELECT DISTINCT a.scan_id, a.video_id, a.scene_id, a.category, a.s AS start_ms, a.e AS end_ms FROM ct a
+WHERE NOT EXISTS (SELECT 1 FROM ct b WHERE b.video_id = a.video_id AND b.category = a.category AND b.scan_id <> a.scan_id AND a.s <= b.e + 3000 AND a.e >= b.s - 3000)""")
+def vanished_events(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each category of a scene that no other scan of the same video has within 3 s in
+    the SAME category. Scenes without a category count as of the category ''."""
+    s = table(spark, d, "draft_scenes").where("context_start_ms IS NOT NULL AND context_end_ms > context_start_ms AND video_id IS NOT NULL")
+    a = s.select("scan_id", "video_id", "scene_id", F.col("context_start_ms").alias("s"), F.col("context_end_ms").alias("e"), F.explode_outer("categories").alias("category"))
+    a = a.withColumn("category", F.coalesce("category", F.lit(""))).distinct()
+    b = a.select(F.col("scan_id").alias("other"), "video_id", "category", F.col("s").alias("s2"), F.col("e").alias("e2")).distinct()
+    cols = ["scan_id", "video_id", "scene_id", "category", "s", "e"]
+    hit = rangejoin.overlap_join(a, b, ["video_id", "category"], "s", "e", "s2", "e2", pad=3_000).where("scan_id != other").select(*(F.col(c).alias(f"h_{c}") for c in cols)).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in cols]
+    return a.join(hit, same, "left_anti").select("scan_id", "video_id", "scene_id", "category", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+
+
 @query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """, c AS (SELECT DISTINCT g.gold_id, g.video_id, s.seg_idx, s.start_ms, s.end_ms, s.text FROM gold g JOIN seg s ON s.video_id = g.video_id AND s.start_ms <= g.start_ms + 5000 AND s.end_ms >= g.start_ms),
 i AS (SELECT *, seg_idx - row_number() OVER (PARTITION BY gold_id, video_id ORDER BY seg_idx) AS island FROM c)
 SELECT gold_id, video_id, min(seg_idx) AS first_seg, max(seg_idx) AS last_seg, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY seg_idx) AS text FROM i GROUP BY gold_id, video_id, island""")
