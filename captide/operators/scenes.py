@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captide.operators import rangejoin
 from captide.operators.captions import GROUPS, _strands
 
 #: Categories that count as one when scenes are compared.
@@ -75,6 +79,43 @@ def greedy_unique(events: DataFrame, keys: list[str], id_col: str, pad: int = 2_
     )
 
 
+def keep_first(rows: DataFrame, keys: list[str], id_col: str, pad: int = 2_000) -> DataFrame:
+    """(*keys, id_col, start_ms, end_ms): rows in order of start (then id), without those that come within
+    ``pad`` of one kept before under the same keys; nothing replaces a kept row. Rows with null or
+    impossible times are left out. Null keys count as equal.
+
+    Rows farther from all earlier ones begin a new strand; strands stream by in order, in constant memory:
+    as starts only grow, the greatest end kept so far decides.
+    """
+    cols = [*keys, id_col, "start_ms", "end_ms"]
+    keyed = rows.select(*cols).where("end_ms >= start_ms").withColumn("_key", F.to_json(F.struct(*keys)))
+    strands = _strands(keyed, "_key", id_col, "start_ms", "end_ms", gap=pad + 1)
+    ordered = strands.select(*cols, "_key", "strand").repartition("_key", "strand").sortWithinPartitions("_key", "strand", "start_ms", id_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, reach = None, 0
+        for b in batches:
+            keep = []
+            for key, strand, start, end in zip(*(b.column(c).to_pylist() for c in ("_key", "strand", "start_ms", "end_ms"))):
+                keep.append((key, strand) != last or start > reach + pad)
+                if keep[-1]:
+                    reach = end if (key, strand) != last else max(reach, end)
+                    last = key, strand
+            yield b.filter(pa.array(keep, pa.bool_())).select(cols)
+
+    return ordered.mapInArrow(run, strands.select(*cols).schema)
+
+
+def accepted(candidates: DataFrame, known: DataFrame, keys: list[str], id_col: str, pad: int = 2_000) -> DataFrame:
+    """(*keys, id_col, start_ms, end_ms): the candidates, in order of start (then id), that come within
+    ``pad`` of no row of ``known`` and of no candidate accepted before, under the same keys. ``keys``
+    must not be null."""
+    k = known.select(*keys, F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e")).distinct()
+    c = candidates.select(*keys, id_col, "start_ms", "end_ms").distinct()
+    hit = rangejoin.overlap_join(c, k, keys, "start_ms", "end_ms", "_s", "_e", pad=pad).select(*c.columns).distinct()
+    return keep_first(c.join(hit, c.columns, "left_anti"), keys, id_col, pad)
+
+
 def matching(pairs: DataFrame, group: list[str], left: str, right: str) -> DataFrame:
     """(*group, matched): the greatest number of pairs that use no left and no right twice, per group
     (augmenting paths). A group's eligible pairs must be a bounded set, such as those of one strand."""

@@ -404,10 +404,22 @@ r AS (SELECT video_id, category, subtype, k, [{'i': event_id, 's': start_ms, 'e'
 z AS (SELECT video_id, category, subtype, unnest(arg_max(kept, k)) AS x FROM r GROUP BY 1, 2, 3)
 SELECT video_id, category, subtype, x.i AS event_id, x.s AS start_ms, x.e AS end_ms, x.c AS confidence FROM z""")
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    """Events kept in order, a later one within 2 s replacing a kept one of lower confidence."""
+    """Events kept in order, a later one within 2 s replacing a kept one of lower confidence."""
     return scenes.greedy_unique(content_events(spark, d), ["video_id", "category", "subtype"], "event_id")
 
 
+@query("WITH RECURSIVE " + EVENTS_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, category ORDER BY start_ms, event_id) AS k FROM ev),
+r AS (SELECT video_id, category, k, [{'i': event_id, 's': start_ms, 'e': end_ms}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.video_id, o.category, o.k, CASE WHEN len(list_filter(r.kept, lambda y: y.s <= o.end_ms + 2000 AND y.e >= o.start_ms - 2000)) > 0 THEN r.kept ELSE list_append(r.kept, {'i': o.event_id, 's': o.start_ms, 'e': o.end_ms}) END
+  FROM r JOIN o ON o.video_id = r.video_id AND o.category IS NOT DISTINCT FROM r.category AND o.k = r.k + 1),
+z AS (SELECT video_id, category, unnest(arg_max(kept, k)) AS x FROM r GROUP BY 1, 2)
+SELECT video_id, category, x.i AS event_id, x.s AS start_ms, x.e AS end_ms FROM z""")
+def rejected_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Of events of one video and category, whatever their subtype and confidence, the first is kept
+    and every later one within 2 s of a kept one is dropped."""
+    return scenes.keep_first(content_events(spark, d), ["video_id", "category"], "event_id")
+
+
 @query("""WITH RECURSIVE d AS (SELECT scan_id, video_id, scene_id, context_start_ms AS s, context_end_ms AS e, min(coalesce(categories, [])) AS c FROM draft_scenes
   WHERE context_start_ms IS NOT NULL AND context_end_ms >= context_start_ms AND scan_id IS NOT NULL AND video_id IS NOT NULL AND scene_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5),
 o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, video_id ORDER BY s, scene_id) AS k FROM d),
@@ -778,7 +790,8 @@ def run_order(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH " + GOLD_SQL + ", " + SCENES_SQL + """, u AS (SELECT gold_id, video_id, start_ms FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.video_id = g.video_id AND g.start_ms >= sc.s - 5000 AND g.start_ms <= sc.e + 5000))
 SELECT 'scene' AS part, video_id, scene_id AS id, s AS start_ms FROM (SELECT DISTINCT video_id, scene_id, s FROM sc) UNION ALL SELECT 'label', video_id, gold_id, start_ms FROM u""")
 def known_and_rescued(spark: SparkSession, d: str) -> DataFrame:
-    """All scenes, and beside them the labels that no scene covers within 5 s."""
+    """All scenes, and beside them the labels that no scene covers within 5 s. The labels are
+    not held against each other, which ``accepted_rescues`` does."""
     sc = _scenes(spark, d)
     g = _gold(spark, d).select("gold_id", "video_id", "start_ms").withColumn("till", F.col("start_ms"))
     hit = rangejoin.overlap_join(g, sc.select("video_id", "s", "e").distinct(), ["video_id"], "start_ms", "till", "s", "e", pad=5_000).select("gold_id", "video_id", "start_ms").distinct()
@@ -786,6 +799,21 @@ def known_and_rescued(spark: SparkSession, d: str) -> DataFrame:
     return sc.select(F.lit("scene").alias("part"), "video_id", F.col("scene_id").alias("id"), F.col("s").alias("start_ms")).distinct().unionByName(rescued)
 
 
+@query("WITH RECURSIVE " + GOLD_SQL + ", " + SCENES_SQL + """, u AS (SELECT DISTINCT gold_id, video_id, start_ms FROM gold g WHERE NOT EXISTS (SELECT 1 FROM sc WHERE sc.video_id = g.video_id AND g.start_ms >= sc.s - 5000 AND g.start_ms <= sc.e + 5000)),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_ms, gold_id) AS k FROM u),
+r AS (SELECT video_id, k, [{'i': gold_id, 's': start_ms}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.video_id, o.k, CASE WHEN len(list_filter(r.kept, lambda y: abs(y.s - o.start_ms) <= 5000)) > 0 THEN r.kept ELSE list_append(r.kept, {'i': o.gold_id, 's': o.start_ms}) END
+  FROM r JOIN o ON o.video_id = r.video_id AND o.k = r.k + 1),
+z AS (SELECT video_id, unnest(arg_max(kept, k)) AS x FROM r GROUP BY 1)
+SELECT video_id, x.i AS gold_id, x.s AS start_ms FROM z""")
+def accepted_rescues(spark: SparkSession, d: str) -> DataFrame:
+    """The labels, in order of time, that neither a scene nor a label accepted before covers
+    within 5 s. Labels have no category here; with one it is a further key of ``scenes.accepted``."""
+    g = _gold(spark, d).select("gold_id", "video_id", "start_ms", F.col("start_ms").alias("end_ms"))
+    sc = _scenes(spark, d).select("video_id", F.col("s").alias("start_ms"), F.col("e").alias("end_ms"))
+    return scenes.accepted(g, sc, ["video_id"], "gold_id", pad=5_000).drop("end_ms")
+
+
 # Names of the categories.
 LABELS = {
     "profanity_and_rude_language": "Мат и грубая лексика", "insults": "Оскорбления", "toilet_humor": "Туалетный юмор", "violence": "Насилие", "scary_and_disturbing": "Пугающие и тревожные темы",
