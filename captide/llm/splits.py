@@ -12,10 +12,10 @@ from captide.llm.words import words
 
 #: A word is rare if at most this many different texts have it.
 RARE = 64
-#: A text with fewer rare words than this is also compared by all its shingles.
+#: A text with fewer rare words than this is also compared by the segments that edits leave whole.
 ENOUGH = 4
-#: Bands of one row over rare words; bands of two rows over shingles of three words.
-WORD_BANDS, SHINGLE_BANDS, SHINGLE_ROWS, SHINGLE_WORDS = 24, 48, 2, 3
+#: Bands of one row over rare words.
+WORD_BANDS = 24
 #: Words altered, added or dropped (two neighbours exchanged are two words altered).
 EDITS = 2
 
@@ -56,8 +56,22 @@ def _verify(most: int):
     return F.pandas_udf(verify, "struct<jaccard double, edits int>")
 
 
-def _minhashes(items: Column, n: int, salt: str) -> Column:
-    return F.array(*(F.array_min(F.transform(items, lambda x, j=j: F.xxhash64(x, F.lit(f"{salt}{j}")))) for j in range(n)))
+def _segment_hashes(most: int) -> Column:
+    """Of the words ``w`` of a text: its most + 1 even segments, each hashed with its number and the text's length."""
+    k = most + 1
+    return F.expr(f"transform(sequence(0, {most}), i -> xxhash64(size(w), i, slice(w, CAST((i * size(w)) DIV {k} AS INT) + 1, CAST(((i + 1) * size(w)) DIV {k} - (i * size(w)) DIV {k} AS INT))))")
+
+
+def _probe_hashes(most: int) -> Column:
+    """Of the words ``w`` of a text: every slice that may be a segment of a text at most ``most`` edits away.
+
+    ``most`` edits leave one of most + 1 segments whole, shifted by at most ``most`` words, so two such
+    texts always share a hash with ``_segment_hashes``."""
+    k = most + 1
+    length = f"CAST(((i + 1) * m) DIV {k} - (i * m) DIV {k} AS INT)"
+    begin = f"CAST((i * m) DIV {k} AS INT)"
+    slices = f"transform(filter(sequence({begin} - {most}, {begin} + {most}), p -> p >= 0 AND p + {length} <= size(w)), p -> xxhash64(m, i, slice(w, p + 1, {length})))"
+    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(1, size(w) - {most}), size(w) + {most}), m -> flatten(transform(sequence(0, {most}), i -> {slices})))))")
 
 
 def text_classes(records: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: str) -> DataFrame:
@@ -81,29 +95,19 @@ def class_pairs(classes: DataFrame, most: int = EDITS) -> DataFrame:
 
     ``classes`` has (key, form, in_train, in_eval). Minwise hashes of a text's rare words, one band each,
     find its partners: of at least ENOUGH rare words at most two can differ, so the Jaccard similarity of
-    the rare words is a third or more and a pair is missed with probability (2/3)^24. Texts with fewer
-    rare words (stock phrases, texts with very many variants) are found by their shingles. Every
-    candidate is then verified on the whole texts.
+    the rare words is a third or more and a pair is missed with probability (2/3)^24. Two texts that
+    both have fewer rare words (stock phrases, texts with very many variants) are found for certain, by
+    a segment that the edits leave whole. Every candidate is then verified on the whole texts.
     """
     sides = classes.select("key", "in_train", "in_eval")
     word = classes.select("key", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
     rare = word.groupBy("word").count().where(F.col("count").between(1, RARE)).select("word")
     rare_of = word.join(rare, "word").groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.min(F.xxhash64("word", F.lit(f"w{j}"))) for j in range(WORD_BANDS))).alias("h"))
-    by_word = rare_of.select("key", F.posexplode("h").alias("band", "bucket"))
-    poor = classes.join(rare_of.where(F.col("n") >= ENOUGH).select("key"), "key", "left_anti")
-    w = F.split("form", " ")
-    shingle = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE_WORDS, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE_WORDS), " ")
-    )
-    by_shingle = (
-        poor.withColumn("s", shingle)
-        .withColumn("h", _minhashes(F.col("s"), SHINGLE_BANDS * SHINGLE_ROWS, "s"))
-        .select("key", F.posexplode(F.array(*(F.xxhash64(*(F.col("h")[j * SHINGLE_ROWS + r] for r in range(SHINGLE_ROWS))) for j in range(SHINGLE_BANDS)))).alias("band", "bucket"))
-        .withColumn("band", F.col("band") + WORD_BANDS)
-    )
-    bands = by_word.unionByName(by_shingle).join(sides, "key")
-    t = bands.where("in_train").select(F.col("key").alias("key_t"), "band", "bucket")
-    e = bands.where("in_eval").select(F.col("key").alias("key_e"), "band", "bucket")
+    bands = rare_of.select("key", F.posexplode("h").alias("band", "bucket")).join(sides, "key")
+    poor = classes.join(rare_of.where(F.col("n") >= ENOUGH).select("key"), "key", "left_anti").withColumn("w", F.split("form", " "))
+    by_segment = lambda side, hashes: poor.where(side).select("key", F.lit(-1).alias("band"), F.explode(hashes).alias("bucket"))
+    t = bands.where("in_train").select("key", "band", "bucket").unionByName(by_segment("in_train", _segment_hashes(most))).withColumnRenamed("key", "key_t")
+    e = bands.where("in_eval").select("key", "band", "bucket").unionByName(by_segment("in_eval", _probe_hashes(most))).withColumnRenamed("key", "key_e")
     candidates = t.join(e, ["band", "bucket"]).where("key_t != key_e").select("key_t", "key_e").distinct()
     form = classes.select("key", "form")
     return (
