@@ -25,9 +25,6 @@ BLOCK = 1024
 #: parser tells names by their capitals and the join is a shuffle join.
 MAX_BROADCAST_SPEAKERS = 20_000
 
-#: An annotation is no longer than this.
-ANNOTATION_CHARS = 1_000
-
 FILLERS = frozenset(
     "э э-э ээ эм ну короче uh um uhm erm hm hum euh heu euuh äh ähm öh eh eeh em mmm е-е еее ем".split()
 )
@@ -96,6 +93,7 @@ class Grammar:
     def parse(self, text: str) -> list[Node]:
         text = _SPACE.sub(" ", _ENTITY.sub(" ", text)).strip()
         self.colon, self.bracket = ":" in text, "(" in text
+        self.closes: dict[int, int] | None = None
         out: list[Node] = []
         at, end = 0, len(text)
         while at < end:
@@ -156,23 +154,31 @@ class Grammar:
         out.append(Node("word", m[0]))
         return stop
 
+    @staticmethod
+    def _closes(text: str) -> dict[int, int]:
+        """Where each bracket that is closed is closed, found in one pass."""
+        out, open_ = {}, []
+        for i, c in enumerate(text):
+            if c in _CLOSE:
+                open_.append(i)
+            elif open_ and c == _CLOSE[text[open_[-1]]]:
+                out[open_.pop()] = i
+        return out
+
     def _annotation(self, text: str, at: int, out: list[Node]) -> int:
-        """A bracketed annotation; what nested annotations hold is left out of its body."""
-        open_, inner, i, end = [_CLOSE[text[at]]], [], at + 1, min(len(text), at + ANNOTATION_CHARS)
+        """A bracketed annotation of any length; what nested annotations hold is left out of its body."""
+        if self.closes is None:
+            self.closes = self._closes(text)
+        if (end := self.closes.get(at)) is None:
+            return at + 1  # never closed: no annotation
+        inner, i = [], at + 1
         while i < end:
-            c = text[i]
-            if c == open_[-1]:
-                open_.pop()
-                if not open_:
-                    break
-            elif c in _CLOSE:
-                open_.append(_CLOSE[c])
-            elif len(open_) == 1:
-                inner.append(c)
+            if (nested := self.closes.get(i)) is not None:
+                i = nested
+            else:
+                inner.append(text[i])
             i += 1
-        else:
-            return at + 1  # never closed: no annotation
-        body, after = "".join(inner).strip(), i + 1
+        body, after = "".join(inner).strip(), end + 1
         if colon := _COLON.match(text, after):
             after = colon.end()
         if _TIME.fullmatch(body):

@@ -2,7 +2,14 @@
 
 import random
 
-from captide.llm import splits
+from captide.llm import splits, turns
+
+
+def test_annotation_of_any_length_is_no_speech():
+    g = turns.Grammar([])
+    assert turns.parts_of(g, "one [" + "x " * 2000 + "(and more)] two") == [(None, "one two")]
+    assert turns.parts_of(g, "one [two (three]") == [(None, "one two three")]
+    assert turns.parts_of(g, "(" * 50_000 + " word") == [(None, "word")]  # linear, or this never ends
 
 
 def test_pairs_without_rare_words_are_all_found(spark):
