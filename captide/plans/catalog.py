@@ -231,7 +231,7 @@ def overlap_caption_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH " + SEGMENTS_SQL + " SELECT video_id, seg_idx, sha256(text) AS fingerprint FROM seg")
 def caption_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """H, S17: SHA-256 of each segment's text."""
+    """H: SHA-256 of each segment's text."""
     return segments(spark, d).select("video_id", "seg_idx", F.sha2("text", 256).alias("fingerprint"))
 
 
@@ -580,14 +580,14 @@ def top_events(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT video_id, scene_id, scan_id, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY scan_id DESC) AS k FROM (SELECT DISTINCT video_id, scene_id, scan_id FROM draft_scenes WHERE video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL))
 SELECT video_id, scene_id, scan_id FROM r WHERE k = 1""")
 def newest_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Of each scene id the newest scan."""
+    """Of each scene id the newest scan."""
     s = table(spark, d, "draft_scenes").where("video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL")
     return s.groupBy("video_id", "scene_id").agg(F.max("scan_id").alias("scan_id"))
 
 
 @query("WITH " + GOLD_SQL + " SELECT video_id, CAST(count_if(attention = 'main') AS BIGINT) AS main, CAST(count_if(attention = 'details') AS BIGINT) AS details, CAST(count_if(attention = 'hidden') AS BIGINT) AS hidden FROM gold GROUP BY 1")
 def attention_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of each video by attention."""
+    """A26, and of A23 the counts alone: labels of each video by attention."""
     p = _gold(spark, d).groupBy("video_id").pivot("attention", ["main", "details", "hidden"]).agg(F.count(F.lit(1)))
     return p.na.fill(0)
 
@@ -610,7 +610,7 @@ b AS (SELECT x.video_id, x.scan_id, count(*) AS shared FROM s x JOIN f USING (vi
 SELECT n.video_id, n.scan_id, floor(coalesce(shared, 0) * 1.0 / (n.n + m.n - coalesce(shared, 0)) * 10000 + 0.5) / 10000 AS jaccard
 FROM n JOIN f USING (video_id) JOIN n m ON m.video_id = n.video_id AND m.scan_id = f.first LEFT JOIN b ON b.video_id = n.video_id AND b.scan_id = n.scan_id WHERE n.scan_id <> f.first""")
 def scan_stability(spark: SparkSession, d: str) -> DataFrame:
-    """How alike the categories of a video are in a later scan and in its first."""
+    """U6, U7, and of A20 the likeness alone: how alike the categories of a video are in a later scan and in its first."""
     s = table(spark, d, "draft_scenes").where("scan_id IS NOT NULL AND video_id IS NOT NULL")
     sets = s.select("video_id", "scan_id", F.explode("categories").alias("c")).groupBy("video_id", "scan_id").agg(F.collect_set("c").alias("c"))  # nine categories at most
     first = sets.groupBy("video_id").agg(F.min_by(F.struct(F.col("scan_id").alias("scan"), F.col("c").alias("c")), "scan_id").alias("f"))
@@ -634,7 +634,7 @@ def split_sets(spark: SparkSession, d: str) -> DataFrame:
 q AS (SELECT CAST(count_if(hit AND mode <> 'no_main') AS BIGINT) AS tp, CAST(count_if(hit AND mode = 'no_main') AS BIGINT) AS fp, CAST(count_if(NOT hit AND mode <> 'no_main') AS BIGINT) AS fn, CAST(count_if(NOT hit AND mode = 'no_main') AS BIGINT) AS tn FROM m)
 SELECT *, floor(CASE WHEN tp + fp > 0 THEN tp * 1.0 / (tp + fp) END * 10000 + 0.5) / 10000 AS precision, floor(CASE WHEN tp + fn > 0 THEN tp * 1.0 / (tp + fn) END * 10000 + 0.5) / 10000 AS recall FROM q""")
 def control_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Counts, precision and recall of visible labels against the controls."""
+    """Counts, precision and recall of visible labels against the controls."""
     g = _gold(spark, d).where("attention != 'hidden'").select("video_id", F.col("start_ms").alias("g_start"), F.col("start_ms").alias("g_end"))
     c = _controls(spark, d)
     hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), g, ["video_id"], "at_ms", "at_end", "g_start", "g_end", pad=5_000).select("control_id").distinct()
