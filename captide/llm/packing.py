@@ -84,12 +84,12 @@ def pack(df: DataFrame, id_col: str, size_cols: list[str], capacities: list[int]
 
     Limits hold at once in all dimensions (tokens, segments, loss-bearing tokens). An item that exceeds
     a capacity is cut evenly in all dimensions into as few pieces as fit. Null and negative sizes count
-    as 0; repeated rows count once; of several rows with one id, and of null ids, each is an item; an
-    empty table gives no rows; other columns are ignored. ``container`` is ``shard-number``.
+    as 0; rows repeated in all columns count once; of several rows with one id, and of null ids, each is
+    an item, even of equal sizes; an empty table gives no rows; other columns are not in the result. ``container`` is ``shard-number``.
     """
     caps = np.array(capacities, np.int64)
     sizes = [F.greatest(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), F.lit(0)).alias(f"s{i}") for i, c in enumerate(size_cols)]
-    items = df.select(F.col(id_col).alias("id"), *sizes).distinct()
+    items = df.distinct().select(F.col(id_col).alias("id"), *sizes)
     d = len(size_cols)
     pieces = F.greatest(*(F.ceil(F.col(f"s{i}") / F.lit(c)) for i, c in enumerate(capacities)), F.lit(1))
     if d == 1:  # full pieces and a rest

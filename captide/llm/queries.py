@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from captide.llm import abuse, encode, langid, leaks, nearest, packing, reading, splits, turns
+from captide.operators import captions
 from captide.sources.tables import table
+from captide.sources.views import captions as clean_captions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +56,12 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_batches(spark, d), ["estimated_tokens"], [70_000])
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of all transcripts in batches of 70,000 tokens and 3,000 segments, both at once."""
+    c = captions.chunks(clean_captions(spark, d)).select(F.concat_ws(":", "video_id", "chunk").alias("chunk"), "tokens", (F.col("last") - F.col("first") + 1).alias("segments"))
+    return packing.pack(c, "chunk", ["tokens", "segments"], [70_000, 3_000])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.found_items(table(spark, d, "documents"), table(spark, d, "transcript_segments"), table(spark, d, "abuse_labels"))
 

@@ -2,7 +2,7 @@
 
 import random
 
-from captide.llm import splits, turns
+from captide.llm import packing, splits, turns
 
 
 def test_annotation_of_any_length_is_no_speech():
@@ -12,6 +12,12 @@ def test_annotation_of_any_length_is_no_speech():
     assert turns.parts_of(g, "(" * 50_000 + " word") == [(None, "word")]  # linear, or this never ends
 
 
+def test_rows_of_null_or_equal_ids_are_items_each(spark):
+    data = [(None, 5, "a"), (None, 5, "b"), ("x", 7, "a"), ("x", 7, "b"), ("x", 7, "b")]
+    got = packing.pack(spark.createDataFrame(data, "id string, a long, video string"), "id", ["a"], [100]).collect()
+    assert sorted((x.id or "", x.a) for x in got) == [("", 5), ("", 5), ("x", 7), ("x", 7)]
+
+
 def test_pairs_without_rare_words_are_all_found(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(14)]
