@@ -1,10 +1,11 @@
 """Abusive, hateful and sexual content by a factorization machine over hashed terms.
 
-The terms of a window of WINDOW words are hashed; the machine adds a weight for each and one for each
+The words of a window of WINDOW words are hashed; the machine adds a weight for each and one for each
 pair of them, so that an insult counts together with whom it is said to. It is trained on documents that
 people judged as a whole: of a flagged document the window that looks worst stands for it, of the others
-every window counts, and so from round to round. Its small weights are then set to zero. What is left
-are few telling terms, so a text is scored from where these stand in it.
+every window counts, and so from round to round. Which words tell comes from the judged documents and
+from how many of all documents have them; no word is known beforehand. What is left are few telling
+terms, so a text is scored from where these stand in it.
 """
 
 from __future__ import annotations
@@ -25,14 +26,13 @@ from captide.llm.flat import Tokens
 from captide.llm.turns import BLOCK
 from captide.llm.words import CLEAN
 
-#: Words (and kinds of words) of a window, number of hashed terms, factors of a term.
+#: Words of a window, number of hashed terms, factors of a term.
 WINDOW, TERMS, FACTORS = 12, 1 << 20, 6
-#: At most about this many judged documents are used for training.
-FIT_DOCUMENTS = 6_000
-#: About so many documents that nobody judged stand for usual text.
-USUAL_DOCUMENTS = 3_000
-#: Segments of a block that the next block sees too, so that no window is cut.
-MARGIN = 16
+#: Bounds of the judged documents used for training: about so many, of so many characters together at
+#: most, none longer than FIT_TEXT.
+FIT_DOCUMENTS, FIT_CHARACTERS, FIT_TEXT = 6_000, 50_000_000, 1_000_000
+#: A term tells if so many flagged texts have it, and so many times more often than all documents.
+TELLING_TEXTS, TELLING_RATIO = 2, 3.0
 #: A text is reported if its worst window's score exceeds this share of the score of a window without
 #: telling terms (which is negative; a probability of one half is 0).
 THRESHOLD_SHARE = 0.3
@@ -53,44 +53,6 @@ _NUMBER = re.compile(r"[\d:.,]+")
 _PART = re.compile(r"[\w@$€*]+(?:[.·•\-~_*!|'’]+[\w@$€]+)*")
 _LEET = str.maketrans(LEET)
 
-#: Words that are told by their stems in six languages, by kind. The kind is their term, so that an
-#: insult the judges never met is still known for one.
-LEXICON = {
-    "insult": "idiot imbecil moron scumbag loser dimwit trash bastard bitch whore asshole retard jerk cretin crétin abruti ordure connard débile débil salaud salope minable raté dummkopf trottel vollpfosten schwachkopf arschloch versager blödmann vollidiot mistkerl hure drecksack abschaum tarado gilipollas escoria basura fracasado cabrón идиот дебил кретин урод мразь тупица тупак придурок ублюдок сволочь мудак тварь ничтож гнида йолоп покидьок виродок ідіот дебіл мерзот дурень бовдур телепень",
-    "silence": "shut заткнись проваливай стули забирайся ferme-la dégage verschwinde halt cállate cierra lárgate maul пельку",
-    "scorn": "worthless pathetic miserable жалкий жалкая никчёмн никчемн жалюгідн нікчемн pauvre erbärmlich wertlos armselig тупой тупая stupid dumb dumm estúpid",
-    "shame": "ashamed стыдится соромиться schämt honte avergüenza",
-    "you": "you your ты тебя тебе твоя ти тебе dich dir dein tu te toi ti eres tuya",
-    "sexual": "porn porno порно секс sexo sex sexe erotic эротик oral оральн",
-    "nudity": "nude naked nackt desnud nus nues голы голі голый голих оголен",
-    "moan": "moan gémi stöhn gimen стонут стогн",
-    "adult": "adult взросл доросл erwachsen grown",
-    "picture": "photo фото foto nacktfoto camera камер caméra",
-    "vermin": "parasit паразит parásit ungeziefer vermin крысы thieves воры воров злоді diebe voleurs ladrones schädling",
-    "expel": "избав гнать гнати сжечь спалити геть burn brûler verbrenn niederbrenn quemar fuera dehors raus rid thrown chassez chasser",
-    "decent": "decent décent anständig порядочн порядн decente",
-    "human": "people люди людьми menschen humans humain personas human",
-    "even": "even вообще взагалі überhaupt siquiera même",
-    "dwell": "street улицу вулицю straße rue calle live живут живуть wohnen leben vivent viven",
-    "slept": "slept переспал couché acostaron geschlafen переспав",
-    "without": "without без sans ohne sin",
-    "better": "better nicer лучше краще besser bessere mejor meilleur",
-    "world": "world свете світі monde welt mundo",
-    "mention": "word слово mot wort palabra term термин термін terme begriff término called называл називав nannte genannt traité llamó",
-    "no": "no not never nobody anyone no-one не никого нікого вовсе зовсім kein keinen niemanden nie pas n'es n'est personne jamais ningún nadie nunca nicht",
-    "play": "game игр boss босса боса class класс klasse classe clase",
-}
-
-
-def masked_key(word: str) -> str | None:
-    """The stem of the lexicon that a word with stars for letters stands for, if any."""
-    for stars in (word, re.sub(r"\*+", "*", word)):  # a star for each letter, or stars for one
-        pattern = _MASK_DROP.sub("", _one_script(stars.replace("*", "\x01")))
-        for stem in _EVERY_STEM:
-            if len(stem) >= 4 and len(stem) <= len(pattern) <= len(stem) + 4 and "\x01" in pattern[: len(stem)] and all(a in ("\x01", b) for a, b in zip(pattern, stem)):
-                return stem
-    return None
-
 
 def _one_script(word: str) -> str:
     """Lower case without accents; letters of the script that has fewer become their twins of the other."""
@@ -103,89 +65,73 @@ def _one_script(word: str) -> str:
 
 def token_key(word: str) -> str:
     """A word's form without case, accents, look-alikes, signs for letters and repeated letters."""
-    if "*" in word.strip("*") and _STARS.search(word) and (stem := masked_key(word)):
-        return _DOUBLE.sub(r"\1", stem)
     w = _INSIDE.sub("", word)
     if any(c in LEET for c in w) and any(c.isalpha() for c in w):
         w = w.translate(_LEET)
     return _DOUBLE.sub(r"\1", re.sub(r"[^\w]", "", _one_script(w)))
 
 
-_STEMS = {kind: tuple(sorted({token_key(x) for x in stems.split()})) for kind, stems in LEXICON.items()}
-_EVERY_STEM = tuple(sorted({_one_script(x) for stems in LEXICON.values() for x in stems.split()}, key=lambda x: (-len(x), x)))
-
-
-def _kinds(key: str) -> list[str]:
-    return [k for k, stems in _STEMS.items() if any(key == s or len(s) >= 4 and key.startswith(s) and len(key) - len(s) <= 4 for s in stems)]
-
-
 def _hash(term: str) -> int:
     return xxhash.xxh32_intdigest(term) % (TERMS - 2) + 2
 
 
-def token_terms(token: str) -> list[int]:
-    """Codes of a blank-separated token: per word its hashed term; a lone letter is minus its code point,
-    to be joined with its neighbours; a number is none."""
+def _parts(token: str) -> list[str]:
+    """What of a blank-separated token may be a word: a part, without mark-up."""
     if "<" in token or "&" in token:
         token = _MARKUP.sub(" ", token)
-    out = []
-    for part in _PART.findall(unicodedata.normalize("NFKC", token)) if not token.isalpha() else [token]:
-        if len(part) == 1 and (part.isalpha() or part in "@$013457"):
-            out.append(-ord(part.casefold()))
-        elif not _NUMBER.fullmatch(part):
-            out.extend(_codes(token_key(part)))
-    return out
-
-
-def _codes(key: str) -> list[int]:
-    """The terms of a word's kinds in the lexicon, else its own hashed term."""
-    return [_hash(f"<{k}>") for k in _kinds(key)] or [_hash(key)] if key else []
-
-
-LEXICAL = [_hash(f"<{k}>") for k in LEXICON]
-#: What kinds of words together are, and are not, such content: examples that the training begins with,
-#: for languages and turns of phrase that no judged document happens to have.
-EXAMPLES = {
-    1: ["you scorn insult", "silence insult", "silence insult no you", "silence you insult", "scorn insult", "you shame", "no you scorn insult",
-        "without you world better", "world better without you", "sexual", "sexual picture", "nudity adult moan", "adult nudity moan", "nudity picture adult",
-        "picture nudity adult", "vermin expel", "human vermin", "expel dwell", "slept picture", "no even human", "human even no", "decent no", "decent no human", "no decent"],
-    0: ["you no insult", "you no insult you", "no you no insult", "you no no insult you", "no insult you you", "no scorn insult", "mention insult", "insult mention", "mention no insult", "no mention insult",
-        "no no mention insult", "play insult", "insult play", "nudity", "moan", "even", "no even", "even you", "dwell", "slept", "adult", "picture", "no", "you", "you no", "human", "no human", "without", "without no",
-        "without world", "better", "world", "mention", "mention no", "play", "human you", "no you human", "picture human", "world human", "better you", "no without human"],
-}
-#: Times each example counts.
-EXAMPLE_TIMES = 30
-#: Kinds without which a window of an unjudged text serves as an example of usual text.
-STRONG = [_hash(f"<{k}>") for k in ("insult", "silence", "scorn", "shame", "sexual", "nudity", "moan", "vermin", "expel", "decent")]
+    return [token] if token.isalpha() else _PART.findall(unicodedata.normalize("NFKC", token))
 
 
 class Terms:
-    """Turns texts into flat arrays of hashed terms; joins letters that stand apart."""
-
-    def __init__(self) -> None:
-        self.tokens = Tokens(token_terms)
-        self.single = {}
+    """Turns texts into flat arrays of hashed terms, one a word. Letters that stand apart are joined.
+
+    ``known`` are words (as keys) that a word with stars for letters may stand for, the longest first."""
+
+    def __init__(self, known: list[str] | None = None) -> None:
+        self.known = known or []
+        self.own = frozenset(self.known)
+        self.tokens = Tokens(self._codes)
+        self.single: dict[int, int] = {}
+
+    def key(self, part: str) -> str:
+        if self.known and "*" in part.strip("*") and _STARS.search(part):
+            for stars in (part, re.sub(r"\*+", "*", part)):  # a star for each letter, or stars for one
+                pattern = _MASK_DROP.sub("", _one_script(stars.replace("*", "\x01")))
+                for word in self.known:
+                    if len(word) == len(pattern) and all(a in ("\x01", b) for a, b in zip(pattern, word)):
+                        return word
+        return token_key(part)
+
+    def _codes(self, token: str) -> list[int]:
+        """Per word its hashed term; a lone letter is minus its code point, to be joined with its
+        neighbours; a number is none."""
+        out = []
+        for part in _parts(token):
+            if len(part) == 1 and (part.isalpha() or part in "@$013457"):
+                out.append(-ord(part.casefold()))
+            elif not _NUMBER.fullmatch(part) and (key := self.key(part)):
+                out.append(_hash(key))
+        return out
 
     def flat(self, texts: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
         flat, at = self.tokens.flat(texts, pad)
         alone = np.flatnonzero(flat < 0)
         if len(alone):
-            cut = np.flatnonzero(np.diff(alone) != 1) + 1
-            for run in np.split(alone, cut) if len(cut) < len(alone) - 1 or len(alone) > 2 else ():
+            cut = np.flatnonzero((np.diff(alone) != 1) | (np.searchsorted(at, alone[1:], side="right") != np.searchsorted(at, alone[:-1], side="right"))) + 1
+            for run in np.split(alone, cut):
                 if len(run) >= 3:
-                    letters = [chr(-c) for c in flat[run].tolist()]
-                    joined = self._joined("".join(letters))[: len(run)]
+                    key = self._joined("".join(chr(-c) for c in flat[run].tolist()))
                     flat[run] = 0
-                    flat[run[: len(joined)]] = joined
+                    flat[run[0]] = _hash(key) if key else 0
             rest = np.flatnonzero(flat < 0)
             if len(rest):
                 flat[rest] = [self._letter(c) for c in flat[rest].tolist()]
         return flat, at
 
-    def _joined(self, text: str) -> list[int]:
-        """Codes of letters that stood apart; a word of one letter may lie at either end."""
+    def _joined(self, text: str) -> str:
+        """The word of letters that stood apart; a word of one letter may lie at either end."""
         forms = [token_key(x) for x in (text, text[1:], text[:-1], text[1:-1])]
-        return _codes(next((f for f in forms if _kinds(f)), forms[0]))
+        return next((f for f in forms if f in self.own), forms[0])
 
     def _letter(self, code: int) -> int:
         if code not in self.single:
@@ -197,13 +143,18 @@ class Terms:
 class Machine:
     """w0 + sum of w + sum over pairs of the products of factors, over the terms of a window."""
 
-    def __init__(self, bias: float, terms: np.ndarray, linear: np.ndarray, factors: np.ndarray):
-        self.bias = bias
+    def __init__(self, bias: float, terms: np.ndarray, linear: np.ndarray, factors: np.ndarray, known: list[str] | None = None):
+        self.bias, self.known = bias, known or []
         order = np.argsort(terms)
         self.terms, self.linear, self.factors = terms[order], linear[order], factors[order]
         self.slot = np.zeros(TERMS, np.int32)
         self.slot[self.terms] = np.arange(1, len(terms) + 1)
 
+    @property
+    def limit(self) -> float:
+        """What the score of a case exceeds; a text without telling terms never does."""
+        return max(self.bias * THRESHOLD_SHARE, self.bias + 1e-9)
+
     def telling(self, flat: np.ndarray) -> np.ndarray:
         """Positions of terms that count."""
         return np.flatnonzero(self.slot[flat])
@@ -230,6 +181,17 @@ class Machine:
             squares[i] += v2[t]
         return self.bias + linear + 0.5 * ((total * total).sum(axis=1) - squares)
 
+    def scores(self, terms: Terms, texts: list[str]) -> np.ndarray:
+        """The score of the worst window of each text."""
+        flat, at = terms.flat(texts, WINDOW)
+        pos = self.telling(flat)
+        out = np.full(len(texts), self.bias)
+        np.maximum.at(out, np.searchsorted(at, pos, side="right") - 1, self.worst(pos, flat[pos]))
+        return out
+
+
+NOTHING = Machine(-1.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
+
 
 def _distinct(windows: np.ndarray) -> np.ndarray:
     """Each window's terms once."""
@@ -238,87 +200,78 @@ def _distinct(windows: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str], flagged: list[int], usual_texts: list[str], rounds: int = 4, epochs: int = 25, seed: int = 7) -> Machine:
-    """A machine from judged texts. A word counts as telling only if it stands many times more often in
-    flagged texts than in ``usual_texts``, which nobody judged."""
-    terms = Terms()
-    n_docs = len(texts)
-    # the unjudged texts come after the judged ones, and the examples after those
-    flat, at = terms.flat([*texts, *usual_texts], WINDOW)
-    texts_end = len(flat)
-    # what is no case is none if it is said twice, or beside another such thing
-    denied = [x for x in EXAMPLES[0] if "insult" in x]
-    every = [(y, x) for y, xs in EXAMPLES.items() for x in xs] + [(0, f"{a} {b}") for a in denied for b in denied]
-    examples = [(y, [_hash(f"<{k}>") for k in x.split()]) for y, x in every]
-    flat = np.concatenate([flat, *(np.array((codes + [0] * WINDOW)[:WINDOW], np.int32) for _, codes in examples)])
-    first = texts_end + WINDOW * np.arange(len(examples))
-    single = np.arange(len(examples)) < len(every) - len(denied) ** 2
-    of = np.array([e[0] for e in examples])
-    given = {1: np.repeat(first[of == 1], EXAMPLE_TIMES), 0: np.concatenate([np.repeat(first[(of == 0) & single], EXAMPLE_TIMES), np.repeat(first[~single], EXAMPLE_TIMES // 6)])}
-    label = np.array([*(x == 1 for x in flagged), *[False] * len(usual_texts)], bool)
-    doc = np.append(np.repeat(np.arange(len(at) - 1), np.diff(at)), np.full(len(flat) - texts_end, len(label)))
-    label = np.append(label, False)
-    judged = doc < n_docs
-    usual = (doc >= n_docs) & (doc < n_docs + len(usual_texts))
-    sure_good = judged & ~label[doc]
-    # terms that tell: the kinds of the lexicon, and words that flagged texts have many times more often
-    def share(of: np.ndarray, docs: int) -> np.ndarray:
-        of = of & (flat > 0)
-        return np.bincount(np.unique(np.stack([flat[of], doc[of]]), axis=1)[0], minlength=TERMS) / max(1, docs)
-
-    bad_share = share(label[doc], int(label.sum()))
-    in_bad = np.rint(bad_share * label.sum())
-    other_share = np.maximum(share(sure_good, n_docs - int(label.sum())), share(usual, len(usual_texts)))
-    ratio = bad_share / np.maximum(other_share, 0.002)
-    usable = (in_bad >= 2) & (ratio > 6)
-    usable[LEXICAL] = True
-    usable[0] = False
-    odds = np.where(usable, np.log(np.maximum(ratio, 1)), 0)
-    odds[LEXICAL] = 0.5
-    odds[STRONG] = 4.0  # where a flagged text has such words, the windows that hold them come first
-    codes = np.where(usable[flat], flat, 0)
-    score = np.maximum(odds, 0)[codes]
-    c = np.append(0, np.cumsum(score))
+def texts_with(flat: np.ndarray, at: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, texts): how many of the texts have each term; ``chosen`` are the terms to look at."""
+    pos = np.flatnonzero(chosen[flat])
+    text = np.searchsorted(at, pos, side="right") - 1
+    return np.unique(np.unique(text.astype(np.int64) * TERMS + flat[pos]) % TERMS, return_counts=True)
+
+
+def candidates(texts: list[str], flagged: list[int]) -> np.ndarray:
+    """Which terms stand in TELLING_TEXTS flagged texts or more."""
+    flat, at = Terms().flat([t for t, f in zip(texts, flagged) if f == 1], WINDOW)
+    every = np.ones(TERMS, bool)
+    every[0] = False
+    term, n = texts_with(flat, at, every)
+    out = np.zeros(TERMS, bool)
+    out[term[n >= TELLING_TEXTS]] = True
+    return out
+
+
+def fit(texts: list[str], flagged: list[int], frequency: np.ndarray, documents: int, rounds: int = 4, epochs: int = 25, seed: int = 7) -> Machine:
+    """A machine from judged texts. ``frequency`` tells of each of ``candidates`` how many of all
+    ``documents`` have it."""
+    label = np.array([f == 1 for f in flagged], bool)
+    if not label.any():
+        return NOTHING
+    chosen = candidates(texts, flagged)
+    bad_texts = [t for t, f in zip(texts, label) if f]
+    common = frequency / max(1, documents)
+
+    def telling(terms: Terms) -> np.ndarray:
+        flat, at = terms.flat(bad_texts, WINDOW)
+        term, n = texts_with(flat, at, chosen)
+        ratio = np.zeros(TERMS)
+        ratio[term] = n / len(bad_texts) / np.maximum(common[term], 1e-9) * (n >= TELLING_TEXTS)
+        return np.where(ratio > TELLING_RATIO, np.log(np.maximum(ratio, 1)), 0)
+
+    odds = telling(Terms())
+    # the words that masked ones may stand for
+    keys = {token_key(p) for t in bad_texts for x in t.split() for p in _parts(x) if "*" not in p}
+    known = sorted((k for k in keys if len(k) > 3 and odds[_hash(k)] > 0), key=lambda k: (-len(k), k))
+    terms = Terms(known)
+    odds = telling(terms)
+    flat, at = terms.flat(texts, WINDOW)
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))
+    codes = np.where(odds[flat] > 0, flat, 0)
+    c = np.append(0, np.cumsum(odds[codes]))
     sums = np.append(c, np.full(WINDOW, c[-1]))[WINDOW:][: len(flat)] - c[: len(flat)]
     rng = np.random.default_rng(seed)
     vocabulary, dense = np.unique(codes, return_inverse=True)
     dense = np.append(dense, np.zeros(WINDOW, dense.dtype))
     win = np.lib.stride_tricks.sliding_window_view(dense, WINDOW)
     starts = np.flatnonzero(codes > 0)  # a window begins with a term that tells
-    good, bad = starts[sure_good[starts]], starts[label[doc[starts]]]
-    c = np.append(np.append(0, np.cumsum(np.isin(flat, STRONG))), np.zeros(WINDOW, int))
-    plain = usual[starts] & (c[np.minimum(starts + WINDOW, len(flat))] == c[starts])
-    holds = {}
-    for kind in LEXICON:
-        n = np.append(np.append(0, np.cumsum(flat == _hash(f"<{kind}>"))), np.zeros(WINDOW, int))
-        holds[kind] = n[np.minimum(starts + WINDOW, len(flat))] > n[starts]
-    for example in EXAMPLES[1]:  # nor does a window that looks like a case
-        plain &= ~np.logical_and.reduce([holds[k] for k in set(example.split())])
-    unjudged = starts[plain]
-    neg = np.concatenate([x[rng.permutation(len(x))[:40_000]] for x in (good, unjudged)])
+    bad, good = starts[label[doc[starts]]], starts[~label[doc[starts]]]
+    if not len(bad):
+        return NOTHING
     machine = None
-    for r in range(rounds):
-        best: dict[int, int] = {}
-        values = sums[bad] if machine is None else _dense_scores(machine, win[bad])
-        for i, x in zip(bad.tolist(), values.tolist()):
-            d = doc[i]
-            if d not in best or x > best[d][0]:
-                best[d] = (x, i)
-        pos = np.array([i for _, i in best.values()], int)
-        # neighbours of the worst window hold the same words
-        around = np.unique(np.concatenate([pos, *(np.maximum(pos - s, 0) for s in (1, 2))])) if len(pos) else pos
-        around = around[label[doc[around]]] if len(around) else around
+    for _ in range(rounds):
+        # of each flagged text the window that looks worst, and its neighbours, which hold the same words
+        value = sums[bad] if machine is None else _dense_scores(machine, win[bad])
+        order = np.lexsort((value, doc[bad]))
+        worst = bad[order[np.append(doc[bad][order[1:]] != doc[bad][order[:-1]], True)]]
+        around = np.unique(np.concatenate([worst, *(np.maximum(worst - s, 0) for s in (1, 2))]))
+        around = np.repeat(around[label[doc[around]]], 3)
+        hard = good[:0]
         if machine is not None and len(good):
             by_score = good[np.argsort(-_dense_scores(machine, win[good]), kind="stable")[:4000]]
             hard = np.concatenate([by_score, np.repeat(by_score[:300], 20)])
-        else:
-            hard = neg[:0]
-        bad_rows = np.concatenate([around, given[1]])
-        machine = _train(win, np.concatenate([bad_rows, neg, hard, given[0]]), len(bad_rows), len(vocabulary), epochs, rng, machine)
+        empty = np.full(max(len(around), 100), len(flat))  # a window without telling terms is no case
+        machine = _train(win, np.concatenate([around, good, hard, empty]), len(around), len(vocabulary), epochs, rng, machine)
     bias, w, v = machine
     strength = np.abs(w) + np.sqrt((v * v).sum(axis=1))
     keep = np.flatnonzero((strength > 0.15) & (vocabulary > 0))
-    return Machine(float(bias), vocabulary[keep], w[keep], v[keep])
+    return Machine(float(bias), vocabulary[keep], w[keep], v[keep], known)
 
 
 def _dense_scores(machine: tuple, win: np.ndarray) -> np.ndarray:
@@ -333,22 +286,24 @@ def _dense_scores(machine: tuple, win: np.ndarray) -> np.ndarray:
 
 
 def _train(win: np.ndarray, rows: np.ndarray, positives: int, size: int, epochs: int, rng: np.random.Generator, start: tuple | None) -> tuple:
-    """Logistic loss, AdaGrad, classes of equal weight; term 0 is the empty place and stays zero."""
+    """Logistic loss, AdaGrad, classes of equal weight; term 0 is the empty place and stays zero. Equal
+    windows are one row that counts as many times."""
     if start is None:
         bias, w, v = -1.0, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
         v[0] = 0
     else:
         bias, w, v = start[0], start[1].copy(), start[2].copy()
-    windows = _distinct(win[rows])
+    y_all = np.zeros((len(rows), 1), np.int64)
+    y_all[:positives] = 1
+    unique, times = np.unique(np.hstack([y_all, _distinct(win[rows])]), axis=0, return_counts=True)
+    y, windows = unique[:, 0], unique[:, 1:]
     gb, gw, gv = 1e-8, np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
-    y = np.zeros(len(rows))
-    y[:positives] = 1
-    weight = np.where(y == 1, 0.3 * len(rows) / max(1, positives), 1.0)
+    weight = np.where(y == 1, 0.3 * len(rows) / max(1, positives), 1.0) * times * (len(y) / len(rows))
     rate, decay = 0.1, 2e-4
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for lo in range(0, len(rows), 2048):
-            b = order[lo : lo + 2048]
+        order = rng.permutation(len(y))
+        for lo in range(0, len(y), 512):
+            b = order[lo : lo + 512]
             x = windows[b]
             vs = v[x]
             s = vs.sum(axis=1)
@@ -373,96 +328,177 @@ def _train(win: np.ndarray, rows: np.ndarray, positives: int, size: int, epochs:
     return bias, w, v
 
 
+def _frequency(texts: DataFrame, chosen: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many of all texts have each chosen term, and how many texts there are. Counted where the texts
+    are read; what is collected are at most TERMS numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms, total, seen = Terms(), np.zeros(TERMS, np.int64), 0
+        for b in batches:
+            rows = b["t"].tolist()
+            for lo in range(0, len(rows), 2000):
+                flat, at = terms.flat(rows[lo : lo + 2000], WINDOW)
+                term, n = texts_with(flat, at, chosen)
+                total[term] += n
+            seen += len(rows)
+        term = np.flatnonzero(total)
+        yield pd.DataFrame({"term": np.append(term, 0).astype(np.int32), "n": np.append(total[term], seen)})
+
+    counts = texts.mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(TERMS, np.int64)
+    for term, n in counts:
+        out[term] = n
+    documents, out[0] = int(out[0]), 0
+    return out, documents
+
+
 def _trained(documents: DataFrame, labels: DataFrame) -> Machine:
-    """A machine from the judged documents and a few that nobody judged, chosen by their ids' hashes."""
+    """A machine from the judged documents, within the bounds above, and the words of all documents."""
     judged = labels.where("doc_id IS NOT NULL AND flagged IS NOT NULL").groupBy("doc_id").agg(F.max("flagged").alias("flagged"))
     n = judged.count()
-    judged = judged.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // FIT_DOCUMENTS)))) == 0)
-    share = max(1, documents.count() // USUAL_DOCUMENTS)
+    judged = judged.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // FIT_DOCUMENTS)))) == 0)  # at most about FIT_DOCUMENTS ids
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").alias("t"))
-    rows = sorted({(r[0], r[1], r[2]) for r in texts.join(F.broadcast(judged), "doc_id").select("doc_id", "t", "flagged").collect()})  # at most FIT_DOCUMENTS ids
-    usual = sorted({(r[0], r[1]) for r in texts.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(share)) == 0).collect()})
-    return fit([r[1] for r in rows], [r[2] for r in rows], [r[1] for r in usual])
+    known = texts.where(F.length("t") <= FIT_TEXT).join(F.broadcast(judged), "doc_id")
+    size = known.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = -(-size // FIT_CHARACTERS)
+    if parts > 1:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(parts)) == 0)
+    rows = sorted({(r[0], r[1], r[2]) for r in known.select("doc_id", "t", "flagged").collect()})
+    own, flagged = [r[1] for r in rows], [r[2] for r in rows]
+    if 1 not in flagged:
+        return NOTHING
+    return fit(own, flagged, *_frequency(texts.select("t"), candidates(own, flagged)))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:
     """(doc_id, score, found): the score of the worst window of each document's whole text.
 
     Null and empty texts have the score of a text without telling terms; rows with a null id give
-    nothing; every other row gives one row; other columns are ignored. Without judged documents the
-    machine knows only what it began with and finds nothing.
+    nothing; every other row gives one row; other columns are ignored. Without flagged documents the
+    machine finds nothing.
     """
     machine = machine or _trained(documents, labels)
     d_type = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms()
+        terms = Terms(machine.known)
         for b in batches:
             texts = b["t"].tolist()
             for lo in range(0, len(texts), 2000):
-                part = texts[lo : lo + 2000]
-                flat, at = terms.flat(part, WINDOW)
-                pos = machine.telling(flat)
-                out = np.full(len(part), machine.bias)
-                np.maximum.at(out, np.searchsorted(at, pos, side="right") - 1, machine.worst(pos, flat[pos]))
-                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[lo : lo + 2000], "score": out, "found": out > machine.bias * THRESHOLD_SHARE})
+                out = machine.scores(terms, texts[lo : lo + 2000])
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[lo : lo + 2000], "score": out, "found": out > machine.limit})
 
     own = documents.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     return own.mapInPandas(run, f"doc_id {d_type}, score double, found boolean")
 
 
+_EDGE = "pos array<int>, code array<int>"
+
+
+def _lists(per: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    at = pa.array(np.append(0, np.cumsum(per)).astype(np.int32))
+    return [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in values]
+
+
 def score_videos(segments: DataFrame, documents: DataFrame, labels: DataFrame, machine: Machine | None = None) -> DataFrame:
     """(video_id, score, found): the score of the worst window of each video's segments in order, across
     their borders.
 
-    Null ids, null and wordless texts give nothing; repeated rows count once; other columns are ignored.
-    Only the telling terms of a segment and their places are shuffled, by blocks of segments of a video;
-    the last MARGIN segments of a block also go to the next.
+    Null ids, null and wordless texts give nothing; repeated rows count once (of different texts under
+    one seg_idx the one with the least terms, in their order); other columns are ignored.
+
+    Only the telling terms of a segment and their places are shuffled, by blocks of segments of a video. A
+    block scores the windows that begin before its last WINDOW - 1 words. Those that begin there are
+    scored in a second step, to which each block sends its length and the terms of its first and last
+    words; so every window is seen whole, however many wordless segments or repeated rows lie inside it.
     """
     machine = machine or _trained(documents, labels)
+    edge = WINDOW - 1
 
     def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms = Terms(machine.known)
         for b in batches:
             flat, at = terms.flat(b.column(2).to_pylist(), 0)
             pos = machine.telling(flat)
             seg = np.searchsorted(at, pos, side="right") - 1
-            per = np.append(0, np.cumsum(np.bincount(seg, minlength=b.num_rows))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(per), pa.array(x.astype(np.int32))) for x in (pos - at[seg], flat[pos])]
-            n = pa.array(np.diff(at).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, *lists], names=["video_id", "seg_idx", "n", "pos", "code"])
+            lists = _lists(np.bincount(seg, minlength=b.num_rows), pos - at[seg], flat[pos])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at).astype(np.int32)), *lists], names=["video_id", "seg_idx", "n", "pos", "code"])
 
-    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+    def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+        """The rows as tables that hold groups of equal keys whole; rows come in order of the keys."""
+        rest: list = []
         for b in batches:
-            t = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks()
-            tail = pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.slice(max(0, t.num_rows - MARGIN)).columns], names=t.column_names)
+            if not b.num_rows:
+                continue
+            same = [np.asarray(b.column(k).to_numpy(zero_copy_only=False)) for k in keys]
+            new = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in same])) + 1
+            if rest and any(rest[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
+                yield pa.Table.from_batches(rest).combine_chunks()
+                rest = []
+            if len(new):
+                yield pa.Table.from_batches([*rest, b.slice(0, new[-1])]).combine_chunks()
+                rest = [b.slice(new[-1])]
+            else:
+                rest.append(b)
+        if rest:
+            yield pa.Table.from_batches(rest).combine_chunks()
+
+    def flat_terms(t: pa.Table, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and code of each term."""
+        pos, code = (t.column(c).chunk(0) if t.column(c).num_chunks else pa.array([], pa.list_(pa.int32())) for c in ("pos", "code"))
+        row = np.repeat(np.arange(t.num_rows), np.diff(pos.offsets.to_numpy()))
+        return row, begin[row] + pos.flatten().to_numpy(), code.flatten().to_numpy()
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["video_id", "block"]):
             video = t.column("video_id").to_numpy(zero_copy_only=False)
-            block, seg, n = (t.column(c).to_numpy() for c in ("block", "seg_idx", "n"))
+            block, n = t.column("block").to_numpy(), t.column("n").to_numpy()
             fresh = np.append(True, (video[1:] != video[:-1]) | (block[1:] != block[:-1]))
-            again = ~fresh & np.append(False, seg[1:] == seg[:-1])  # a row that was fetched twice
-            length = np.where(again, 0, n).astype(np.int64) + fresh * 2 * WINDOW  # groups lie apart
-            begin = np.cumsum(length) - np.where(again, 0, n)
-            pos, code = (t.column(c).combine_chunks() for c in ("pos", "code"))
-            per = np.diff(pos.offsets.to_numpy())
-            row = np.repeat(np.arange(t.num_rows), per)
-            ok = ~again[row]
-            row = row[ok]
-            where = begin[row] + pos.flatten().to_numpy()[ok]
-            score = np.full(t.num_rows, machine.bias)
-            np.maximum.at(score, row, machine.worst(where, code.flatten().to_numpy()[ok]))
             group = np.cumsum(fresh) - 1
-            most = np.full(group[-1] + 1, -np.inf)
-            np.maximum.at(most, group, score)
-            yield pa.RecordBatch.from_arrays([pa.array(video[fresh], pa.string()), pa.array(most)], names=["video_id", "score"])
+            words = np.bincount(group, weights=n).astype(np.int64)
+            first = np.append(0, np.cumsum(words + WINDOW))[:-1]  # groups lie apart
+            begin = np.append(0, np.cumsum(n))[:-1] + group * WINDOW
+            row, place, code = flat_terms(t, begin)
+            of = group[row]
+            local = place - first[of]
+            score = np.where(local < words[of] - edge, machine.worst(place, code), -np.inf)
+            most = np.full(len(words), machine.bias)
+            np.maximum.at(most, of, score)
+            keep = (local < edge) | (local >= words[of] - edge)
+            lists = _lists(np.bincount(of[keep], minlength=len(words)), local[keep], code[keep])
+            arrays = [pa.array(video[fresh], pa.string()), pa.array(block[fresh].astype(np.int32)), pa.array(words), pa.array(most), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names=["video_id", "block", "words", "most", "pos", "code"])
+
+    def tied(t: pa.Table, end: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        """The scores of the rows whose last windows are whole, and the rows that wait for what follows."""
+        video, words = t.column("video_id").to_numpy(zero_copy_only=False), t.column("words").to_numpy()
+        group = np.cumsum(np.append(True, video[1:] != video[:-1])) - 1
+        begin = np.append(0, np.cumsum(words))[:-1] + group * WINDOW  # videos lie apart
+        row, place, code = flat_terms(t, begin)
+        most = t.column("most").to_numpy().copy()
+        np.maximum.at(most, row, np.where(place - begin[row] >= words[row] - edge, machine.worst(place, code), -np.inf))
+        later = np.cumsum(words[::-1])[::-1] - words
+        n = t.num_rows if end else int(np.argmax((group == group[-1]) & (later < edge)))
+        return pa.RecordBatch.from_arrays([pa.array(video[:n], pa.string()), pa.array(most[:n])], names=["video_id", "score"]), t.slice(n)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                scored, wait = tied(pa.Table.from_batches([*rest, b]).combine_chunks(), False)
+                rest = wait.to_batches()
+                yield scored
+        if rest:
+            yield tied(pa.Table.from_batches(rest).combine_chunks(), True)[0]
 
     own = segments.where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("video_id", F.col("seg_idx").cast("int").alias("seg_idx"), F.col("text").alias("t"))
-    sparse = own.mapInArrow(terms_of, "video_id string, seg_idx int, n int, pos array<int>, code array<int>").where("n > 0")
-    b = F.floor(F.col("seg_idx") / BLOCK).cast("int")
-    both = F.when(F.pmod("seg_idx", F.lit(BLOCK)) >= BLOCK - MARGIN, F.array(b, b + 1)).otherwise(F.array(b))
-    blocks = sparse.withColumn("block", F.explode(both)).repartition("video_id", "block").sortWithinPartitions("video_id", "block", "seg_idx")
-    scored = blocks.select("video_id", "block", "seg_idx", "n", "pos", "code").mapInArrow(worst, "video_id string, score double")
-    return scored.groupBy("video_id").agg(F.max("score").alias("score")).withColumn("found", F.col("score") > machine.bias * THRESHOLD_SHARE)
+    sparse = own.mapInArrow(terms_of, f"video_id string, seg_idx int, n int, {_EDGE}").where("n > 0")
+    blocks = sparse.withColumn("block", F.floor(F.col("seg_idx") / BLOCK).cast("int")).repartition("video_id", "block")
+    once = blocks.groupBy("video_id", "block", "seg_idx").agg(F.min(F.struct("n", "pos", "code")).alias("x")).select("video_id", "block", "seg_idx", "x.*")
+    by_block = once.sortWithinPartitions("video_id", "block", "seg_idx").mapInArrow(inside, f"video_id string, block int, words long, most double, {_EDGE}")
+    ordered = by_block.repartition("video_id").sortWithinPartitions("video_id", "block")
+    scored = ordered.mapInArrow(across, "video_id string, score double")
+    return scored.groupBy("video_id").agg(F.max("score").alias("score")).withColumn("found", F.col("score") > machine.limit)
 
 
 def score_items(documents: DataFrame, segments: DataFrame, videos: DataFrame, labels: DataFrame) -> DataFrame:
