@@ -1,23 +1,31 @@
-"""Records of one split that stand, the same or nearly so, in another."""
+"""Records of one split that stand, the same or nearly so, in another.
+
+Two texts that at most EDITS word edits make equal share one of EDITS + 1 even parts of the first, moved by
+as many words as the second is longer or shorter before it. So the parts are the bands here: a band's bucket
+is made of minwise hashes of the part's shingles (pairs of neighbouring words). One side is put into the
+buckets of its own parts, the other looks up each place where a part may stand in its texts. That finds every
+pair, of texts of any length and whatever their words; with bands over the whole text, two altered words of
+eleven leave a pair of texts hardly more alike than two texts of one template.
+"""
 
 from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from captide.llm.settle import settled
 from captide.llm.words import words
 
-#: A word is rare if at most this many different texts have it.
-RARE = 64
-#: A text with fewer rare words than this is also compared by the segments that edits leave whole.
-ENOUGH = 4
-#: Bands of one row over rare words.
-WORD_BANDS = 24
 #: Words altered, added or dropped (two neighbours exchanged are two words altered).
 EDITS = 2
+#: Minwise hashes that make up a band's bucket.
+ROWS = 3
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def _normal_form(texts: pd.Series) -> pd.Series:
@@ -43,6 +51,9 @@ def edits(a: list[str], b: list[str], most: int) -> int:
 
 
 def _verify(most: int):
+    """The exact Jaccard similarity of the words of two texts, and their edits if it is high enough for
+    ``most``: of the longer text at most so many words are not in the other."""
+
     def verify(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(a, b):
@@ -50,66 +61,113 @@ def _verify(most: int):
             cx, cy = Counter(x), Counter(y)
             both = sum((cx & cy).values())
             jaccard = both / (len(x) + len(y) - both)
-            out.append((jaccard, edits(x, y, most) if both >= max(len(x), len(y)) - most else most + 1))
+            long, short = max(len(x), len(y)), min(len(x), len(y))
+            enough = jaccard >= (long - most) / (short + most) - 1e-9
+            out.append((jaccard, edits(x, y, most) if enough else most + 1))
         return pd.DataFrame(out, columns=["jaccard", "edits"])
 
     return F.pandas_udf(verify, "struct<jaccard double, edits int>")
 
 
-def _segment_hashes(most: int) -> Column:
-    """Of the words ``w`` of a text: its most + 1 even segments, each hashed with its number and the text's length."""
-    k = most + 1
-    return F.expr(f"transform(sequence(0, {most}), i -> xxhash64(size(w), i, slice(w, CAST((i * size(w)) DIV {k} AS INT) + 1, CAST(((i + 1) * size(w)) DIV {k} - (i * size(w)) DIV {k} AS INT))))")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def places(n: int, m: int, most: int) -> range:
+    """How far a part of a text of m words may have moved in one of n words: by the words added less those
+    dropped before it, and at most ``most`` are added, dropped or altered."""
+    d = n - m
+    spare = (most - abs(d)) // 2  # pairs of one added and one dropped
+    return range(min(0, d) - spare, max(0, d) + spare + 1)
 
 
-def _probe_hashes(most: int) -> Column:
-    """Of the words ``w`` of a text: every slice that may be a segment of a text at most ``most`` edits away.
+def band_hashes(forms: list[str], most: int = EDITS) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+    """Of each text its word signature, the buckets of its own parts, and those of every stretch that may be
+    a part of a text at most ``most`` edits away. Of a signature an edit changes two bits at most."""
+    known: dict[str, int] = {}
 
-    ``most`` edits leave one of most + 1 segments whole, shifted by at most ``most`` words, so two such
-    texts always share a hash with ``_segment_hashes``."""
+    def code(w: str) -> int:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+        return known[w]
+
+    split = [f.split(" ") for f in forms]
+    own: list = [None] * len(forms)
+    probe: list = [None] * len(forms)
+    sign = np.zeros(len(forms), np.uint64)
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(split):
+        by_length.setdefault(len(w), []).append(i)
     k = most + 1
-    length = f"CAST(((i + 1) * m) DIV {k} - (i * m) DIV {k} AS INT)"
-    begin = f"CAST((i * m) DIV {k} AS INT)"
-    slices = f"transform(filter(sequence({begin} - {most}, {begin} + {most}), p -> p >= 0 AND p + {length} <= size(w)), p -> xxhash64(m, i, slice(w, p + 1, {length})))"
-    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(1, size(w) - {most}), size(w) + {most}), m -> flatten(transform(sequence(0, {most}), i -> {slices})))))")
+    for n, rows in by_length.items():
+        h = np.array([[code(w) for w in split[i]] for i in rows], np.uint64)
+        sign[rows] = np.bitwise_or.reduce(np.uint64(1) << (h >> np.uint64(58)), axis=1)
+        # a part of one word has that word for its only shingle
+        pairs = _mixed(h[:, :-1] * _ODD[0] + h[:, 1:] * _ODD[1])
+        hashes = {size: [_mixed(x * odd) for odd in _ODD[:ROWS]] for size, x in ((1, h), (2, pairs))}
+
+        def bucket(m: int, part: int, begin: int, length: int, rows: int = len(rows), hashes: dict = hashes) -> np.ndarray:
+            out = np.full(rows, m * 1009 + part, np.uint64)
+            size = min(length, 2)
+            for j in range(ROWS if length else 0):
+                out = _mixed(out * _ODD[j] + hashes[size][j][:, begin : begin + length - size + 1].min(axis=1))
+            return out.view(np.int64)
+
+        def bounds(m: int, part: int) -> tuple[int, int]:
+            return part * m // k, (part + 1) * m // k - part * m // k
+
+        mine = np.stack([bucket(n, part, *bounds(n, part)) for part in range(k)], axis=1)
+        looked = []
+        for m in range(max(1, n - most), n + most + 1):
+            for part in range(k):
+                begin, length = bounds(m, part)
+                looked += [bucket(m, part, begin + s, length) for s in places(n, m, most) if 0 <= begin + s and begin + s + length <= n]
+        looked = np.stack(looked, axis=1)
+        for i, a, b in zip(rows, mine, looked):
+            own[i], probe[i] = a, np.unique(b)
+    return sign.view(np.int64).tolist(), own, probe
+
+
+def _bands(most: int):
+    def run(forms: pd.Series) -> pd.DataFrame:
+        sign, own, probe = band_hashes(forms.tolist(), most)
+        return pd.DataFrame({"sign": sign, "own": own, "probe": probe})
+
+    return F.pandas_udf(run, "struct<sign bigint, own array<bigint>, probe array<bigint>>")
 
 
 def text_classes(records: DataFrame, id_col: str, split_col: str, text_col: str, train: str, evaluation: str) -> DataFrame:
     """(id, split, source columns..., key, form): the records of both splits that have words, once each;
     records with equal ``key`` have the same words in order. Split names are compared without case and
-    outer blanks."""
+    outer blanks. It is settled, since classes and members come from it."""
     split = F.lower(F.regexp_replace(F.col(split_col), r"(?U)^\s+|\s+$", ""))
-    return (
+    return settled(
         records.select(F.col(id_col).alias("id"), split.alias("split"), F.col(text_col).alias("text"), *(["source"] if "source" in records.columns else []))
         .where(F.col("split").isin(train, evaluation) & F.col("text").isNotNull() & F.col("id").isNotNull())
-        .distinct()
         .withColumn("form", F.pandas_udf(_normal_form, "string")("text"))
         .where("form IS NOT NULL")
         .drop("text")
-        .withColumn("key", F.md5("form"))
+        .distinct()
+        .withColumn("key", F.unhex(F.md5("form")))
     )
 
 
 def class_pairs(classes: DataFrame, most: int = EDITS) -> DataFrame:
-    """(key_t, key_e, jaccard, edits): different texts of the two sides with at most ``most`` word edits.
+    """(key_t, key_e, jaccard, edits): different texts of the two sides with at most ``most`` word edits, all
+    of them.
 
-    ``classes`` has (key, form, in_train, in_eval). Minwise hashes of a text's rare words, one band each,
-    find its partners: of at least ENOUGH rare words at most two can differ, so the Jaccard similarity of
-    the rare words is a third or more and a pair is missed with probability (2/3)^24. Two texts that
-    both have fewer rare words (stock phrases, texts with very many variants) are found for certain, by
-    a segment that the edits leave whole. Every candidate is then verified on the whole texts.
+    ``classes`` has (key, form, in_train, in_eval). The training side lies in the buckets of its parts, the
+    other looks up. A bucket that very many texts share emits no pair whose word signatures tell that they
+    differ by more; its rows are spread by the skew handling of sort-merge joins. What is left is held to
+    exact Jaccard similarity and then to the edits, on the whole texts.
     """
-    sides = classes.select("key", "in_train", "in_eval")
-    word = classes.select("key", F.explode(F.array_distinct(F.split("form", " "))).alias("word"))
-    rare = word.groupBy("word").count().where(F.col("count").between(1, RARE)).select("word")
-    rare_of = word.join(rare, "word").groupBy("key").agg(F.count("*").alias("n"), F.array(*(F.min(F.xxhash64("word", F.lit(f"w{j}"))) for j in range(WORD_BANDS))).alias("h"))
-    bands = rare_of.select("key", F.posexplode("h").alias("band", "bucket")).join(sides, "key")
-    poor = classes.join(rare_of.where(F.col("n") >= ENOUGH).select("key"), "key", "left_anti").withColumn("w", F.split("form", " "))
-    by_segment = lambda side, hashes: poor.where(side).select("key", F.lit(-1).alias("band"), F.explode(hashes).alias("bucket"))
-    t = bands.where("in_train").select("key", "band", "bucket").unionByName(by_segment("in_train", _segment_hashes(most))).withColumnRenamed("key", "key_t")
-    e = bands.where("in_eval").select("key", "band", "bucket").unionByName(by_segment("in_eval", _probe_hashes(most))).withColumnRenamed("key", "key_e")
-    candidates = t.join(e, ["band", "bucket"]).where("key_t != key_e").select("key_t", "key_e").distinct()
-    form = classes.select("key", "form")
+    banded = settled(classes.withColumn("b", _bands(most)("form")).select("key", "form", "in_train", "in_eval", "b.*"))
+    t = banded.where("in_train").select(F.col("key").alias("key_t"), F.col("sign").alias("sign_t"), F.explode("own").alias("bucket"))
+    e = banded.where("in_eval").select(F.col("key").alias("key_e"), F.col("sign").alias("sign_e"), F.explode("probe").alias("bucket"))
+    near = (F.bit_count(F.col("sign_t").bitwiseXOR(F.col("sign_e"))) <= 2 * most) & (F.col("key_t") != F.col("key_e"))
+    candidates = t.join(e, "bucket").where(near).select("key_t", "key_e").distinct()
+    form = banded.select("key", "form")
     return (
         candidates.join(form.toDF("key_t", "form_t"), "key_t")
         .join(form.toDF("key_e", "form_e"), "key_e")

@@ -50,6 +50,26 @@ def test_edits():
     assert splits.edits([], ["a"], 2) == 1
 
 
+def test_places_hold_every_shift():
+    r = random.Random(2)
+    for _ in range(400):
+        n = r.randint(1, 14)
+        a = [f"{r.randint(0, 9)}" for _ in range(n)]
+        b = list(a)
+        for _ in range(2):
+            kind, i = r.randrange(3), r.randrange(len(b) + 1)
+            if kind == 0 and i < len(b):
+                b[i] = "x"
+            elif kind == 1 and i < len(b) and len(b) > 1:
+                del b[i]
+            else:
+                b.insert(i, "y")
+        if splits.edits(a, b, 2) <= 2:
+            sign, own, probe = splits.band_hashes([" ".join(a), " ".join(b)])
+            assert set(own[0]) & set(probe[1]) and set(own[1]) & set(probe[0])
+            assert bin((sign[0] ^ sign[1]) & (2**64 - 1)).count("1") <= 4
+
+
 def test_words_are_folded():
     assert words("Желтый «ёж», дерев’яний мі́ст") == words("ЖЁЛТЫЙ еж дерев'яний міст")
     assert words("well-known co‑op") == ["well-known", "co-op"]
