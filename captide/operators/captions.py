@@ -2,23 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from captide.operators.blocks import block_of
 
-GROUPS = 256
-
 
 def edge_words(before: list[str], after: list[str]) -> int:
-    """The most words that end ``before`` and begin ``after``."""
-    for n in range(min(len(before), len(after)), 0, -1):
-        if before[-n:] == after[:n]:
-            return n
-    return 0
+    """The most words that end ``before`` and begin ``after``, in one pass over both."""
+    if not after:
+        return 0
+    border, k = [0] * len(after), 0  # of each beginning of ``after``, the longest other one that ends it
+    for i in range(1, len(after)):
+        while k and after[i] != after[k]:
+            k = border[k - 1]
+        k += after[i] == after[k]
+        border[i] = k
+    k = 0
+    for w in before[-len(after) :]:
+        while k and (k == len(after) or after[k] != w):
+            k = border[k - 1]
+        k += after[k] == w
+    return k
+
+
+def streamed(df: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str) -> DataFrame:
+    """Rows of each group of ``keys`` in ``order`` through ``step``, a generator function of one group's rows
+    (tuples of the columns): it yields output rows while the group goes by, so that no group has to fit in
+    memory. Groups are spread by a shuffle on their keys and sorted where they arrive."""
+    at = [df.columns.index(k) for k in keys]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for _, group in groupby(rows, lambda r: tuple(r[i] for i in at)):
+            for x in step(group):
+                out.append(x)
+                if len(out) == 10_000:
+                    yield table(out)
+                    out = []
+        yield table(out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def _strands(df: DataFrame, key: str, order: str, start: str, end: str, gap: int = 0) -> DataFrame:
@@ -42,27 +79,22 @@ def without_repeats(captions: DataFrame) -> DataFrame:
     dropped; an empty table gives no rows.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["video_id", "strand", "start_ms", "seg_idx"], kind="stable")
-        keep, texts, kept, last = [], [], [], None
-        for i, (v, strand, text, start, end) in enumerate(zip(rows["video_id"], rows["strand"], rows["text"], rows["start_ms"], rows["end_ms"])):
-            if (v, strand) != last:
-                kept, last = [], (v, strand)
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        recent: list[tuple[list[str], int]] = []  # kept captions that may still overlap
+        reach = None  # where the one kept last ends
+        for video, seg, text, start, end, _ in rows:
             words = text.split(" ")
-            if kept and start < kept[-1][1]:
-                recent = [w for t, e in kept if e > start for w in t]
-                n = edge_words([w.lower() for w in recent], [w.lower() for w in words])
-                words = words[n:]
+            recent = [x for x in recent if x[1] > start]
+            if reach is not None and start < reach:
+                words = words[edge_words([w.lower() for t, _ in recent for w in t], [w.lower() for w in words]) :]
             if words:
-                kept.append((words, end))
-                keep.append(i)
-                texts.append(" ".join(words))
-        return rows.iloc[keep].assign(text=texts)[["video_id", "seg_idx", "text", "start_ms", "end_ms"]]
+                recent.append((words, end))
+                reach = end
+                yield video, seg, " ".join(words), start, end
 
     cols = captions.select("video_id", "seg_idx", "text", "start_ms", "end_ms")
-    strands = _strands(cols, "video_id", "seg_idx", "start_ms", "end_ms")
-    groups = strands.withColumn("_g", F.expr(f"CAST(pmod(xxhash64(video_id, strand), {GROUPS}) AS INT)"))
-    return groups.groupBy("_g").applyInPandas(lambda g: run(g), "video_id string, seg_idx int, text string, start_ms bigint, end_ms bigint")
+    strands = _strands(cols, "video_id", "seg_idx", "start_ms", "end_ms").select(*cols.columns, "strand")
+    return streamed(strands, ["video_id", "strand"], ["start_ms", "seg_idx"], step, "video_id string, seg_idx int, text string, start_ms bigint, end_ms bigint")
 
 
 def chunks(captions: DataFrame, budget: int = 30_000, overlap_ms: int = 90_000) -> DataFrame:
@@ -120,22 +152,17 @@ def chunks(captions: DataFrame, budget: int = 30_000, overlap_ms: int = 90_000)
 
 def batches(items: DataFrame, key: str, order: str, size: str, capacity: int, most: int) -> DataFrame:
     """(key, order, batch): next-fit packing inside each key, in order: a batch ends before the item that
-    would exceed ``capacity`` or be item number ``most`` + 1. A key's items must be a bounded group."""
-    step = lambda s, x: F.struct(
-        F.when(s["n"] == 0, s["batch"]).when((s["sum"] + x["size"] > capacity) | (s["n"] >= most), s["batch"] + 1).otherwise(s["batch"]).alias("batch"),
-        F.when((s["n"] == 0) | (s["sum"] + x["size"] > capacity) | (s["n"] >= most), x["size"]).otherwise(s["sum"] + x["size"]).alias("sum"),
-        F.when((s["n"] == 0) | (s["sum"] + x["size"] > capacity) | (s["n"] >= most), F.lit(1)).otherwise(s["n"] + 1).alias("n"),
-        F.concat(
-            s["out"],
-            F.array(F.struct(x["o"].alias("o"), F.when(s["n"] == 0, s["batch"]).when((s["sum"] + x["size"] > capacity) | (s["n"] >= most), s["batch"] + 1).otherwise(s["batch"]).alias("batch"))),
-        ).alias("out"),
-    )
-    o_type = items.schema[order].dataType.simpleString()
-    empty = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("n"), F.array().cast(f"array<struct<o:{o_type},batch:int>>").alias("out"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("bigint").alias("size"))))
-    return (
-        items.groupBy(key).agg(rows.alias("rows"))
-        .select(key, F.explode(F.aggregate("rows", empty, step)["out"]).alias("x"))
-        .select(key, F.col("x.o").alias(order), F.col("x.batch").alias("batch"))
-    )
-
+    would exceed ``capacity`` or be item number ``most`` + 1. A key's items go by in constant memory; where
+    a batch ends depends on where it began, so one key is read by one task."""
+
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        batch = used = n = 0
+        for k, item, amount in rows:
+            if n and (used + amount > capacity or n >= most):
+                batch, used, n = batch + 1, 0, 0
+            used, n = used + amount, n + 1
+            yield k, item, batch
+
+    kind = {c: items.schema[c].dataType.simpleString() for c in (key, order)}
+    rows = items.select(key, order, F.col(size).cast("bigint").alias("_size"))
+    return streamed(rows, [key], [order, "_size"], step, f"{key} {kind[key]}, {order} {kind[order]}, batch int")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captide.operators import rangejoin
-from captide.operators.captions import GROUPS, _strands
+from captide.operators.captions import _strands, streamed
 
 #: Categories that count as one when scenes are compared.
 COMPLEMENTARY = {"violence", "scary_and_disturbing"}
@@ -31,52 +31,59 @@ def merged_scenes(scenes: DataFrame, share: float = 0.4) -> DataFrame:
     own = scenes.where("context_start_ms IS NOT NULL AND context_end_ms >= context_start_ms AND scan_id IS NOT NULL AND video_id IS NOT NULL AND scene_id IS NOT NULL")
     once = own.groupBy("scan_id", "video_id", "scene_id", "context_start_ms", "context_end_ms").agg(F.min("categories").alias("categories"))
     keyed = once.withColumn("k", F.struct("scan_id", "video_id"))
-    strands = _strands(keyed, "k", "scene_id", "context_start_ms", "context_end_ms").drop("k")
-    groups = strands.withColumn("_g", F.expr(f"CAST(pmod(xxhash64(scan_id, video_id, strand), {GROUPS}) AS INT)"))
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (scan, video, _), rows in g.sort_values(["context_start_ms", "scene_id"], kind="stable").groupby(["scan_id", "video_id", "strand"], sort=False):
-            done: list[list] = []  # id, start, end, categories, number
-            for sid, s, e, cats in zip(rows["scene_id"], rows["context_start_ms"], rows["context_end_ms"], rows["categories"]):
-                c = set(cats) if cats is not None else set()
-                for m in done:
-                    both = max(0, min(m[2], e) - max(m[1], s))
-                    if _compatible(m[3], c) and both / min(max(1, m[2] - m[1]), max(1, e - s)) >= share:
-                        m[0], m[1], m[2], m[4] = f"{m[0]}+{sid}", min(m[1], s), max(m[2], e), m[4] + 1
-                        m[3] |= c
-                        break
-                else:
-                    done.append([sid, s, e, c, 1])
-            out += [(scan, video, m[0], m[1], m[2], m[4]) for m in done]
-        return pd.DataFrame(out, columns=["scan_id", "video_id", "scene_id", "start_ms", "end_ms", "scenes"])
+    strands = _strands(keyed, "k", "scene_id", "context_start_ms", "context_end_ms").select("scan_id", "video_id", "strand", "context_start_ms", "context_end_ms", "scene_id", "categories")
+
+    def step(rows: Iterator[tuple]) -> Iterator[tuple]:
+        done: list[list] = []  # id, start, end, categories, number, of those that a later scene may still overlap
+        for scan, video, _, s, e, sid, cats in rows:
+            for m in done:
+                if m[2] <= s:
+                    yield scan, video, m[0], m[1], m[2], m[4]
+            done = [m for m in done if m[2] > s]
+            c = set(cats) if cats is not None else set()
+            for m in done:
+                both = max(0, min(m[2], e) - max(m[1], s))
+                if _compatible(m[3], c) and both / min(max(1, m[2] - m[1]), max(1, e - s)) >= share:
+                    m[0], m[1], m[2], m[4] = f"{m[0]}+{sid}", min(m[1], s), max(m[2], e), m[4] + 1
+                    m[3] |= c
+                    break
+            else:
+                done.append([sid, s, e, c, 1])
+        for m in done:
+            yield scan, video, m[0], m[1], m[2], m[4]
 
-    return groups.groupBy("_g").applyInPandas(run, "scan_id string, video_id string, scene_id string, start_ms bigint, end_ms bigint, scenes int")
+    return streamed(strands, ["scan_id", "video_id", "strand"], ["context_start_ms", "scene_id"], step, "scan_id string, video_id string, scene_id string, start_ms bigint, end_ms bigint, scenes int")
 
 
 def greedy_unique(events: DataFrame, keys: list[str], id_col: str, pad: int = 2_000) -> DataFrame:
     """(*keys, id_col, start_ms, end_ms, confidence): events in order of start (then confidence, downwards),
     of which one that comes within ``pad`` of a kept one replaces it if its confidence is higher and
-    else is dropped. Events farther from all earlier ones begin a new strand, which is done by itself."""
+    else is dropped. Events farther from all earlier ones begin a new strand, which is done by itself and
+    goes by in order: kept events that no later one can touch are given out."""
     keyed = events.select(*keys, id_col, "start_ms", "end_ms", "confidence").withColumn("_key", F.struct(*keys))
     strands = _strands(keyed, "_key", id_col, "start_ms", "end_ms", gap=pad + 1).drop("_key")
-    rows = F.array_sort(F.collect_list(F.struct("start_ms", (-F.col("confidence")).alias("c"), F.col(id_col).alias("i"), "end_ms")))
-    near = lambda a, b: (a["start_ms"] <= b["end_ms"] + pad) & (a["end_ms"] >= b["start_ms"] - pad)
-
-    def step(kept, x):  # noqa: ANN001, ANN202
-        hits = F.filter(F.sequence(F.lit(1), F.size(kept)), lambda i: near(F.get(kept, i - 1), x))
-        first = F.array_min(F.when(F.size(kept) > 0, hits))
-        return F.when(first.isNull(), F.concat(kept, F.array(x))).otherwise(
-            F.transform(kept, lambda y, i: F.when((i + 1 == first) & (x["c"] < y["c"]), x).otherwise(y))
-        )
-
-    i_type = events.schema[id_col].dataType.simpleString()
-    none = F.array().cast(f"array<struct<start_ms:bigint,c:double,i:{i_type},end_ms:bigint>>")
-    return (
-        strands.groupBy(*keys, "strand").agg(rows.alias("rows"))
-        .select(*keys, F.explode(F.aggregate("rows", none, step)).alias("x"))
-        .select(*keys, F.col("x.i").alias(id_col), "x.start_ms", "x.end_ms", (-F.col("x.c")).alias("confidence"))
-    )
+    rows = strands.select(*keys, "strand", "start_ms", (-F.col("confidence")).alias("_c"), id_col, "end_ms")
+    k = len(keys)
+
+    def step(group: Iterator[tuple]) -> Iterator[tuple]:
+        kept: list[tuple] = []
+        for x in group:
+            start, end = x[k + 1], x[k + 4]
+            yield from (out(y) for y in kept if y[k + 4] < start - pad)
+            kept = [y for y in kept if y[k + 4] >= start - pad]
+            hit = next((i for i, y in enumerate(kept) if y[k + 1] <= end + pad), None)
+            if hit is None:
+                kept.append(x)
+            elif x[k + 2] < kept[hit][k + 2]:
+                kept[hit] = x
+        yield from map(out, kept)
+
+    def out(y: tuple) -> tuple:
+        return (*y[:k], y[k + 3], y[k + 1], y[k + 4], -y[k + 2])
+
+    kind = {c: events.schema[c].dataType.simpleString() for c in (*keys, id_col)}
+    schema = ", ".join(f"{c} {kind[c]}" for c in (*keys, id_col)) + ", start_ms bigint, end_ms bigint, confidence double"
+    return streamed(rows, [*keys, "strand"], ["start_ms", "_c", id_col], step, schema)
 
 
 def keep_first(rows: DataFrame, keys: list[str], id_col: str, pad: int = 2_000) -> DataFrame:

@@ -675,8 +675,11 @@ def largest_jobs(spark: SparkSession, d: str) -> DataFrame:
     """The twenty jobs with the most distinct items, and when they began."""
     m = table(spark, d, "transcript_chunks").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("job_id").alias("job_id"), F.min("created_at").alias("made"))
     v = m.groupBy("job_id").agg(F.min("made").alias("first_at"), F.count("*").alias("items"))
-    top = v.select("job_id", "items", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_us"), F.rank().over(Window.orderBy(F.desc("items"))).alias("place"))
-    return top.where("place <= 20")
+    # jobs that share the twentieth count have its place too: the counts are few, their jobs are not ranked in one task
+    sizes = v.groupBy("items").agg(F.count("*").alias("jobs")).orderBy(F.desc("items")).limit(20)
+    before = F.coalesce(F.sum("jobs").over(Window.orderBy(F.desc("items")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.withColumn("place", (before + 1).cast("int")).where("place <= 20").select("items", "place")
+    return v.join(F.broadcast(places), "items").select("job_id", "items", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_us"), "place")
 
 
 ANCHOR_SQL = SEGMENTS_SQL + r""", num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos FROM seg),
@@ -782,8 +785,8 @@ def run_order(spark: SparkSession, d: str) -> DataFrame:
     """Videos of each channel from the newest on, and the same order rotated by one."""
     v = table(spark, d, "videos").where("video_id IS NOT NULL").groupBy("video_id").agg(F.min("channel_id").alias("channel_id"), F.min("published_at").alias("p")).where("channel_id IS NOT NULL")
     n = v.groupBy("channel_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("channel_id").orderBy(F.desc_nulls_last("p"), "video_id")
-    o = v.join(n, "channel_id").withColumn("place", F.row_number().over(w) - 1)
+    day = F.coalesce(-F.floor(F.unix_micros(F.col("p").cast("timestamp")) / 86_400_000_000), F.lit(1 << 40)).cast("bigint")  # the newest day first, no day last
+    o = blocks.numbered(v.join(n, "channel_id"), ["channel_id"], day, [F.desc_nulls_last("p"), "video_id"], "place").withColumn("place", F.col("place").cast("int"))
     return o.select("channel_id", "video_id", "place", F.pmod(F.col("place") - 1, F.col("n")).cast("int").alias("rotated"))
 
 
@@ -859,7 +862,7 @@ def event_props(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Counts per hour and type, by a stream over the events."""
-    out = windows.run_to_table(windows.tumbling_counts(windows.read_events(spark, f"{d}/events.parquet")), spark)
+    out = windows.run_to_table(windows.tumbling_counts(windows.read_events(spark, f"{d}/events.parquet")), spark, ["window_start", "event_type"])
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captide.sources.shared import shared_folder
+
 
 def tumbling_counts(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, event_type, n): counts per time window; events later than ``late`` are dropped."""
@@ -21,26 +22,37 @@ def session_counts(stream: DataFrame, gap: str = "75 seconds", late: str = "10 m
     return stream.withWatermark("ts", late).groupBy("user_id", s).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "n")
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the Parquet files that ``path`` (a file or a folder) holds now and later."""
+def read_events(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A stream of the Parquet files that ``path`` (a file or a folder) holds now and later, at most ``files``
+    of them in a batch."""
     batch = spark.read.parquet(path)
     folder, name = os.path.split(path)
     reader = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*" if os.path.isdir(path) else name)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     return reader.parquet(path if os.path.isdir(path) else folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
+def run_to_table(stream: DataFrame, spark: SparkSession, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there, and returns what it has written. State and output lie in the
-    shared folder that ``spark.checkpoint.dir`` names."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="captide-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
-    rows: dict = {}
+    shared folder that ``spark.checkpoint.dir`` names.
+
+    With ``keys`` each batch writes the rows that it changed, and the last one of each key holds; without,
+    a row is written once, when the watermark has passed it. Either way the watermark ends the state of
+    what is over, and rows that come later than it allows are dropped."""
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    written: list[int] = []
 
     def keep(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
-        rows[batch] = True
+        written.append(batch)
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+    q = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    last = max(rows, default=None)
-    return spark.read.parquet(f"{at}/out/batch={last}") if last is not None else spark.createDataFrame([], stream.schema)
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    out = spark.read.option("basePath", f"{at}/out").parquet(f"{at}/out")
+    if not keys:
+        return out.drop("batch")
+    last = out.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("x"))
+    return last.select(*keys, "x.*").select(*stream.columns)
