@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from captide.sources.shared import shared_folder
+
 
 def settled(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the folder that ``spark.checkpoint.dir`` names, which all
-    executors share; where the setting is missing (tests on one machine), in a folder of its own."""
+    """The same rows, computed once and kept in the folder that all executors share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="captide-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
