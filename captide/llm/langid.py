@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from captide.llm.settle import settled
-from captide.llm.turns import BLOCK, Grammar, _small, parts_of
+from captide.llm.turns import BLOCK, Grammar, speech_of
 
 LANGUAGES = ("en", "ru", "uk", "de", "es", "fr")
 CYRILLIC = frozenset(("ru", "uk"))
@@ -155,28 +155,22 @@ def _counts(texts: list[tuple[str, str, str, list[str]]]) -> tuple[dict[str, Cou
     return counts, {lang: sum(c.values()) + 1 for lang, c in counts.items()}
 
 
-def _words(grammar: Grammar, text: str | None) -> str:
-    return " ".join(w for _, w in parts_of(grammar, text) if w)
-
-
 def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> DataFrame:
     """(video_id, seg_idx, words, sizes): the number of telling words and the sizes by language of each
     segment that has any, repeated rows as they are."""
-    rows = _small(speakers.select("display_name", "duty").distinct())
-    names = [(r[0], r[1]) for r in rows] if rows is not None else None
     own = segments.where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text")
     labels = videos.where("video_id IS NOT NULL").groupBy("video_id").agg(F.min(language_code(F.col("language"))).alias("lang"))
     share = max(1, segments.count() // FIT_SEGMENTS)
     sample = own.where(F.pmod(F.xxhash64("video_id", "seg_idx"), F.lit(share)) == 0).join(labels.where("lang IS NOT NULL"), "video_id").select("video_id", "lang", "text")
-    grammar = Grammar(names)
-    dictionaries = fit([(r[0], r[1], plain(_words(grammar, r[2]))) for r in sample.collect()])
+    grammar = Grammar()
+    dictionaries = fit([(r[0], r[1], plain(speech_of(grammar, r[2]))) for r in sample.collect()])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar, sizes = Grammar(names), Sizes(dictionaries)
+        grammar, sizes = Grammar(), Sizes(dictionaries)
         for b in batches:
             keep, words, out = [], [], []
             for i, text in enumerate(b["text"].tolist()):
-                p = plain(_words(grammar, text))
+                p = plain(speech_of(grammar, text))
                 if p and _LATIN.search(p) or _CYRILLIC.search(p):
                     keep.append(i)
                     words.append(p.count(" ") + 1)

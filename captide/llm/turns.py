@@ -1,10 +1,11 @@
 """Speaker turns from raw captions.
 
 A parsing-expression grammar (ordered choice, recursive nesting of annotations) splits the text of a
-segment into labels, change marks, times, sounds and words. The parse tree becomes *parts*: stretches
-of a segment under one label. Parts are put in order within blocks of ``BLOCK`` segments; only three
-rows per block travel on to the step that joins the blocks of a video, so a video of any length never
-has to fit one task.
+segment into labels, change marks, times, sounds and words. The grammar knows no names: what may be one
+(before a colon, in brackets) is a candidate, which a join with the speakers of the channel settles, so
+speakers of any number give the same turns. The parse tree becomes *parts*: stretches of a segment under
+one label. Parts are put in order within blocks of ``BLOCK`` segments; only three rows per block travel on
+to the step that joins the blocks of a video, so a video of any length never has to fit one task.
 """
 
 from __future__ import annotations
@@ -21,10 +22,6 @@ from captide.llm.settle import settled
 
 #: Segments of one video that one window sees.
 BLOCK = 1024
-#: The speakers' names go to the parser and to a broadcast join up to this many rows; beyond it the
-#: parser tells names by their capitals and the join is a shuffle join.
-MAX_BROADCAST_SPEAKERS = 20_000
-
 FILLERS = frozenset(
     "э э-э ээ эм ну короче uh um uhm erm hm hum euh heu euuh äh ähm öh eh eeh em mmm е-е еее ем".split()
 )
@@ -33,19 +30,36 @@ SPEAKER_WORDS = "speaker|спикер|спікер|locuteur|sprecher|hablante"
 
 
 class Node(NamedTuple):
-    """A node of the parse tree: what it is and the text it stands for."""
+    """A node of the parse tree: what it is, the text it stands for, and what a ``maybe``, which is a label
+    if it names somebody of the channel, says if it doesn't."""
 
     kind: str
     text: str
+    said: str = ""
+
+
+class Part(NamedTuple):
+    """A stretch of a segment: its label if no candidate is a name (none: it goes on), the candidates of two
+    words and one, the words it has then besides ``words``. A ``lead`` is the word before a candidate, which
+    is part of the name if the candidate of two words is one, and else speech that goes on."""
+
+    label: str | None
+    two: str | None
+    one: str | None
+    lead: bool
+    said: str
+    words: str
 
 
 # -- the grammar -------------------------------------------------------------------------------
 # segment    <- item* EOF
-# item       <- voice / tag / time / starred / music / mark / annotation / label / word / any
+# item       <- voice / tag / time / starred / music / mark / annotation / label / maybe / word / any
 # voice      <- '<v' name '>'
 # tag        <- '<' (!'>' .)* '>'            a time inside it makes it a time
 # annotation <- open (annotation / !close .)* close      with open/close '[' ']' or '(' ')'
-# label      <- (numbered / duty '(' name ')' / name) ' '? ':'  /  numbered ' - '
+# label      <- numbered (':' / ' - ')
+# maybe      <- (duty '(' name ')' / word word / word) ' '? ':'  /  an annotation of up to three words
+#               a label if it is a name of the channel's speakers, else speech, or nothing if in brackets
 # mark       <- '>>>' / '>>' / '»' / dash at the start of speech
 # word       <- letters and digits with inner hyphens and apostrophes
 
@@ -68,27 +82,7 @@ _CLOSE = {"[": "]", "(": ")"}
 
 
 class Grammar:
-    """Parses one segment. ``firsts``, ``lasts`` and ``duties`` tell names from other words."""
-
-    def __init__(self, names: list[tuple[str, str]] | None = None):
-        self.known = names is not None
-        self.firsts: set[str] = set()
-        self.lasts: set[str] = set()
-        self.duties: set[str] = set()
-        self.full: set[tuple[str, str]] = set()
-        for name, duty in names or []:
-            words = (name or "").casefold().split()
-            if words:
-                self.firsts.add(words[0])
-                self.lasts.add(words[-1])
-                self.full.add((self._letters(words[0]), self._letters(words[-1])))
-            if duty:
-                self.duties.add(duty.casefold())
-        self.letters = {self._letters(x) for x in self.firsts | self.lasts}
-
-    @staticmethod
-    def _letters(word: str) -> str:
-        return "".join(sorted(word))
+    """Parses one segment."""
 
     def parse(self, text: str) -> list[Node]:
         text = _SPACE.sub(" ", _ENTITY.sub(" ", text)).strip()
@@ -109,7 +103,7 @@ class Grammar:
         if c == "<" and (m := _TAG.match(text, at)):
             inner = m[0][1:-1]
             if inner[:2].lower() == "v " or inner[:2].lower() == "v.":
-                out.append(Node("label", self._form(inner[2:].split("@")[0])))
+                out.append(Node("voice", self._form(inner[2:].split("@")[0])))
             elif _TIME.search(inner):
                 out.append(Node("time", inner))
             return m.end()
@@ -142,12 +136,13 @@ class Grammar:
         m = _WORD.match(text, at)
         stop = m.end()
         if self.colon:
-            if self.bracket and (n := _DUTY.match(text, at)) and (n[1].casefold() in self.duties or not self.known):
-                out.append(Node("label", self._form(n[2])))
+            if self.bracket and (n := _DUTY.match(text, at)):
+                out.append(Node("maybe", self._form(n[2]), n[1]))
                 return n.end()
             dot = stop < len(text) and text[stop] == "." and stop - at == 1
             if n := _COLON.match(text, stop + dot):
-                return self._named(text[at : stop + dot], n.end(), out)
+                out.append(Node("named", text[at : stop + dot]))
+                return n.end()
             if dot:
                 out.append(Node("word", text[at : stop + 1]))
                 return stop + 1
@@ -185,69 +180,68 @@ class Grammar:
             out.append(Node("time", body))
         elif m := _NUMBERED.fullmatch(body):
             out.append(Node("label", f"n:{int(m[1] or m[2])}"))
-        elif self._is_name(body):
-            out.append(Node("label", self._form(body)))
         elif colon and body:
-            out.append(Node("label", self._form(body)))
+            out.append(Node("voice", self._form(body)))
+        elif 1 <= len(names := body.split()) <= 3:
+            out.append(Node("maybe", self._form(body if len(names) < 3 else f"{names[0]} {names[2]}")))
         else:
             out.append(Node("sound", body))
         return after
 
-    def _is_name(self, body: str) -> bool:
-        words = body.casefold().split()
-        if not self.known or not 1 <= len(words) <= 3:
-            return False
-        if body.casefold() in self.duties:
-            return True
-        if len(words) == 1:
-            return self._letters(words[0]) in self.letters
-        a, b = words[0], words[-1]
-        return (
-            (self._letters(a), self._letters(b)) in self.full
-            or a in self.firsts and len(b.rstrip(".")) == 1
-            or b in self.lasts and len(a.rstrip(".")) == 1
-        )
-
-    def _named(self, last: str, after: int, out: list[Node]) -> int:
-        """A label of one or two words ends here; the first of two may lie in ``out`` as a word."""
-        low, before = last.casefold(), out[-1] if out and out[-1].kind == "word" else None
-        two = before is not None and (
-            self._is_name(f"{before.text} {last}")
-            or not self.known and before.text[:1].isupper() and last[:1].isupper() and len(out) == 1
-        )
-        if low in self.duties or not two and self._is_name(last):
-            two = False
-        elif before is not None and not two and self.known and (before.text.casefold() in self.firsts or len(before.text.rstrip(".")) == 1):
-            two = len(out) == 1
-        if two:
-            last = f"{out.pop().text} {last}"
-        out.append(Node("label", self._form(last)))
-        return after
-
     @staticmethod
     def _form(name: str) -> str:
         return "f:" + " ".join(name.casefold().replace(".", " ").split())
 
 
-def parts_of(grammar: Grammar, text: str | None) -> list[tuple[str | None, str]]:
-    """Parts of one segment: (label, clean words joined by blanks). The first part has no label if the
-    segment doesn't begin with one. ``m:`` is a change mark without a name."""
+def parts_of(grammar: Grammar, text: str | None) -> list[Part]:
+    """Parts of one segment, with clean words joined by blanks. The first part has no label if the segment
+    doesn't begin with one. ``m:`` is a change mark without a name. A capitalised word before a colon where
+    the segment's speech begins is a label even if it names nobody known."""
     if not text or text.isspace():
         return []
     if not _SPECIAL.search(text):
-        return [(None, " ".join(w for w in _WORD.findall(text) if w.casefold() not in FILLERS))]
-    parts: list[tuple[str | None, list[str]]] = [(None, [])]
+        words = " ".join(w for w in _WORD.findall(text) if w.casefold() not in FILLERS)
+        return [Part(None, None, None, False, "", words)] if words else []
+    parts: list[tuple[Part, list[str]]] = [(Part(None, None, None, False, "", ""), [])]
+    spoken = 0
+
+    def begin(label: str | None, two: str | None = None, one: str | None = None, said: str = "") -> None:
+        # a mark has this name, if it is one
+        if parts[-1][0].label == "m:" and not parts[-1][1] and not parts[-1][0].said and label != "m:":
+            parts.pop()
+            label = label or "m:"
+        parts.append((Part(label, two, one, False, said, ""), []))
+
     for node in grammar.parse(text):
         if node.kind == "word":
             if node.text.casefold() not in FILLERS:
                 parts[-1][1].append(node.text)
+                spoken += 1
         elif node.kind == "label":
-            if parts[-1][0] == "m:" and not parts[-1][1]:
-                parts.pop()  # the mark has a name
-            parts.append((node.text, []))
+            begin(node.text)
+        elif node.kind == "voice":
+            begin(node.text, None, node.text)
+        elif node.kind == "maybe":
+            begin(None, None, node.text, node.said)
+            spoken += bool(node.said)
+        elif node.kind == "named":
+            one, two = grammar._form(node.text), None
+            if parts[-1][1]:
+                before = parts[-1][1].pop()
+                two = grammar._form(f"{before} {node.text}")
+                parts.append((Part(None, two, None, True, before, ""), []))
+            unknown = not spoken and node.text[:1].isupper()
+            said = "" if unknown or node.text.casefold() in FILLERS else node.text
+            begin(one if unknown else None, two, one, said)
+            spoken += 1
         elif node.kind == "mark":
-            parts.append(("m:", []))
-    return [(label, " ".join(words)) for label, words in parts if label is not None or words]
+            begin("m:")
+    return [part._replace(words=" ".join(words)) for part, words in parts if part.label or part.two or part.one or part.said or words]
+
+
+def speech_of(grammar: Grammar, text: str | None) -> str:
+    """The clean words of a segment apart from all that may be a name."""
+    return " ".join(p.words for p in parts_of(grammar, text) if p.words)
 
 
 def _forms(name: str) -> Iterator[str]:
@@ -293,71 +287,59 @@ def speaker_forms(speakers: DataFrame) -> DataFrame:
     return every.groupBy("channel_id", "form").agg(F.min_by("speaker", F.struct("rank", "speaker")).alias("speaker"))
 
 
-def _small(df: DataFrame) -> list | None:
-    """The rows, if they are within the bound for broadcasting."""
-    rows = df.limit(MAX_BROADCAST_SPEAKERS + 1).collect()
-    return rows if len(rows) <= MAX_BROADCAST_SPEAKERS else None
-
-
-def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The parsed parts (video_id, block, seg_idx, part, label, words, start_ms, end_ms), the channel of
-    each block of a video, and the label forms of the speakers. start_ms and end_ms are -1 where a
-    segment's times are null or impossible.
+def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The parts (video_id, block, seg_idx, part, label, words, start_ms, end_ms), once each, and the blocks
+    of each video. start_ms and end_ms are -1 where a segment's times are null or impossible.
 
     Rows with a null video_id or seg_idx, and blank or null texts, give nothing; repeated rows count
-    once; a name that stands for nobody of the channel is a speaker of that name. Extra columns of the
-    inputs are ignored. Labels in segments with null or impossible times still hold for what follows.
+    once. Extra columns of the inputs are ignored. Labels in segments with null or impossible times still
+    hold for what follows.
     """
-    rows = _small(speakers.select("display_name", "duty").distinct())
-    names = [(r[0], r[1]) for r in rows] if rows is not None else None
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar = Grammar(names)
+        grammar = Grammar()
         for b in batches:
             ids, seg, start, end = b["video_id"].to_numpy(), b["seg_idx"].to_numpy(), b["start_ms"].to_numpy(), b["end_ms"].to_numpy()
-            pick, part, label, words = [], [], [], []
+            pick, number, parts = [], [], []
             for i, text in enumerate(b["text"].tolist()):
-                for k, (lab, w) in enumerate(parts_of(grammar, text)):
+                for k, p in enumerate(parts_of(grammar, text)):
                     pick.append(i)
-                    part.append(k)
-                    label.append(f"m:{seg[i]}:{k}" if lab == "m:" else lab)
-                    words.append(w)
-            yield pd.DataFrame({"video_id": ids[pick], "seg_idx": seg[pick], "part": part, "label": label, "words": words, "start_ms": start[pick], "end_ms": end[pick]})
+                    number.append(k)
+                    parts.append(p._replace(label=f"m:{seg[i]}:{k}") if p.label == "m:" else p)
+            columns = dict(zip(Part._fields, zip(*parts))) if parts else {c: [] for c in Part._fields}
+            yield pd.DataFrame({"video_id": ids[pick], "seg_idx": seg[pick], "part": number, **columns, "start_ms": start[pick], "end_ms": end[pick]})
 
     valid = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & (F.col("end_ms") >= F.col("start_ms"))
     own = segments.where("video_id IS NOT NULL AND seg_idx IS NOT NULL")
     block = F.expr(f"CAST(FLOOR(seg_idx / {BLOCK}) AS INT)").alias("block")
-    parts = (
+    parts = settled(  # the candidates and the parts come from it
         own.select("video_id", F.col("seg_idx").cast("int"), "text", F.when(valid, F.col("start_ms")).otherwise(-1).alias("start_ms"), F.when(valid, F.col("end_ms")).otherwise(-1).alias("end_ms"))
         .where("text IS NOT NULL")
-        .mapInPandas(parse, "video_id string, seg_idx int, part int, label string, words string, start_ms long, end_ms long")
+        .mapInPandas(parse, "video_id string, seg_idx int, part int, label string, two string, one string, lead boolean, said string, words string, start_ms long, end_ms long")
         .select("*", block)
     )
     channel = videos.where("video_id IS NOT NULL").groupBy("video_id").agg(F.min("channel_id").alias("channel_id"))
-    blocks = own.select("video_id", block).distinct().join(channel, "video_id", "left")
-    forms = speaker_forms(speakers)
-    if names is not None:
-        forms = F.broadcast(forms)
-    return parts, blocks, forms
-
-
-def _resolved(parts: DataFrame, blocks: DataFrame, forms: DataFrame, keep: list[str]) -> DataFrame:
-    once = parts.groupBy("video_id", "block", "seg_idx", "part").agg(*(F.first(c).alias(c) for c in keep))
-    forms = forms.withColumnRenamed("form", "label")
-    return (
-        once.join(blocks, ["video_id", "block"], "left")
-        .join(forms, ["channel_id", "label"], "left")
-        .withColumn("label", F.coalesce("speaker", "label"))
-        .drop("speaker", "channel_id")
-    )
+    blocks = own.select("video_id", block).distinct()
+    # what the candidates of a block of segments stand for in the video's channel
+    maybe = parts.where("two IS NOT NULL OR one IS NOT NULL").select("video_id", "block", F.explode(F.array("two", "one")).alias("form")).where("form IS NOT NULL").distinct()
+    named = maybe.join(channel, "video_id").join(speaker_forms(speakers), ["channel_id", "form"])
+    names = named.groupBy("video_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("form", "speaker"))).alias("names"))
+    columns = [c for c in parts.columns if c not in ("video_id", "block", "seg_idx", "part")]
+    once = parts.repartition("video_id", "block").groupBy("video_id", "block", "seg_idx", "part").agg(*(F.first(c).alias(c) for c in columns))
+    two, one = (F.when(F.col(c).isNotNull(), F.try_element_at("names", F.col(c))) for c in ("two", "one"))
+    hit = F.coalesce(two, one)
+    rows = once.join(names, ["video_id", "block"], "left").select(
+        "video_id", "block", "seg_idx", "part", F.when(~F.col("lead"), F.coalesce(hit, "label")).alias("label"),
+        F.when(hit.isNull(), F.trim(F.concat_ws(" ", "said", "words"))).otherwise(F.col("words")).alias("words"), "start_ms", "end_ms",
+    )
+    return rows.where("label IS NOT NULL OR words != ''"), blocks
 
 
 def utterances(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> DataFrame:
     """(video_id, seg_idx, part, speaker, words, start_ms, end_ms): the clean words of each part of a
     segment, without labels, times, sounds and filler, in order of seg_idx and part. A part whose
     speaker was named in an earlier segment has the label that held then. Times may be null."""
-    parts, blocks, forms = parsed(segments, videos, speakers)
-    rows = _resolved(parts.repartition("video_id", "block"), blocks, forms, ["label", "words", "start_ms", "end_ms"])
+    rows, blocks = parsed(segments, videos, speakers)
     w = Window.partitionBy("video_id", "block").orderBy("seg_idx", "part")
     states = rows.where("label IS NOT NULL").groupBy("video_id", "block").agg(F.max_by("label", F.struct("seg_idx", "part")).alias("state"))
     by_block = Window.partitionBy("video_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -379,12 +361,8 @@ def speaker_turns(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
     a spoken word or with null or impossible times neither start, end nor belong to a turn; an empty
     table gives no row. See ``parsed`` for nulls and repeated rows.
     """
-    parts, blocks, forms = parsed(segments, videos, speakers)
-    parts = (
-        parts.withColumn("spoken", (F.col("words") != "") & (F.col("start_ms") >= 0)).drop("words").where("spoken OR label IS NOT NULL")
-        .repartition("video_id", "block")
-    )
-    rows = _resolved(parts, blocks, forms, ["label", "spoken", "start_ms", "end_ms"])
+    rows, _ = parsed(segments, videos, speakers)
+    rows = rows.withColumn("spoken", (F.col("words") != "") & (F.col("start_ms") >= 0)).drop("words").where("spoken OR label IS NOT NULL")
     at = F.struct("seg_idx", "part")
     w = Window.partitionBy("video_id", "block").orderBy("seg_idx", "part")
     # runs inside a block; a null speaker is that of the blocks before; run 0 has labels without speech
