@@ -22,13 +22,15 @@ from captide.llm.turns import BLOCK, Grammar, speech_of
 
 LANGUAGES = ("en", "ru", "uk", "de", "es", "fr")
 CYRILLIC = frozenset(("ru", "uk"))
-#: Labelled segments that the dictionaries are made from, at most about this many.
-FIT_SEGMENTS = 24_000
+#: Labelled segments that the dictionaries are made from: about FIT_SEGMENTS in all, and of a rare language
+#: FIT_LEAST if there are so many; none of more characters than FIT_CHARACTERS.
+FIT_SEGMENTS, FIT_LEAST, FIT_CHARACTERS = 24_000, 1_000, 5_000
 #: Bytes of a dictionary.
-DICT_BYTES = 40_000
+DICT_BYTES = 80_000
 #: A segment is in another language than its video's if that saves at least so many bytes, and so much of the size.
 MARGIN_BYTES, MARGIN_SHARE = 3, 0.15
-NEVER = 9999
+#: The size where a language was not tried, and the code of a text whose language can't be told.
+NEVER, UNKNOWN = 9999, "und"
 
 # Codes of three letters.
 THREE_LETTERS = {"eng": "en", "rus": "ru", "ukr": "uk", "deu": "de", "ger": "de", "spa": "es", "fra": "fr", "fre": "fr"}
@@ -52,18 +54,20 @@ def plain(words: str) -> str:
     return " ".join([w[0].lower(), *(x for x in w[1:] if not x[:1].isupper() or x.isupper() and len(x) > 1)]).lower() if w[0] else ""
 
 
-def is_cyrillic(text: str) -> bool:
-    """Whether most letters are Cyrillic; a few look-alikes of the other script change nothing."""
-    if not _CYRILLIC.search(text):
-        return False
-    return not _LATIN.search(text) or len(_CYRILLIC.findall(text)) > len(_LATIN.findall(text))
+# one byte a letter in every script, so that matches are as long; letters of further scripts are one sign
+_ONE_BYTE = {ord(c): 0x80 + i for i, c in enumerate("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ")} | {0x153: 0xAF}
 
 
-def _bytes(text: str, cyrillic: bool | None = None) -> bytes:
-    """One byte a letter in either script, so that matches are as long in both."""
-    if cyrillic is None:
-        cyrillic = is_cyrillic(text)
-    return f" {_DIGITS.sub('', text)} ".encode("cp1251" if cyrillic else "latin-1", "ignore")
+def scripts(text: str) -> tuple[bool, bool]:
+    """Whether Latin and Cyrillic letters may tell the text's language. A few look-alikes of the other
+    script change nothing."""
+    cyrillic = len(_CYRILLIC.findall(text)) if _CYRILLIC.search(text) else 0
+    latin = len(_LATIN.findall(text)) if _LATIN.search(text) else 0
+    return latin * 4 > cyrillic, cyrillic * 4 > latin
+
+
+def _bytes(text: str) -> bytes:
+    return f" {_DIGITS.sub('', text)} ".translate(_ONE_BYTE).encode("latin-1", "replace")
 
 
 class Sizes:
@@ -81,11 +85,13 @@ class Sizes:
         self.latin = [(i, self.run[x]) for i, x in enumerate(self.langs) if x not in CYRILLIC]
 
     def of(self, text: str) -> list[int]:
+        """The size by each language of a script that the text has letters enough of; else NEVER."""
         out = [NEVER] * len(self.langs)
-        cyrillic = is_cyrillic(text)
-        raw = _bytes(text, cyrillic)
-        for i, run in self.cyrillic if cyrillic else self.latin:
-            out[i] = len(run(raw))
+        latin, cyrillic = scripts(text)
+        if latin or cyrillic:
+            raw = _bytes(text)
+            for i, run in self.latin * latin + self.cyrillic * cyrillic:
+                out[i] = len(run(raw))
         return out
 
 
@@ -160,8 +166,10 @@ def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
     segment that has any, repeated rows as they are."""
     own = segments.where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text")
     labels = videos.where("video_id IS NOT NULL").groupBy("video_id").agg(F.min(language_code(F.col("language"))).alias("lang"))
-    share = max(1, segments.count() // FIT_SEGMENTS)
-    sample = own.where(F.pmod(F.xxhash64("video_id", "seg_idx"), F.lit(share)) == 0).join(labels.where("lang IS NOT NULL"), "video_id").select("video_id", "lang", "text")
+    labelled = own.join(labels.where("lang IS NOT NULL"), "video_id").where(F.length("text") <= FIT_CHARACTERS)
+    counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}  # a row a language
+    share = F.create_map(*(F.lit(x) for lang in LANGUAGES for x in (lang, max(1, min(sum(counts.values()) // FIT_SEGMENTS, counts.get(lang, 0) // FIT_LEAST)))))
+    sample = labelled.where(F.pmod(F.xxhash64("video_id", "seg_idx"), F.try_element_at(share, F.col("lang"))) == 0).select("video_id", "lang", "text")
     grammar = Grammar()
     dictionaries = fit([(r[0], r[1], plain(speech_of(grammar, r[2]))) for r in sample.collect()])
 
@@ -171,7 +179,7 @@ def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
             keep, words, out = [], [], []
             for i, text in enumerate(b["text"].tolist()):
                 p = plain(speech_of(grammar, text))
-                if p and _LATIN.search(p) or _CYRILLIC.search(p):
+                if any(c.isalpha() for c in p):
                     keep.append(i)
                     words.append(p.count(" ") + 1)
                     out.append(sizes.of(p))
@@ -182,47 +190,50 @@ def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
 
 def languages(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> DataFrame:
     """(video_id, seg_idx, lang, confidence, label): with seg_idx -1 the main language of each video that
-    has segments with words and the code its own label names; with a seg_idx each segment in another
-    language than its video's.
+    has segments with words and the code its own label names; with a seg_idx each segment that isn't in
+    its video's. ``lang`` is ``und`` where the margin is too narrow to tell, or the script is of no known
+    language.
 
     Null ids and texts, and segments without words, give nothing; repeated rows count once; a video
     without a row in ``videos`` has no label; the confidence of a video is the share of its words in the
     main language, that of a segment the share of bytes saved. Extra columns are ignored.
     """
     block = F.expr(f"CAST(FLOOR(seg_idx / {BLOCK}) AS INT)").alias("block")
-    best = F.array_position(F.col("sizes"), F.array_min("sizes").cast("smallint")).cast("int") - 1
-    runner_up = F.array_sort("sizes")[1] - F.array_min("sizes")
+    least = F.array_min("sizes")
+    best = F.when(least < NEVER, F.array_position(F.col("sizes"), least.cast("smallint")).cast("int") - 1).otherwise(-1)
+    runner_up = F.array_sort("sizes")[1] - least
     rows = segment_sizes(segments, videos, speakers).select("*", block)
     once = rows.groupBy("video_id", "block", "seg_idx").agg(F.first("words").alias("words"), F.first("sizes").alias("sizes")).withColumn("best", best)
     sure = F.when(runner_up >= 1, F.col("words"))
     by_block = once.groupBy("video_id", "block").agg(
-        F.collect_list(F.struct("seg_idx", "sizes", "best")).alias("segs"),
+        F.collect_list(F.struct("seg_idx", "sizes", "best")).alias("segs"), F.sum("words").alias("words"),
         *(F.coalesce(F.sum(F.when(F.col("best") == i, sure)), F.lit(0)).alias(f"n{i}") for i in range(len(LANGUAGES))),
-    )
+    )
     by_block = settled(by_block)  # both the main language and the segments come from it
     n = [F.col(f"n{i}") for i in range(len(LANGUAGES))]
     codes = F.array(*(F.lit(x) for x in LANGUAGES))
+    named = lambda i: F.coalesce(F.when(i >= 0, F.get(codes, i)), F.lit(UNKNOWN))
     total = sum(n[1:], n[0])
-    main = (
-        by_block.groupBy("video_id").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(LANGUAGES))))
-        .where(total > 0)
-        .select("video_id", (F.array_position(F.array(*n), F.greatest(*n)) - 1).cast("int").alias("main"), F.round(F.greatest(*n) / total, 4).alias("confidence"))
+    most = F.greatest(*n)
+    main = by_block.groupBy("video_id").agg(F.sum("words").alias("words"), *(F.sum(f"n{i}").alias(f"n{i}") for i in range(len(LANGUAGES)))).select(
+        "video_id", F.when(total > 0, (F.array_position(F.array(*n), most) - 1).cast("int")).otherwise(-1).alias("main"), F.round(F.when(total > 0, most / total).otherwise(0.0), 4).alias("confidence")
     )
     labels = videos.where("video_id IS NOT NULL").groupBy("video_id").agg(F.min(language_code(F.col("language"))).alias("label"))
-    of_video = main.join(labels, "video_id", "left").select("video_id", F.lit(-1).cast("bigint").alias("seg_idx"), F.get(codes, F.col("main")).alias("lang"), "confidence", "label")
-    own_size = F.get(F.col("s.sizes"), F.col("main"))
-    least = F.array_min("s.sizes")
-    saved = own_size - least
+    of_video = main.join(labels, "video_id", "left").select("video_id", F.lit(-1).cast("bigint").alias("seg_idx"), named(F.col("main")).alias("lang"), "confidence", "label")
+    own_size = F.coalesce(F.when(F.col("main") >= 0, F.get(F.col("s.sizes"), F.col("main"))), F.lit(NEVER))
+    saved = own_size - F.array_min("s.sizes")
+    clear = saved >= F.greatest(F.lit(MARGIN_BYTES), F.ceil(own_size * MARGIN_SHARE))
     of_segment = (
         by_block.select("video_id", "segs").join(main.select("video_id", "main"), "video_id")
         .select("video_id", "main", F.explode("segs").alias("s"))
-        .where((F.col("s.best") != F.col("main")) & (saved >= F.greatest(F.lit(MARGIN_BYTES), F.ceil(own_size * MARGIN_SHARE))))
-        .select("video_id", "s.seg_idx", F.get(codes, F.col("s.best")).alias("lang"), F.round(F.least(saved / own_size, F.lit(1.0)), 4).alias("confidence"), F.lit(None).cast("string").alias("label"))
+        .where((F.col("s.best") != F.col("main")) | (F.col("s.best") < 0))
+        .select("video_id", "s.seg_idx", named(F.when(clear, F.col("s.best")).otherwise(-1)).alias("lang"), F.round(saved / own_size, 4).alias("confidence"), F.lit(None).cast("string").alias("label"))
     )
     return of_video.unionByName(of_segment)
 
 
 def wrong_labels(found: DataFrame) -> DataFrame:
     """(video_id, seg_idx, lang) of the videos whose label names none or another language than the main
-    one, and of the segments in another language than their video's."""
-    return found.where((F.col("seg_idx") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("video_id", "seg_idx", "lang")
+    one, and of the segments in another language than their video's, where the language is certain."""
+    wrong = (F.col("seg_idx") >= 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    return found.where(wrong & (F.col("lang") != UNKNOWN)).select("video_id", "seg_idx", "lang")

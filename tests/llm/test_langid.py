@@ -61,6 +61,22 @@ def test_videos_and_mixed_segments(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == [("v0", -1, "en"), ("v1", 20, "en"), ("v7", -1, "ru")]
 
 
+def test_other_scripts_and_narrow_margins_are_undetermined(spark):
+    r = random.Random(5)
+    vids = [(f"v{i}", langid.LANGUAGES[i % 6], "c") for i in range(36)] + [("gr", "el", "c"), ("zh", None, "c")]
+    segs = [(f"v{i}", k, sentence(r, langid.LANGUAGES[i % 6]), 0) for i in range(36) for k in range(20)]
+    segs += [("gr", k, "ο γέρος μάγος ανοίγει τη λάθος πόρτα", 0) for k in range(5)] + [("zh", 0, "老巫师打开了错误的门", 0), ("v0", 20, "ο γέρος μάγος ανοίγει", 0)]
+    found = langid.languages(spark.createDataFrame(segs, SEG), spark.createDataFrame(vids, VID), spark.createDataFrame([], SPK))
+    got = {(x.video_id, x.seg_idx): x.lang for x in found.collect()}
+    assert got["gr", -1] == got["zh", -1] == got["v0", 20] == "und" and got["v0", -1] == "en"
+    assert not langid.wrong_labels(found).where("video_id IN ('gr', 'zh', 'v0')").count()
+
+
+def test_a_text_of_two_scripts_is_held_against_both():
+    assert langid.scripts("captain прячет") == (True, True) and langid.scripts("кaпитан прячет фонарь") == (False, True)
+    assert langid._bytes("ё") != langid._bytes("ю") and len(langid._bytes("ёü老")) == 5
+
+
 def test_empty_tables(spark):
     none = langid.languages(spark.createDataFrame([], SEG), spark.createDataFrame([], VID), spark.createDataFrame([], SPK))
     assert none.count() == 0

@@ -25,9 +25,10 @@ def found(spark, tables, texts, video="v", times=None):
 )
 def test_every_way_to_write_a_name(label):
     parts = turns.parts_of(turns.Grammar(), f"before {label} some words")
-    hit = [p for p in parts if {x[2:] for x in (p.two, p.one, p.label) if x} & FORMS]
-    assert len(hit) == 1 and hit[0].words == "some words" and not hit[0].lead
-    assert " ".join(p.said if p.lead else p.words for p in parts[: parts.index(hit[0])]).split() == ["before"]
+    names = lambda *forms: any(x and x[2:] in FORMS for x in forms)
+    hit = [p for p in parts if not p.lead and names(p.two, p.one, p.label)]
+    assert len(hit) == 1 and hit[0].words == "some words"
+    assert " ".join(p.words if not p.lead else "" if names(p.two) else p.said for p in parts[: parts.index(hit[0])]).split() == ["before"]
 
 
 @pytest.mark.parametrize("label", ["Speaker 3:", "S3:", "speaker_03:", "Speaker #3:", "[Speaker 3]", "Speaker 3 -", "СПИКЕР 3:", "С3:"])
