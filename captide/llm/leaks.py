@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow.dataset as pads
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captide.llm.flat import Tokens
 from captide.llm.words import words
+from captide.sources.shared import shared_folder
 
 #: Words of a fingerprinted window, and the greatest number of bits that two fingerprints of one passage differ by.
 WINDOW, RADIUS = 8, 7
-#: A word that at most this many items have tells an item apart; a window without one is a stock phrase.
-TELLING_ITEMS = 2
+#: A word's weight is its rarity among the items (0 in all of N, 1 in one, by logarithms). Words of this rarity,
+#: or of this share of the rarity of the item's rarest ones, tell an item apart; a window without one is a
+#: stock phrase.
+TELLING, RAREST = 0.85, 0.9
 #: Share of the item's words that the stretch must span, share of these that must stand in it, and the
 #: least weighted similarity of the word pairs of both sides.
 SPAN, MATCHED, SIMILAR = 0.4, 0.7, 0.5
 #: Words that may be altered, dropped or added between two matching stretches of one passage.
 GAP_ITEM, GAP_TEXT = 4, 8
-#: Items that are held against all documents at once; more are taken in blocks.
-BLOCK_ITEMS = 20_000
+#: Items, and characters of them, that a worker holds at once; more are taken in blocks.
+BLOCK_ITEMS, BLOCK_CHARACTERS = 20_000, 40_000_000
+#: Characters of documents that are held against one block after another, where there are several.
+ROUND_CHARACTERS = 50_000_000
+#: Bits of a block of a fingerprint. Of RADIUS = 7 altered bits at most one lies in some block of four.
+BLOCK_BITS = 16
 
 _MARKUP = re.compile(r"<[^<>]*>|&nbsp;|&#160;", re.I)
 _TIME = re.compile(r"[\[(<]?\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?[\])>]?[,.;]?")
@@ -42,40 +52,45 @@ def token_words(token: str) -> list[str]:
 
 
 class Index:
-    """Fingerprints of all windows of the items, by blocks of RADIUS + 1."""
+    """Fingerprints of all windows of the items, by blocks of BLOCK_BITS."""
 
-    def __init__(self, items: list[tuple[int, str]], spread: dict[str, int] | None = None):
-        """``spread``: how many items each word is in, where the items are only a block of all."""
-        self.ids = [i for i, _ in items]
-        texts = [[w for t in text.split() for w in token_words(t)] for _, text in items]
+    def __init__(self, items: list[tuple[int, str]], spread: dict[str, int] | None = None, total: int | None = None):
+        """``spread``: in how many different items each word is, and ``total`` how many there are, where the
+        items are only a block of all. Items of the same words are one."""
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, text in items:
+            same.setdefault(tuple(w for t in text.split() for w in token_words(t)), []).append(i)
+        same.pop((), None)
+        texts, self.ids = list(same), list(same.values())
         spread = spread or Counter(w for ws in texts for w in set(ws))
-        self.code = {w: k + 1 for k, w in enumerate(sorted({w for ws in texts for w in ws}))}
+        full = math.log(max(2, total or len(texts)))
+        rarity = {w: 0.0 if w.isdigit() else max(0.0, 1 - math.log(max(1, spread[w])) / full) for w in {w for ws in texts for w in ws}}
+        self.code = {w: k + 1 for k, w in enumerate(sorted(rarity))}
         n = len(self.code) + 1
         self.weight = np.zeros(n)
         sign = np.zeros((n, 64), np.int16)
         for w, k in self.code.items():
-            self.weight[k] = 1 + 3 * (spread[w] <= TELLING_ITEMS and not w.isdigit())
+            self.weight[k] = 1 + 3 * min(1.0, rarity[w] / TELLING) ** 8
             bits = np.unpackbits(np.frombuffer(xxhash.xxh64_digest(w.encode()), np.uint8)).astype(np.int16)
-            sign[k] = (2 * bits - 1) * int(self.weight[k])
+            sign[k] = (2 * bits - 1) * round(4 * self.weight[k])
         self.sign = sign
         self.items = [np.array([self.code[w] for w in ws], np.int32) for ws in texts]
         self.telling = np.zeros(n, bool)
         for ws in texts:
-            own = {w for w in ws if spread[w] <= TELLING_ITEMS and not w.isdigit()} or {w for w in ws if spread[w] <= TELLING_ITEMS} or set(ws)
-            self.telling[[self.code[w] for w in own]] = True
+            least = min(TELLING, RAREST * max(rarity[w] for w in ws))
+            self.telling[[self.code[w] for w in ws if rarity[w] >= least]] = True
         rows = []
         for k, codes in enumerate(self.items):
-            if len(codes):
-                padded = np.append(codes, np.zeros(max(0, WINDOW - len(codes)), np.int32))
-                win = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
-                keep = np.flatnonzero(self.telling[win].any(axis=1))
-                rows.append((np.full(len(keep), k), win[keep], keep))
+            padded = np.append(codes, np.zeros(max(0, WINDOW - len(codes)), np.int32))
+            win = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)
+            keep = np.flatnonzero(self.telling[win].any(axis=1))
+            rows.append((np.full(len(keep), k), win[keep], keep))
         self.owner = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
         self.spot = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.int64)
         self.prints = self.fingerprints(np.concatenate([r[1] for r in rows])) if rows else np.zeros(0, np.uint64)
-        blocks = self.prints.view(np.uint8).reshape(-1, 8)
-        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(8)]
-        self.begin = [np.searchsorted(blocks[o, b], np.arange(257)) for b, o in enumerate(self.order)]
+        blocks = self.prints.view(np.uint16).reshape(-1, 64 // BLOCK_BITS)
+        self.order = [np.argsort(blocks[:, b], kind="stable") for b in range(blocks.shape[1])]
+        self.begin = [np.searchsorted(blocks[o, b], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int32) for b, o in enumerate(self.order)]
 
     def fingerprints(self, windows: np.ndarray) -> np.ndarray:
         """SimHash of each window: the signs of the weighted sums of its words' bits."""
@@ -85,22 +100,26 @@ class Index:
         return np.packbits(out > 0, axis=1).view(np.uint64).reshape(-1)
 
     def near(self, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window number, number of the item's window) of all pairs of fingerprints within RADIUS: of RADIUS + 1 blocks
-        of bits at least one is equal."""
-        prints = self.fingerprints(windows)
-        blocks = prints.view(np.uint8).reshape(-1, 8)
-        for b in range(8):
-            lo, hi = self.begin[b][blocks[:, b]], self.begin[b][blocks[:, b].astype(int) + 1]
-            size = hi - lo
-            for part in np.array_split(np.arange(len(prints)), max(1, int(size.sum()) // 2_000_000)):
-                s = size[part]
-                ends = np.cumsum(s)
-                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo[part] - (ends - s), s)
-                cand = self.order[b][at]
-                who = np.repeat(part, s)
-                bits = np.bitwise_count(prints[who] ^ self.prints[cand])
-                ok = bits <= RADIUS
-                yield who[ok], cand[ok]
+        """(window number, number of the item's window) of all pairs of fingerprints within RADIUS: in some block
+        of bits they differ in one bit at most, so each block is looked up as it is and with each bit turned."""
+        prints, which = np.unique(self.fingerprints(windows), return_inverse=True)
+        order, first = np.argsort(which, kind="stable"), np.append(0, np.cumsum(np.bincount(which, minlength=len(prints))))
+        blocks = prints.view(np.uint16).reshape(-1, 64 // BLOCK_BITS)
+        turned = np.append(np.uint16(0), np.uint16(1) << np.arange(BLOCK_BITS, dtype=np.uint16))
+        for part in np.array_split(np.arange(len(prints)), max(1, len(prints) // 20_000)):
+            found = []
+            for b in range(blocks.shape[1]):
+                at = (blocks[part, b][:, None] ^ turned).astype(np.int64)
+                lo, size = self.begin[b][at], self.begin[b][at + 1] - self.begin[b][at]
+                who, size = np.repeat(part, size.sum(axis=1)), size.reshape(-1)
+                ends = np.cumsum(size, dtype=np.int64)
+                cand = self.order[b][np.arange(len(who)) + np.repeat(lo.reshape(-1) - (ends - size), size)]
+                ok = np.bitwise_count(prints[who] ^ self.prints[cand]) <= RADIUS
+                found.append(who[ok] * len(self.prints) + cand[ok])
+            who, cand = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.prints)))
+            times = first[who + 1] - first[who]  # the windows of one fingerprint
+            ends = np.cumsum(times)
+            yield order[np.arange(times.sum()) + np.repeat(first[who] - (ends - times), times)], np.repeat(cand, times)
 
     def may_hold(self, flat: np.ndarray, begin: int, k: int) -> bool:
         """Whether enough of item k's words stand near where they would if it began at ``begin``."""
@@ -184,7 +203,7 @@ class Index:
                 lo, hi = max(at[t], begin - 3 * GAP_TEXT), min(at[t + 1] - WINDOW, begin + len(self.items[k]) + 3 * GAP_TEXT)
                 if self.holds(flat[lo:hi], k):
                     done.add((t, k))
-                    out.append((t, self.ids[k]))
+                    out += [(t, i) for i in self.ids[k]]
         return out
 
 
@@ -204,32 +223,61 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 
     Null ids and texts, and texts and items without words, give nothing; repeated rows count once; an
     empty table gives no rows; other columns are ignored. Texts are read whole. The documents are read
-    in one pass without a shuffle per block of BLOCK_ITEMS items, which go to every worker.
+    in one pass without a shuffle. A worker holds a block of items at a time; if there are several, they lie
+    in the shared folder, and each round of documents is held against one after the other.
     """
-    own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
-    blocks = max(1, -(-own.count() // BLOCK_ITEMS))
+    own = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    n, characters = own.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-characters // BLOCK_CHARACTERS))
     docs = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d IS NOT NULL AND t IS NOT NULL")
     d_type, i_type = docs.schema["d"].dataType.simpleString(), own.schema["i"].dataType.simpleString()
-    all_words = _words(own)
-    out = None
-    for b in range(blocks):
-        part = own if blocks == 1 else own.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        rows = sorted({(r[0], r[1]) for r in part.collect()})
-        spread = None if blocks == 1 else {r[0]: r[1] for r in _words(part).select("w").distinct().join(all_words.groupBy("w").count(), "w").collect()}
-
-        def run(batches: Iterator[pd.DataFrame], rows: list = rows, spread: dict | None = spread) -> Iterator[pd.DataFrame]:
-            index = Index(rows, spread)
-            tokens = Tokens(lambda t: [index.code.get(w, 0) for w in token_words(t)])
-            for batch in batches:
-                texts, ids = batch["t"].tolist(), batch["d"].to_numpy()
+    if blocks == 1:
+        rows = sorted((r[0], r[1]) for r in own.collect())  # within the bounds above
+        index_of = lambda _: Index(rows)
+    else:
+        # the blocks lie in the shared folder, each with how many items have its words
+        at = f"{shared_folder(documents.sparkSession)}/items-{uuid.uuid4().hex}"
+        block = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int").alias("b")
+        words_of = _words(own.select(F.min("i").over(Window.partitionBy("t")).alias("i"), "t").distinct())
+        own.select(block, "i", "t").repartition("b").write.partitionBy("b").parquet(f"{at}/items")
+        spread = _words(own.select(block.alias("i"), "t")).select(F.col("i").alias("b"), "w").distinct().join(words_of.groupBy("w").agg(F.count("*").alias("n")), "w")
+        spread.repartition("b").write.partitionBy("b").parquet(f"{at}/spread")
+        total = own.select("t").distinct().count()
+
+        def index_of(b: int) -> Index:
+            part, n = (pads.dataset(f"{at.removeprefix('file://')}/{x}/b={b}").to_table().to_pydict() if b in present else {"i": [], "t": [], "w": [], "n": []} for x in ("items", "spread"))
+            return Index(sorted(zip(part["i"], part["t"])), dict(zip(n["w"], n["n"])), total)
+
+        present = {r[0] for r in own.select(block).distinct().collect()}
+
+    def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if blocks == 1:
+            yield from batches
+            return
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += int(batch["t"].str.len().sum())
+            if size > ROUND_CHARACTERS:
+                yield pd.concat(held, ignore_index=True)
+                held, size = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = None
+        for batch in rounds(batches):
+            texts, ids = batch["t"].tolist(), batch["d"].to_numpy()
+            for b in range(blocks):
+                if index is None or blocks > 1:
+                    index = index_of(b)
+                    tokens = Tokens(lambda t, code=index.code: [code.get(w, 0) for w in token_words(t)])
                 found = []
                 for lo in range(0, len(texts), 2000):
                     found += [(ids[lo + t], i) for t, i in index.scan(tokens, texts[lo : lo + 2000])]
                 yield pd.DataFrame(found, columns=["d", "i"])
 
-        hits = docs.mapInPandas(run, f"d {d_type}, i {i_type}")
-        out = hits if out is None else out.unionByName(hits)
-    return out.distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
+    return docs.mapInPandas(run, f"d {d_type}, i {i_type}").distinct().select(F.col("d").alias(doc_id), F.col("i").alias(item_id))
 
 
 def leak_report(leaks: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -12,8 +12,6 @@ TOLERANCE_MS = 5_000
 BLOCK_MS = 60_000
 #: Rows of both tables that one group holds on average.
 GROUP_ROWS = 20_000
-#: Times beyond this are no times of a record; it keeps sums of times within 64 bits.
-LATEST = 1 << 61
 
 
 def nearest_pairs(
@@ -32,9 +30,11 @@ def nearest_pairs(
     binary search over (entity and block, time) finds all neighbours of a group.
     """
     whole = max(block, 2 * tolerance)
-    ok = lambda t: F.col(t).between(-LATEST, LATEST)
-    # a block number is a floor: DIV alone rounds towards zero
-    floor = lambda t: F.expr(f"({t} - pmod({t}, {whole})) DIV {whole}")
+    ok = lambda t: F.col(t).isNotNull()
+    # a block number is a floor: DIV alone rounds towards zero; margins end where 64 bits do
+    floor = lambda t: F.expr(f"({t}) DIV {whole} - CAST(({t}) < 0 AND pmod({t}, {whole}) != 0 AS INT)")
+    first, last = -(1 << 63) + tolerance, (1 << 63) - 1 - tolerance
+    reach = F.sequence(floor(f"greatest(t, {first}) - {tolerance}"), floor(f"least(t, {last}) + {tolerance}"))
     lefts = left.select(F.col(left_id).alias("l"), F.col(entity).alias("v"), F.col(left_time).cast("bigint").alias("t")).where(F.col("v").isNotNull() & ok("t") & F.col("l").isNotNull()).distinct()
     rights = (
         right.select(F.col(right_id).alias("r"), F.col(entity).alias("v"), F.col(right_time).cast("bigint").alias("t"))
@@ -44,7 +44,7 @@ def nearest_pairs(
     groups = max(1, (left.count() + right.count()) // GROUP_ROWS)
     spread = F.expr(f"CAST(pmod(xxhash64(v, b), {groups}) AS INT)").alias("g")
     a = lefts.select("v", "t").distinct().withColumn("b", floor("t")).select("v", "t", "b", spread)
-    b = rights.withColumn("b", F.explode(F.sequence(floor(f"(t - {tolerance})"), floor(f"(t + {tolerance})")))).select("v", "t", "r", "b", spread)
+    b = rights.withColumn("b", F.explode(reach)).select("v", "t", "r", "b", spread)
     r_type = rights.schema["r"].dataType.simpleString()
     v_type = rights.schema["v"].dataType.simpleString()
 

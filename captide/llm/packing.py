@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces that are packed together. A shard leaves at most about one container badly filled.
-SHARD_PIECES = 20_000
+#: Pieces that are packed together, under one limit and under several (whose work grows with the square). A
+#: shard leaves at most about one container badly filled.
+SHARD_PIECES, SHARD_VECTORS = 20_000, 5_000
 
 
 def fill(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
@@ -78,7 +79,7 @@ def fill(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(df: DataFrame, id_col: str, size_cols: list[str], capacities: list[int], shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(df: DataFrame, id_col: str, size_cols: list[str], capacities: list[int], shard_pieces: int | None = None) -> DataFrame:
     """(id_col, piece, container, *size_cols): every item in one container, or, if it alone exceeds a
     capacity, in pieces that do not; the sizes are those of the piece.
 
@@ -89,7 +90,8 @@ def pack(df: DataFrame, id_col: str, size_cols: list[str], capacities: list[int]
     """
     caps = np.array(capacities, np.int64)
     sizes = [F.greatest(F.coalesce(F.col(c).cast("bigint"), F.lit(0)), F.lit(0)).alias(f"s{i}") for i, c in enumerate(size_cols)]
-    items = df.distinct().select(F.col(id_col).alias("id"), *sizes)
+    # the hash of a whole row spreads rows of one id, or of none, over the shards
+    items = df.distinct().select(F.col(id_col).alias("id"), *sizes, F.xxhash64(*(F.col(c) for c in df.columns)).alias("row"))
     d = len(size_cols)
     pieces = F.greatest(*(F.ceil(F.col(f"s{i}") / F.lit(c)) for i, c in enumerate(capacities)), F.lit(1))
     if d == 1:  # full pieces and a rest
@@ -97,18 +99,18 @@ def pack(df: DataFrame, id_col: str, size_cols: list[str], capacities: list[int]
         size_of = [F.least(F.lit(c), F.col("s0") - F.col("piece") * c).alias("s0")]
     else:
         size_of = [(F.expr(f"(s{i} * (piece + 1)) DIV pieces - (s{i} * piece) DIV pieces")).alias(f"s{i}") for i in range(d)]
-    cut = items.withColumn("pieces", pieces.cast("bigint")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")).select("id", F.col("piece").cast("int").alias("piece"), *size_of)
-    shards = max(1, -(-df.count() // shard_pieces))
+    cut = items.withColumn("pieces", pieces.cast("bigint")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)).alias("piece")).select("id", F.col("piece").cast("int").alias("piece"), "row", *size_of)
+    shards = max(1, -(-(items.agg(F.sum(pieces)).first()[0] or 0) // (shard_pieces or (SHARD_PIECES if d == 1 else SHARD_VECTORS))))
     id_type = items.schema["id"].dataType.simpleString()
     names = [f"s{i}" for i in range(d)]
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["id", "piece", *names], kind="stable", ignore_index=True)
+        g = g.sort_values(["id", "piece", *names, "row"], kind="stable", ignore_index=True)
         at = fill(g[names].to_numpy(np.int64), caps)
         return pd.DataFrame({"id": g["id"], "piece": g["piece"], "container": [f"{key[0]}-{x}" for x in at], **{n: g[n] for n in names}})
 
     packed = (
-        cut.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(id, piece), {shards}) AS INT)"))
+        cut.withColumn("shard", F.expr(f"CAST(pmod(xxhash64(row, piece), {shards}) AS INT)"))
         .groupBy("shard")
         .applyInPandas(run, f"id {id_type}, piece int, container string, " + ", ".join(f"{n} bigint" for n in names))
     )

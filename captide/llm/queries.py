@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from captide.functions import text
 from captide.llm import abuse, encode, langid, leaks, nearest, packing, reading, splits, turns
+from captide.llm.settle import settled
 from captide.operators import captions
 from captide.sources.tables import table
 from captide.sources.views import captions as clean_captions
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: What a batch of examples holds at most.
+LIMITS = {"tokens": 16_000, "segments": 640, "loss_tokens": 8_000}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +66,24 @@ def p6_limits(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(c, "chunk", ["tokens", "segments"], [70_000, 3_000])
 
 
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    """Examples for instruction data: 64 segments of a video each. What persons known to the channel say
+    bears loss, what others say is the prompt."""
+    tokens = text.token_estimate(F.col("words"))
+    u = p1_utterances(spark, d).groupBy("video_id", F.floor(F.col("seg_idx") / 64).alias("part"))
+    u = u.agg(F.sum(tokens).alias("tokens"), F.count_distinct("seg_idx").alias("segments"), F.sum(F.when(F.col("speaker").startswith("p:"), tokens).otherwise(0)).alias("loss_tokens"))
+    return u.select(F.concat_ws(":", "video_id", "part").alias("example"), *LIMITS)
+
+
+def p6_instruction_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The examples in batches of 16,000 tokens, 640 segments and 8,000 loss-bearing tokens, all at once."""
+    return packing.pack(settled(_examples(spark, d)), "example", list(LIMITS), list(LIMITS.values()))
+
+
+def p6_instruction_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_instruction_batches(spark, d), list(LIMITS), list(LIMITS.values()))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.found_items(table(spark, d, "documents"), table(spark, d, "transcript_segments"), table(spark, d, "abuse_labels"))
 

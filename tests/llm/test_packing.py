@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from captide.llm import packing
+from captide.llm import packing, queries
+from tests.conftest import DATA
 
 SCHEMA = "id string, a long, b long, c long, extra string"
 
@@ -50,3 +52,16 @@ def test_oversized_zero_and_empty(spark):
     assert packing.pack(df.limit(0), "id", ["a"], [100]).count() == 0
     r = packing.fill_report(packing.pack(df, "id", ["a"], [100]), ["a"], [100]).collect()[0]
     assert (r.containers, r.pieces, r.a) == (3, 5, 250)
+
+
+def test_instruction_batches_keep_three_limits(spark):
+    out = queries.p6_instruction_batches(spark, f"{DATA}/sf0.001")
+    most = out.groupBy("container").agg(*(F.sum(c).alias(c) for c in queries.LIMITS)).agg(*(F.max(c) for c in queries.LIMITS)).first()
+    assert all(got <= limit for got, limit in zip(most, queries.LIMITS.values()))
+    assert out.select(F.sum("segments")).first() == queries._examples(spark, f"{DATA}/sf0.001").select(F.sum("segments")).first()
+
+
+def test_rows_without_id_are_spread_over_shards(spark):
+    df = spark.range(3000).selectExpr("CAST(NULL AS STRING) AS id", "5L AS a", "id AS other")
+    got = packing.pack(df, "id", ["a"], [50], shard_pieces=100)
+    assert got.count() == 3000 and got.selectExpr("split(container, '-')[0] AS s").groupBy("s").count().agg({"count": "max"}).first()[0] < 300

@@ -101,3 +101,10 @@ def test_nearest_ties_and_empty(spark):
     assert [tuple(x) for x in nearest.nearest_pairs(left, right, "lid", "rid", "v", "t", "s").collect()] == [("l", "r0")]
     assert nearest.nearest_pairs(left.limit(0), right, "lid", "rid", "v", "t", "s").count() == 0
     assert nearest.nearest_pairs(left, right.limit(0), "lid", "rid", "v", "t", "s").count() == 0
+
+
+def test_times_at_the_ends_of_64_bits(spark):
+    ends = (-(1 << 63), -(1 << 63) + 70_000, (1 << 63) - 1, 0)
+    left = spark.createDataFrame([(f"l{i}", "v", t, 0) for i, t in enumerate(ends)], L)
+    right = spark.createDataFrame([("r0", "v", ends[0] + 4_000, 0), ("r1", "v", ends[1] - 5_000, 0), ("r2", "v", ends[2] - 5_000, 0), ("r3", "v", 5_001, 0)], R)
+    assert sorted(map(tuple, nearest.nearest_pairs(left, right, "lid", "rid", "v", "t", "s").collect())) == [("l0", "r0"), ("l1", "r1"), ("l2", "r2")]
