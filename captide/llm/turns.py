@@ -287,9 +287,10 @@ def speaker_forms(speakers: DataFrame) -> DataFrame:
     return every.groupBy("channel_id", "form").agg(F.min_by("speaker", F.struct("rank", "speaker")).alias("speaker"))
 
 
-def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
     """The parts (video_id, block, seg_idx, part, label, words, start_ms, end_ms), once each, and the blocks
-    of each video. start_ms and end_ms are -1 where a segment's times are null or impossible.
+    of each video. start_ms and end_ms are -1 where a segment's times are null or impossible. Without
+    ``texts`` a sign stands for the words of a part, if it has any.
 
     Rows with a null video_id or seg_idx, and blank or null texts, give nothing; repeated rows count
     once. Extra columns of the inputs are ignored. Labels in segments with null or impossible times still
@@ -305,7 +306,8 @@ def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -> tuple
                 for k, p in enumerate(parts_of(grammar, text)):
                     pick.append(i)
                     number.append(k)
-                    parts.append(p._replace(label=f"m:{seg[i]}:{k}") if p.label == "m:" else p)
+                    label = f"m:{seg[i]}:{k}" if p.label == "m:" else p.label
+                    parts.append(p._replace(label=label) if texts else p._replace(label=label, said=p.said and "+", words=p.words and "+"))
             columns = dict(zip(Part._fields, zip(*parts))) if parts else {c: [] for c in Part._fields}
             yield pd.DataFrame({"video_id": ids[pick], "seg_idx": seg[pick], "part": number, **columns, "start_ms": start[pick], "end_ms": end[pick]})
 
@@ -361,7 +363,7 @@ def speaker_turns(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
     a spoken word or with null or impossible times neither start, end nor belong to a turn; an empty
     table gives no row. See ``parsed`` for nulls and repeated rows.
     """
-    rows, _ = parsed(segments, videos, speakers)
+    rows, _ = parsed(segments, videos, speakers, texts=False)
     rows = rows.withColumn("spoken", (F.col("words") != "") & (F.col("start_ms") >= 0)).drop("words").where("spoken OR label IS NOT NULL")
     at = F.struct("seg_idx", "part")
     w = Window.partitionBy("video_id", "block").orderBy("seg_idx", "part")

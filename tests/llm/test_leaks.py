@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from captide.llm import leaks
@@ -63,3 +64,22 @@ def test_empty_tables(spark):
     none, item = spark.createDataFrame([], DOC), spark.createDataFrame([(1, "a b c", "s")], ITEM)
     assert leaks.leaked_items(none, item).count() == 0
     assert leaks.leaked_items(spark.createDataFrame([(1, "a b c", "x")], DOC), item.limit(0)).count() == 0
+
+
+def test_items_in_three_suites_leak_as_one(spark, corpus):
+    r, items, noise = corpus
+    again = [(i + 100 * k, t if k < 2 else t + " and so on", s) for i, t, s in items for k in range(3)]
+    docs = [(n, f"{noise()} {items[n][1]} {noise()}", "x") for n in range(10)] + [(50 + n, noise(), "x") for n in range(30)]
+    got = {tuple(x) for x in leaks.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame(again, ITEM)).collect()}
+    assert got == {(n, n + 100 * k) for n in range(10) for k in range(3)}
+
+
+def test_no_fingerprint_within_the_radius_is_missed(corpus):
+    r, items, _ = corpus
+    index = leaks.Index([(i, t) for i, t, _ in items[:10]])
+    rng = np.random.default_rng(1)
+    windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, leaks.WINDOW) for x in index.items])
+    windows = np.where(rng.random(windows.shape) < 0.15, rng.integers(0, len(index.code), windows.shape), windows).astype(np.int32)
+    got = {(int(a), int(b)) for who, cand in index.near(windows) for a, b in zip(who, cand)}
+    bits = np.bitwise_count(index.fingerprints(windows)[:, None] ^ index.prints[None, :])
+    assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(bits <= leaks.RADIUS)))) and len(got) > 200
