@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from captide.operators import rangejoin
@@ -123,6 +123,63 @@ def accepted(candidates: DataFrame, known: DataFrame, keys: list[str], id_col: s
     return keep_first(c.join(hit, c.columns, "left_anti"), keys, id_col, pad)
 
 
+def clusters(events: DataFrame, gap: int = 75_000) -> DataFrame:
+    """(video_id, scene_id, start_ms, end_ms, events): a scene's events in order of start, a new cluster
+    beginning where ``gap`` has passed or where the event's roles conflict with one of the cluster: both
+    established, and actor and target reversed, or one actor once helpful and once hostile. Of several
+    clusters each has its number after the scene's id. Repeated rows count as often as they come.
+
+    Events farther than ``gap`` from all earlier ones begin a new strand, and strands go by in order; what
+    is kept of a cluster are its roles, not its events.
+    """
+    keyed = events.withColumn("_key", F.struct("video_id", "scene_id"))
+    strands = _strands(keyed, "_key", "event_id", "start_ms", "end_ms", gap=gap + 1).drop("_key")
+    rows = strands.select("video_id", "scene_id", "strand", "start_ms", "end_ms", "event_id", "actor", "target", "intent", "established")
+
+    def step(group: Iterator[tuple]) -> Iterator[tuple]:
+        open_: list | None = None  # start, end, number
+        pairs, intents = set(), set()
+        for video, scene, strand, start, end, _, actor, target, intent, established in group:
+            conflict = established and ((actor != target and (target, actor) in pairs) or (intent == "hostile" and (actor, "helpful") in intents) or (intent == "helpful" and (actor, "hostile") in intents))
+            if open_ and start <= open_[1] + gap and not conflict:
+                open_[1], open_[2] = max(open_[1], end), open_[2] + 1
+            else:
+                if open_:
+                    yield video, scene, *open_, order
+                    order += 1
+                else:
+                    order = 0
+                open_, pairs, intents = [start, end, 1], set(), set()
+            if established:
+                pairs.add((actor, target))
+                intents.add((actor, intent))
+        if open_:
+            yield video, scene, *open_, order
+
+    kind = {c: events.schema[c].dataType.simpleString() for c in ("video_id", "scene_id")}
+    schema = f"video_id {kind['video_id']}, scene_id {kind['scene_id']}, start_ms bigint, end_ms bigint, events int, place int"
+    parts = streamed(rows, ["video_id", "scene_id", "strand"], ["start_ms", "end_ms", "event_id"], step, schema)
+    scene = Window.partitionBy("video_id", "scene_id")
+    number = F.row_number().over(scene.orderBy("start_ms", "place"))
+    name = F.when(F.count("*").over(scene) == 1, F.col("scene_id")).otherwise(F.concat_ws(":", "scene_id", number))
+    return parts.select("video_id", name.alias("scene_id"), "start_ms", "end_ms", "events")
+
+
+def best_apart(rows: DataFrame, key: str, order: list[str], most: int, pad: int) -> DataFrame:
+    """(rows' columns, place): of each key the greatest row by ``order``, then the greatest of those that lie
+    farther than ``pad`` from all taken before, up to ``most``. A round is one aggregation and one join with
+    a row a key."""
+    left, out = rows, None
+    for place in range(1, most + 1):
+        top = left.groupBy(key).agg(F.max_by(F.struct(*(c for c in rows.columns if c != key)), F.struct(*order)).alias("x"))
+        taken = top.select(key, "x.*", F.lit(place).alias("place")).select(*rows.columns, "place")
+        out = taken if out is None else out.unionByName(taken)
+        if place < most:
+            near = top.select(key, (F.col("x.start_ms") - pad).alias("_s"), (F.col("x.end_ms") + pad).alias("_e"))
+            left = left.join(near, key).where("start_ms > _e OR end_ms < _s").drop("_s", "_e")
+    return out
+
+
 def matching(pairs: DataFrame, group: list[str], left: str, right: str) -> DataFrame:
     """(*group, matched): the greatest number of pairs that use no left and no right twice, per group
     (augmenting paths). A group's eligible pairs must be a bounded set, such as those of one strand."""

@@ -557,12 +557,28 @@ c AS (SELECT video_id, seg_idx, regexp_matches(t, 'hammer|молот|hammer|mart
 SELECT video_id, seg_idx, CAST(2 + CASE WHEN alarm THEN 3 ELSE 0 END AS INT) AS score FROM c WHERE tool AND act""")
 def cue_frames(spark: SparkSession, d: str) -> DataFrame:
     """Captions whose surroundings (two before, two after) name a tool and its fall, scored higher
-    with an alarm. Frames of a video lie in blocks whose borders are shared."""
-    c = blocks.with_margins(_numbered(clean_captions(spark, d)), "pos", 2)
-    w = Window.partitionBy("video_id", "_b").orderBy("pos").rowsBetween(-2, 2)
-    f = c.withColumn("t", F.lower(F.array_join(F.collect_list("text").over(w), " "))).where("_own")
-    hit = f.where(F.col("t").rlike("hammer|молот|hammer|marteau|martillo") & F.col("t").rlike("drops|роняет|lässt|lâche|упускає|deja caer"))
-    return hit.select("video_id", "seg_idx", (F.lit(2) + F.when(F.col("t").rlike("dragon|дракон|drachen|dragón"), 3).otherwise(0)).alias("score"))
+    with an alarm."""
+    return _cues(spark, d).select("video_id", "seg_idx", "score")
+
+
+def _cues(spark: SparkSession, d: str) -> DataFrame:
+    """(video_id, seg_idx, pos, at_ms, score, start_ms, end_ms): the captions with a cue, and the excerpt of
+    nine captions before to thirteen after each. Words are looked for where the captions are read; what is
+    shuffled are flags and times, in blocks of a video whose borders are shared."""
+    c = clean_captions(spark, d)
+    t = F.lower("text")
+    has = {"tool": "hammer|молот|hammer|marteau|martillo", "act": "drops|роняет|lässt|lâche|упускає|deja caer", "alarm": "dragon|дракон|drachen|dragón", "opens": "^caer", "ends": "deja$"}
+    flags = c.select("video_id", "seg_idx", "start_ms", "end_ms", *(t.rlike(p).alias(f) for f, p in has.items()))
+    rows = blocks.with_margins(_numbered(flags), "pos", 13)
+    w = Window.partitionBy("video_id", "_b").orderBy("pos")
+    rows = rows.withColumn("pair", F.col("opens") & F.coalesce(F.lag("ends").over(w), F.lit(False)))  # the two words in two captions
+    near = lambda f, lo=-2: F.max(f).over(w.rowsBetween(lo, 2))
+    frame = w.rowsBetween(-9, 13)
+    rows = rows.select(
+        "video_id", "seg_idx", "pos", "_own", F.col("start_ms").alias("at_ms"), (near("tool") & (near("act") | near("pair", -1))).alias("cue"), (F.lit(2) + near("alarm").cast("int") * 3).alias("score"),
+        F.first("start_ms").over(frame).alias("start_ms"), F.last("end_ms").over(frame).alias("end_ms"),
+    )
+    return rows.where("_own AND cue").drop("_own", "cue")
 
 
 def _numbered(c: DataFrame) -> DataFrame:
@@ -730,14 +746,8 @@ SELECT b.video_id, CAST(b.score AS INT) AS score, x.start_ms, y.end_ms FROM b JO
 def risk_window(spark: SparkSession, d: str) -> DataFrame:
     """The excerpt of nine captions before to thirteen after the cue of the highest score of a
     video, the latest of equal ones."""
-    numbered = _numbered(clean_captions(spark, d)).select("video_id", "seg_idx", "pos", "start_ms", "end_ms")
-    top = cue_frames(spark, d).groupBy("video_id").agg(F.max(F.struct("score", "seg_idx")).alias("x")).select("video_id", "x.score", "x.seg_idx")
-    n = numbered.groupBy("video_id").agg(F.count("*").alias("n"))
-    at = top.join(numbered.select("video_id", "seg_idx", "pos"), ["video_id", "seg_idx"]).join(n, "video_id")
-    edges = at.select("video_id", "score", F.greatest(F.lit(0), F.col("pos") - 9).alias("a"), F.least(F.col("n") - 1, F.col("pos") + 13).alias("b"))
-    first = numbered.select("video_id", F.col("pos").alias("a"), "start_ms")
-    last = numbered.select("video_id", F.col("pos").alias("b"), "end_ms")
-    return edges.join(first, ["video_id", "a"]).join(last, ["video_id", "b"]).select("video_id", "score", "start_ms", "end_ms")
+    top = _cues(spark, d).groupBy("video_id").agg(F.max_by(F.struct("score", "start_ms", "end_ms"), F.struct("score", "seg_idx")).alias("x"))
+    return top.select("video_id", "x.*")
 
 
 @query("""WITH v AS (SELECT video_id, min(channel_id) AS channel_id, min(title) AS title, min(published_at) AS published_at FROM videos WHERE video_id IS NOT NULL GROUP BY 1)

@@ -25,6 +25,17 @@ def parse_captions(df: DataFrame, body: str) -> DataFrame:
     return plain.unionByName(timed).where(r"text RLIKE '(?U)\\S'")
 
 
+def restore_transcript(saved: DataFrame, lines: str, timeline: str) -> DataFrame:
+    """(video_id, seg_idx, start_ms, end_ms, text) from texts of lines ``[number] words`` and, beside them, a
+    time for each line. Lines that are no such line, and lines and times that differ in number, are an error."""
+    row = F.arrays_zip(F.split(lines, "\n").alias("line"), F.col(timeline).alias("time"))
+    whole = F.when(F.size(F.split(lines, "\n")) == F.size(timeline), row).otherwise(F.raise_error(F.lit("lines and times differ in number")))
+    r = saved.select("video_id", F.explode(whole).alias("r"))
+    number = F.regexp_extract("r.line", r"^\[(\d+)\] ", 1)
+    checked = F.when(number != "", number.cast("int")).otherwise(F.raise_error(F.lit("a line without a number")))
+    return r.select("video_id", checked.alias("seg_idx"), "r.time.start_ms", "r.time.end_ms", F.regexp_replace("r.line", r"^\[\d+\] ", "").alias("text"))
+
+
 def select_language(available: Column, priority: list[str]) -> Column:
     """The first available code that answers the first answerable wish: ``asr`` any automatic one,
     ``asr-xx`` the automatic one of a language, ``xx`` the manual one of a language, else its automatic
