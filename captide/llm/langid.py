@@ -38,6 +38,7 @@ THREE_LETTERS = {"eng": "en", "rus": "ru", "ukr": "uk", "deu": "de", "ger": "de"
 _DIGITS = re.compile(r"\d+")
 _CYRILLIC = re.compile(r"[Ѐ-ӿ]")
 _LATIN = re.compile(r"[a-zß-ÿœ]", re.I)
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def language_code(label: Column) -> Column:
@@ -54,20 +55,26 @@ def plain(words: str) -> str:
     return " ".join([w[0].lower(), *(x for x in w[1:] if not x[:1].isupper() or x.isupper() and len(x) > 1)]).lower() if w[0] else ""
 
 
-# one byte a letter in every script, so that matches are as long; letters of further scripts are one sign
-_ONE_BYTE = {ord(c): 0x80 + i for i, c in enumerate("абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ")} | {0x153: 0xAF}
+# one byte a letter in either script, so that matches are as long
+_CP1251 = {ord(c): c.encode("cp1251")[0] for c in "абвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґ"}
 
 
 def scripts(text: str) -> tuple[bool, bool]:
     """Whether Latin and Cyrillic letters may tell the text's language. A few look-alikes of the other
     script change nothing."""
-    cyrillic = len(_CYRILLIC.findall(text)) if _CYRILLIC.search(text) else 0
-    latin = len(_LATIN.findall(text)) if _LATIN.search(text) else 0
-    return latin * 4 > cyrillic, cyrillic * 4 > latin
+    cyrillic, latin = not text.isascii() and bool(_CYRILLIC.search(text)), bool(_LATIN.search(text))
+    if cyrillic and latin:
+        c, n = len(_CYRILLIC.findall(text)), len(_LATIN.findall(text))
+        return n * 4 > c, c * 4 > n
+    return latin, cyrillic
 
 
-def _bytes(text: str) -> bytes:
-    return f" {_DIGITS.sub('', text)} ".translate(_ONE_BYTE).encode("latin-1", "replace")
+def _bytes(text: str, latin: bool, cyrillic: bool) -> bytes:
+    """The text in one byte a letter; letters of further scripts are a sign."""
+    text = f" {_DIGITS.sub('', text)} "
+    if cyrillic and latin:
+        return text.translate(_CP1251).encode("latin-1", "replace")
+    return text.encode("cp1251" if cyrillic else "latin-1", "replace")
 
 
 class Sizes:
@@ -89,7 +96,7 @@ class Sizes:
         out = [NEVER] * len(self.langs)
         latin, cyrillic = scripts(text)
         if latin or cyrillic:
-            raw = _bytes(text)
+            raw = _bytes(text, latin, cyrillic)
             for i, run in self.latin * latin + self.cyrillic * cyrillic:
                 out[i] = len(run(raw))
         return out
@@ -143,7 +150,7 @@ def fit(samples: list[tuple[str, str, str]], rounds: int = 3) -> dict[str, bytes
                 new = own[lang].intersection(words) - have
                 if fresh == bool(new) and size < DICT_BYTES and spelled(text, lang):
                     have |= new
-                    raw.append(_bytes(text))
+                    raw.append(_bytes(text, *scripts(text)))
                     size += len(raw[-1])
         out[lang] = b"".join(reversed(raw)) or b" " * 16
     return out
@@ -166,10 +173,15 @@ def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
     segment that has any, repeated rows as they are."""
     own = segments.where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL").select("video_id", F.col("seg_idx").cast("bigint").alias("seg_idx"), "text")
     labels = videos.where("video_id IS NOT NULL").groupBy("video_id").agg(F.min(language_code(F.col("language"))).alias("lang"))
-    labelled = own.join(labels.where("lang IS NOT NULL"), "video_id").where(F.length("text") <= FIT_CHARACTERS)
-    counts = {lang: n for lang, n in labelled.groupBy("lang").count().collect()}  # a row a language
-    share = F.create_map(*(F.lit(x) for lang in LANGUAGES for x in (lang, max(1, min(sum(counts.values()) // FIT_SEGMENTS, counts.get(lang, 0) // FIT_LEAST)))))
-    sample = labelled.where(F.pmod(F.xxhash64("video_id", "seg_idx"), F.try_element_at(share, F.col("lang"))) == 0).select("video_id", "lang", "text")
+    # a row a video and a row a language: no text is shuffled to count them
+    counts = {lang: n for lang, n in own.groupBy("video_id").count().join(labels.where("lang IS NOT NULL"), "video_id").groupBy("lang").agg(F.sum("count")).collect()}
+    usual = max(1, sum(counts.values()) // FIT_SEGMENTS)
+    share = {lang: max(1, min(usual, n // FIT_LEAST)) for lang, n in counts.items()}
+    picked = lambda n: F.pmod(F.xxhash64("video_id", "seg_idx"), F.lit(n)) == 0
+    short = own.where(F.length("text") <= FIT_CHARACTERS)
+    sample = short.where(picked(usual)).join(labels.where("lang IS NOT NULL"), "video_id").select("video_id", "lang", "text")
+    for lang in (x for x, n in share.items() if n < usual):  # of a rare language there are few videos
+        sample = sample.where(F.col("lang") != lang).unionByName(short.where(picked(share[lang])).join(labels.where(F.col("lang") == lang), "video_id").select("video_id", "lang", "text"))
     grammar = Grammar()
     dictionaries = fit([(r[0], r[1], plain(speech_of(grammar, r[2]))) for r in sample.collect()])
 
@@ -179,7 +191,7 @@ def segment_sizes(segments: DataFrame, videos: DataFrame, speakers: DataFrame) -
             keep, words, out = [], [], []
             for i, text in enumerate(b["text"].tolist()):
                 p = plain(speech_of(grammar, text))
-                if any(c.isalpha() for c in p):
+                if _LETTER.search(p):
                     keep.append(i)
                     words.append(p.count(" ") + 1)
                     out.append(sizes.of(p))

@@ -200,7 +200,7 @@ def parts_of(grammar: Grammar, text: str | None) -> list[Part]:
     if not text or text.isspace():
         return []
     if not _SPECIAL.search(text):
-        words = " ".join(w for w in _WORD.findall(text) if w.casefold() not in FILLERS)
+        words = _plain_words(text)
         return [Part(None, None, None, False, "", words)] if words else []
     parts: list[tuple[Part, list[str]]] = [(Part(None, None, None, False, "", ""), [])]
     spoken = 0
@@ -239,8 +239,14 @@ def parts_of(grammar: Grammar, text: str | None) -> list[Part]:
     return [part._replace(words=" ".join(words)) for part, words in parts if part.label or part.two or part.one or part.said or words]
 
 
+def _plain_words(text: str) -> str:
+    return " ".join([w for w in _WORD.findall(text) if w.casefold() not in FILLERS])
+
+
 def speech_of(grammar: Grammar, text: str | None) -> str:
     """The clean words of a segment apart from all that may be a name."""
+    if text and not _SPECIAL.search(text):
+        return _plain_words(text)
     return " ".join(p.words for p in parts_of(grammar, text) if p.words)
 
 
