@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from captide.llm.encode import ragged
 from captide.llm.words import cleaned
 
-#: At most about this many graded documents are used for training.
-FIT_DOCUMENTS = 6_000
+#: Bounds of the graded documents used for training: about so many, of so many characters together at
+#: most, none longer than FIT_TEXT.
+FIT_DOCUMENTS, FIT_CHARACTERS, FIT_TEXT = 6_000, 50_000_000, 1_000_000
 #: Hashed letter groups of a word, and their length.
 GROUPS, GROUP = 1 << 16, 4
 #: Words that one stretch of a text has, of which the share of hard stretches is a feature.
@@ -225,7 +226,11 @@ def reading_levels(documents: DataFrame, grades: DataFrame) -> DataFrame:
     graded = grades.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     n = graded.count()
     graded = graded.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // FIT_DOCUMENTS)))) == 0)  # at most about FIT_DOCUMENTS ids
-    rows = sorted({(r[0], r[1], r[2]) for r in documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).join(F.broadcast(graded), "doc_id").select("doc_id", "t", "grade").collect()})
+    known = documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).where(F.length("t") <= FIT_TEXT).join(F.broadcast(graded), "doc_id")
+    size = known.agg(F.sum(F.length("t"))).first()[0] or 0
+    if size > FIT_CHARACTERS:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(-(-size // FIT_CHARACTERS))) == 0)
+    rows = sorted({(r[0], r[1], r[2]) for r in known.select("doc_id", "t", "grade").collect()})
     model, ranker = fit([r[1] for r in rows], [r[2] for r in rows])
     d_type = documents.schema["doc_id"].dataType.simpleString()
 
