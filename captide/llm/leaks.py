@@ -6,7 +6,7 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -207,6 +207,18 @@ class Index:
         return out
 
 
+_HELD: dict[tuple, tuple] = {}
+
+
+def _held(key: tuple, build: Callable[[], Index]) -> tuple[Index, Tokens]:
+    """The index of this key, built once in a worker's life; one at a time is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        index = build()
+        _HELD[key] = index, Tokens(lambda t: [index.code.get(w, 0) for w in token_words(t)])
+    return _HELD[key]
+
+
 def _words(items: DataFrame) -> DataFrame:
     """(i, w): the words of each item, once each."""
 
@@ -250,6 +262,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 
         present = {r[0] for r in own.select(block).distinct().collect()}
 
+    call = uuid.uuid4().hex
+
     def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if blocks == 1:
             yield from batches
@@ -265,13 +279,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
             yield pd.concat(held, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = None
         for batch in rounds(batches):
             texts, ids = batch["t"].tolist(), batch["d"].to_numpy()
             for b in range(blocks):
-                if index is None or blocks > 1:
-                    index = index_of(b)
-                    tokens = Tokens(lambda t, code=index.code: [code.get(w, 0) for w in token_words(t)])
+                index, tokens = _held((call, b), lambda b=b: index_of(b))
                 found = []
                 for lo in range(0, len(texts), 2000):
                     found += [(ids[lo + t], i) for t, i in index.scan(tokens, texts[lo : lo + 2000])]
