@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from captide.sources.shared import settled
+
 #: Width of the time blocks in which the intervals of one entity are merged apart from each other.
 BLOCK_MS = 600_000
 
@@ -26,7 +28,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, block
     # a session needs no more than the time inside its block; the true end is kept beside it
     length = F.concat(F.least(F.expr("try_subtract(e, s)"), F.lit(block_ms + 1)).cast("string"), F.lit(" milliseconds"))
     offset = F.expr(f"pmod(s, {block_ms})")
-    merged = (
+    merged = settled(  # the table is read and merged once; what follows works on the sessions of blocks
         rows.withColumn("b", F.expr(f"s DIV {block_ms}") - F.when((F.col("s") < 0) & (offset != 0), 1).otherwise(0))
         .groupBy("k", "b", F.session_window(F.timestamp_millis(offset), F.coalesce(length, F.lit(f"{block_ms + 1} milliseconds"))).alias("w"))
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))

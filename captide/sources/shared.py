@@ -1,10 +1,10 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and intermediate results that are needed more than once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +17,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="captide-")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the folder that all executors share."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
