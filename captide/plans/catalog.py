@@ -315,7 +315,7 @@ def control_in_scene(spark: SparkSession, d: str) -> DataFrame:
 o AS (SELECT mode, CASE WHEN mode = 'required_main' THEN CASE WHEN main THEN 'pass' ELSE 'miss' END WHEN mode = 'required_event' THEN CASE WHEN label THEN 'pass' ELSE 'miss' END ELSE CASE WHEN main THEN 'miss' ELSE 'pass' END END AS outcome FROM h)
 SELECT mode, count(*) AS controls, CAST(count_if(outcome = 'pass') AS BIGINT) AS passed, CAST(count_if(outcome = 'miss') AS BIGINT) AS missed FROM o GROUP BY 1""")
 def control_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Controls by mode that have a label, or a main one, within 5 s."""
+    """Controls by mode that have a label, or a main one, within 5 s."""
     g = _gold(spark, d).select("video_id", F.col("start_ms").alias("g_start"), F.col("start_ms").alias("g_end"), "attention")
     c = _controls(spark, d)
     hit = rangejoin.overlap_join(c.withColumn("at_end", F.col("at_ms")), g, ["video_id"], "at_ms", "at_end", "g_start", "g_end", pad=5_000)
@@ -588,7 +588,7 @@ def _numbered(c: DataFrame) -> DataFrame:
 
 @query("WITH " + EVENTS_SQL + """, r AS (SELECT video_id, event_id, CAST(row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, event_id DESC) AS INT) AS place FROM ev) SELECT * FROM r WHERE place <= 5""")
 def top_events(spark: SparkSession, d: str) -> DataFrame:
-    """The five events of the highest confidence in each video, later ones first among equals."""
+    """The five events of the highest confidence in each video, later ones first among equals."""
     w = Window.partitionBy("video_id").orderBy(F.desc("confidence"), F.desc("event_id"))
     return content_events(spark, d).select("video_id", "event_id", F.row_number().over(w).alias("place")).where("place <= 5")
 
@@ -596,7 +596,7 @@ def top_events(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH r AS (SELECT video_id, scene_id, scan_id, row_number() OVER (PARTITION BY video_id, scene_id ORDER BY scan_id DESC) AS k FROM (SELECT DISTINCT video_id, scene_id, scan_id FROM draft_scenes WHERE video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL))
 SELECT video_id, scene_id, scan_id FROM r WHERE k = 1""")
 def newest_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Of each scene id the newest scan."""
+    """Of each scene id the newest scan."""
     s = table(spark, d, "draft_scenes").where("video_id IS NOT NULL AND scene_id IS NOT NULL AND scan_id IS NOT NULL")
     return s.groupBy("video_id", "scene_id").agg(F.max("scan_id").alias("scan_id"))
 
@@ -664,7 +664,7 @@ def control_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH o AS (SELECT id, list_distinct(list_transform(categories, lambda c: CASE WHEN c IN ('alcohol_and_drugs', 'tobacco_and_nicotine') THEN 'substances' ELSE c END)) AS c FROM (SELECT DISTINCT id, categories FROM parental_quality_manual WHERE id IS NOT NULL AND categories IS NOT NULL))
 SELECT id, c AS category, CAST(pos AS INT) AS pos FROM (SELECT id, unnest(list_sort(c)) AS c, generate_subscripts(c, 1) AS pos FROM o)""")
 def requested_categories(spark: SparkSession, d: str) -> DataFrame:
-    """Categories of each case, old names mapped, once each, in order of name."""
+    """P5, U4: categories of each case, old names mapped, once each, in order of name."""
     p = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND categories IS NOT NULL").select("id", "categories").distinct()
     named = F.array_sort(F.array_distinct(F.transform("categories", lambda c: F.when(c.isin("alcohol_and_drugs", "tobacco_and_nicotine"), "substances").otherwise(c))))
     return p.select("id", F.posexplode(named).alias("p", "category")).select("id", "category", (F.col("p") + 1).alias("pos"))
@@ -688,7 +688,7 @@ def minimal_result_masked(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH m AS (SELECT item_id, min(job_id) AS job_id, min(created_at) AS made FROM transcript_chunks WHERE item_id IS NOT NULL GROUP BY 1),
 v AS (SELECT job_id, min(made) AS first_at, count(*) AS items FROM m GROUP BY 1) SELECT job_id, items, epoch_us(first_at) AS first_us, CAST(rank() OVER (ORDER BY items DESC) AS INT) AS place FROM v QUALIFY place <= 20""")
 def largest_jobs(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty jobs with the most distinct items, and when they began."""
+    """The twenty jobs with the most distinct items, and when they began."""
     m = table(spark, d, "transcript_chunks").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("job_id").alias("job_id"), F.min("created_at").alias("made"))
     v = m.groupBy("job_id").agg(F.min("made").alias("first_at"), F.count("*").alias("items"))
     # jobs that share the twentieth count have its place too: the counts are few, their jobs are not ranked in one task
@@ -744,7 +744,7 @@ c AS (SELECT video_id, pos, n, 2 + CASE WHEN regexp_matches(t, 'dragon|драк
 b AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, pos DESC) AS k FROM c)
 SELECT b.video_id, CAST(b.score AS INT) AS score, x.start_ms, y.end_ms FROM b JOIN num x ON x.video_id = b.video_id AND x.pos = greatest(0, b.pos - 9) JOIN num y ON y.video_id = b.video_id AND y.pos = least(b.n - 1, b.pos + 13) WHERE k = 1""")
 def risk_window(spark: SparkSession, d: str) -> DataFrame:
-    """The excerpt of nine captions before to thirteen after the cue of the highest score of a
+    """The excerpt of nine captions before to thirteen after the cue of the highest score of a
     video, the latest of equal ones."""
     top = _cues(spark, d).groupBy("video_id").agg(F.max_by(F.struct("score", "start_ms", "end_ms"), F.struct("score", "seg_idx")).alias("x"))
     return top.select("video_id", "x.*")
@@ -782,7 +782,7 @@ def event_ids(spark: SparkSession, d: str) -> DataFrame:
 f AS (SELECT video_id, arg_min(gold_id, (start_ms, gold_id)) AS gold_id, arg_min(attention, (start_ms, gold_id)) AS attention FROM gold GROUP BY 1)
 SELECT v.video_id, gold_id, coalesce(attention, 'none') AS attention FROM v LEFT JOIN f USING (video_id)""")
 def first_label(spark: SparkSession, d: str) -> DataFrame:
-    """Each video with its first label, or a default where there is none."""
+    """Each video with its first label, or a default where there is none."""
     v = table(spark, d, "videos").where("video_id IS NOT NULL").select("video_id").distinct()
     f = _gold(spark, d).groupBy("video_id").agg(F.min_by(F.struct("gold_id", "attention"), F.struct("start_ms", "gold_id")).alias("x"))
     return v.join(f, "video_id", "left").select("video_id", "x.gold_id", F.coalesce("x.attention", F.lit("none")).alias("attention"))
@@ -860,7 +860,7 @@ def control_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, CASE WHEN event_type = 'error' THEN 'provider_error' WHEN value < 1 THEN 'empty' ELSE 'ok' END AS status FROM events")
 def event_props(spark: SparkSession, d: str) -> DataFrame:
-    """The properties of events that may be logged, and the kind of outcome."""
+    """The properties of events that may be logged, and the kind of outcome."""
     allowed = F.map_filter(F.from_json("props", "map<string,int>"), lambda k, _: k.isin("k"))
     status = F.when(F.col("event_type") == "error", "provider_error").when(F.col("value") < 1, "empty").otherwise("ok")
     return table(spark, d, "events").select("event_id", F.try_element_at(allowed, F.lit("k")).alias("k"), status.alias("status"))
