@@ -436,9 +436,20 @@ def merge_scenes(spark: SparkSession, d: str) -> DataFrame:
     return scenes.merged_scenes(table(spark, d, "draft_scenes"))
 
 
-@query()
+@query("WITH RECURSIVE " + GOLD_SQL + ", " + SCENES_SQL + """, w AS (SELECT scan_id, video_id, scene_id, s, s - 5000 AS lo, e AS hi FROM sc),
+f AS (SELECT *, max(hi) OVER (PARTITION BY scan_id, video_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w),
+n AS (SELECT *, max(CASE WHEN r IS NULL OR lo > r THEN lo END) OVER (PARTITION BY scan_id, video_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS stretch FROM f),
+p AS (SELECT n.scan_id, n.video_id, n.stretch, g.start_ms, g.gold_id, list({'hi': n.hi, 'id': n.scene_id} ORDER BY n.hi, n.scene_id) AS options FROM n JOIN gold g ON g.video_id = n.video_id AND g.start_ms BETWEEN n.lo AND n.hi GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY scan_id, video_id, stretch ORDER BY start_ms, gold_id) AS k FROM p),
+r AS (SELECT scan_id, video_id, stretch, k, [options[1].id] AS used FROM o WHERE k = 1
+  UNION ALL SELECT scan_id, video_id, stretch, k, CASE WHEN len(free) = 0 THEN used ELSE list_append(used, free[1].id) END
+  FROM (SELECT o.scan_id, o.video_id, o.stretch, o.k, r.used, list_filter(o.options, lambda y: NOT list_contains(r.used, y.id)) AS free
+    FROM r JOIN o ON o.scan_id IS NOT DISTINCT FROM r.scan_id AND o.video_id = r.video_id AND o.stretch = r.stretch AND o.k = r.k + 1))
+SELECT scan_id, video_id, stretch, CAST(max(len(used)) AS INT) AS matched FROM r GROUP BY 1, 2, 3""")
 def max_matching(spark: SparkSession, d: str) -> DataFrame:
-    """The greatest number of pairs of scenes and labels that overlap, per scan and merged stretch."""
+    """The greatest number of pairs of scenes and labels that overlap, per scan and merged stretch. In
+    SQL: labels are points and scenes intervals here, so giving each label, in order, the free scene that
+    ends first is best; the operator needs no such order."""
     g = _gold(spark, d).select("video_id", "gold_id", F.col("start_ms").alias("g_start"), (F.col("start_ms") + 5_000).alias("g_end"))
     s = _scenes(spark, d)
     stretch = periods.periods_and_gaps(s.select("scan_id", "video_id", (F.col("s") - 5_000).alias("s"), "e"), ["scan_id", "video_id"], "s", "e").where("kind = 'period'")
