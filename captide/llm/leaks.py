@@ -13,12 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow.dataset as pads
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from captide.llm.flat import Tokens
 from captide.llm.words import words
-from captide.sources.shared import shared_folder
+from captide.sources.shared import settled, shared_folder
 
 #: Words of a fingerprinted window, and the greatest number of bits that two fingerprints of one passage differ by.
 WINDOW, RADIUS = 8, 7
@@ -219,14 +219,9 @@ def _held(key: tuple, build: Callable[[], Index]) -> tuple[Index, Tokens]:
     return _HELD[key]
 
 
-def _words(items: DataFrame) -> DataFrame:
-    """(i, w): the words of each item, once each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(i, w) for i, t in zip(b["i"], b["t"]) for w in {w for x in t.split() for w in token_words(x)}], columns=["i", "w"])
-
-    return items.mapInPandas(run, f"i {items.schema['i'].dataType.simpleString()}, w string").distinct()
+def _form(texts: pd.Series) -> pd.Series:
+    """The folded words of each text."""
+    return texts.map(lambda t: " ".join(w for x in t.split() for w in token_words(x)))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -249,19 +244,18 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     else:
         # the blocks lie in the shared folder, each with how many items have its words
         at = f"{shared_folder(documents.sparkSession)}/items-{uuid.uuid4().hex}"
-        block = F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int").alias("b")
-        words_of = _words(own.select(F.min("i").over(Window.partitionBy("t")).alias("i"), "t").distinct())
-        own.select(block, "i", "t").repartition("b").write.partitionBy("b").parquet(f"{at}/items")
-        spread = _words(own.select(block.alias("i"), "t")).select(F.col("i").alias("b"), "w").distinct().join(words_of.groupBy("w").agg(F.count("*").alias("n")), "w")
-        spread.repartition("b").write.partitionBy("b").parquet(f"{at}/spread")
-        total = own.select("t").distinct().count()
+        formed = settled(own.withColumn("f", F.pandas_udf(_form, "string")("t")).withColumn("b", F.pmod(F.xxhash64("f"), F.lit(blocks)).cast("int")))
+        words_of = lambda df, *c: df.select(*c, F.explode(F.array_distinct(F.split("f", " "))).alias("w"))
+        spread = words_of(formed.select("f").distinct()).groupBy("w").agg(F.count("*").alias("n"))
+        formed.select("b", "i", "t").repartition("b").write.partitionBy("b").parquet(f"{at}/items")
+        words_of(formed, "b").distinct().join(spread, "w").repartition("b").write.partitionBy("b").parquet(f"{at}/spread")
+        total = formed.where("f != ''").select("f").distinct().count()
+        present = {r[0] for r in formed.select("b").distinct().collect()}  # at most as many as blocks
 
         def index_of(b: int) -> Index:
             part, n = (pads.dataset(f"{at.removeprefix('file://')}/{x}/b={b}").to_table().to_pydict() if b in present else {"i": [], "t": [], "w": [], "n": []} for x in ("items", "spread"))
             return Index(sorted(zip(part["i"], part["t"])), dict(zip(n["w"], n["n"])), total)
 
-        present = {r[0] for r in own.select(block).distinct().collect()}
-
     call = uuid.uuid4().hex
 
     def rounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -54,6 +54,7 @@ def test_blocks_of_items_long_text_and_report(spark, corpus, monkeypatch):
     long_text = " ".join(noise() for _ in range(800)) + " " + items[3][1] + " " + " ".join(noise() for _ in range(800))
     docs = spark.createDataFrame([(1, long_text, "x"), (2, items[3][1], "x")], DOC)
     i = spark.createDataFrame(items, ITEM)
+    monkeypatch.setattr(leaks, "ROUND_CHARACTERS", 10_000)
     found = leaks.leaked_items(docs, i)
     assert sorted(map(tuple, found.collect())) == [(1, 3), (2, 3)]
     report = {x.item_id: x.documents for x in leaks.leak_report(found, docs, i).collect()}
