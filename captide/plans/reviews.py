@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from captide.functions import numbers
 from captide.operators import blocks, rangejoin, scenes
-from captide.plans.catalog import CONTROLS_SQL, GOLD_SQL, SCENES_SQL, _controls, _cues, _gold, _scenes, query
+from captide.plans.catalog import CONTROLS_SQL, GOLD_SQL, SCENES_SQL, SQL, _controls, _cues, _gold, _scenes, max_matching, query
 from captide.sources import captionjson
 from captide.sources.tables import table
 from captide.sources.views import CAPTIONS_SQL, EVENTS_SQL, SEGMENTS_SQL, content_events, segments
@@ -137,3 +138,23 @@ def run_stability(spark: SparkSession, d: str) -> DataFrame:
     likeness = F.size(F.array_intersect("c", "f")) / F.size(F.array_union("c", "f"))
     mean = lambda x, name: (F.floor(F.avg(x) * 10000 + 0.5) / 10000).alias(name)
     return sets.join(first, "video_id").where("scan_id != scan").groupBy("video_id").agg(F.count("*").alias("runs"), mean((F.col("c") == F.col("f")).cast("double"), "equal_share"), mean(likeness, "mean_jaccard"))
+
+
+@query("WITH " + GOLD_SQL + ", " + SCENES_SQL + ", mm AS (" + SQL["max_matching"] + """),
+v AS (SELECT DISTINCT scan_id, video_id FROM sc WHERE scan_id IS NOT NULL AND video_id IN (SELECT video_id FROM gold)),
+p AS (SELECT scan_id, count(DISTINCT (video_id, scene_id)) AS scenes FROM sc JOIN v USING (scan_id, video_id) GROUP BY 1),
+g AS (SELECT scan_id, count(DISTINCT (video_id, gold_id)) AS labels FROM gold JOIN v USING (video_id) GROUP BY 1),
+m AS (SELECT scan_id, CAST(sum(matched) AS BIGINT) AS matched FROM mm GROUP BY 1)
+SELECT scan_id, scenes, labels, coalesce(matched, 0) AS matched, floor(coalesce(matched, 0) * 1.0 / scenes * 10000 + 0.5) / 10000 AS precision, floor(coalesce(matched, 0) * 1.0 / labels * 10000 + 0.5) / 10000 AS recall
+FROM p JOIN g USING (scan_id) LEFT JOIN m USING (scan_id)""")
+def matched_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of each scan's scenes against the labels, over the videos that have both, by
+    the greatest matching of the two."""
+    s = _scenes(spark, d).where("scan_id IS NOT NULL").select("scan_id", "video_id", "scene_id").distinct()
+    g = _gold(spark, d).select("video_id", "gold_id").distinct()
+    s = s.join(g.select("video_id").distinct(), "video_id", "left_semi")
+    n = lambda df, name: df.groupBy("scan_id").agg(F.count("*").alias(name))
+    matched = max_matching(spark, d).groupBy("scan_id").agg(F.sum("matched").alias("matched"))
+    j = n(s, "scenes").join(n(s.select("scan_id", "video_id").distinct().join(g, "video_id"), "labels"), "scan_id").join(matched, "scan_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    share = lambda of: numbers.round_half_up(F.col("matched") / F.col(of), 4)
+    return j.select("scan_id", "scenes", "labels", "matched", share("scenes").alias("precision"), share("labels").alias("recall"))
