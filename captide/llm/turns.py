@@ -304,17 +304,23 @@ def parsed(segments: DataFrame, videos: DataFrame, speakers: DataFrame, texts: b
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grammar = Grammar()
+        grammar, plain = Grammar(), (None, None, None, False, "", "+")
         for b in batches:
             ids, seg, start, end = b["video_id"].to_numpy(), b["seg_idx"].to_numpy(), b["start_ms"].to_numpy(), b["end_ms"].to_numpy()
-            pick, number, parts = [], [], []
+            pick, number, rows = [], [], []
             for i, text in enumerate(b["text"].tolist()):
-                for k, p in enumerate(parts_of(grammar, text)):
+                if not texts and not _SPECIAL.search(text):  # only whether it has a word
+                    if any(m[0].casefold() not in FILLERS for m in _WORD.finditer(text)):
+                        pick.append(i)
+                        number.append(0)
+                        rows.append(plain)
+                    continue
+                for k, (label, two, one, lead, said, words) in enumerate(parts_of(grammar, text)):
                     pick.append(i)
                     number.append(k)
-                    label = f"m:{seg[i]}:{k}" if p.label == "m:" else p.label
-                    parts.append(p._replace(label=label) if texts else p._replace(label=label, said=p.said and "+", words=p.words and "+"))
-            columns = dict(zip(Part._fields, zip(*parts))) if parts else {c: [] for c in Part._fields}
+                    label = f"m:{seg[i]}:{k}" if label == "m:" else label
+                    rows.append((label, two, one, lead, said, words) if texts else (label, two, one, lead, said and "+", words and "+"))
+            columns = dict(zip(Part._fields, zip(*rows))) if rows else {c: [] for c in Part._fields}
             yield pd.DataFrame({"video_id": ids[pick], "seg_idx": seg[pick], "part": number, **columns, "start_ms": start[pick], "end_ms": end[pick]})
 
     valid = F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & (F.col("end_ms") >= F.col("start_ms"))
