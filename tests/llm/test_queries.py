@@ -15,7 +15,7 @@ COLUMNS = {
 def test_runs_with_the_columns_asked_for(spark, name):
     df = queries.queries()[name](spark, f"{DATA}/sf0.001")
     rows = df.count()
-    assert rows > 0 or name in ("p3_found",)
+    assert rows > 0 or name in ("p3_found", "p7_found")  # two documents are flagged here, of no word in common
     if name in COLUMNS:
         assert df.dtypes == COLUMNS[name]
         if name != "p8_ids":
