@@ -35,7 +35,7 @@ FIT_DOCUMENTS, FIT_CHARACTERS, FIT_TEXT = 6_000, 50_000_000, 1_000_000
 TELLING_TEXTS, TELLING_RATIO = 2, 3.0
 #: A text is reported if its worst window's score exceeds this share of the score of a window without
 #: telling terms (which is negative; a probability of one half is 0).
-THRESHOLD_SHARE = 0.3
+THRESHOLD_SHARE = 0.6
 
 # Signs that stand for letters.
 LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e", "!": "i", "|": "i"}
