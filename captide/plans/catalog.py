@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captide.functions import grounding, numbers, text
-from captide.operators import blocks, captions, periods, rangejoin, reports, scenes, speech
+from captide.operators import anchors, blocks, captions, periods, rangejoin, reports, scenes, speech
 from captide.sources import captionjson
 from captide.sources.tables import table
-from captide.sources.views import CAPTIONS_SQL, CATEGORIES, EVENTS_SQL, SEGMENTS_SQL, content_events, segments
+from captide.sources.views import CAPTIONS_SQL, CATEGORIES, EVENTS_SQL, SEGMENTS_SQL, content_events, segment_rows, segments
 from captide.sources.views import captions as clean_captions
 from captide.streaming import windows
 
@@ -376,12 +376,12 @@ r AS (SELECT id, seg_idx, CAST(hits AS BIGINT) AS hits, n, row_number() OVER (PA
 SELECT id, seg_idx, floor(hits * 1.0 / n * 10000 + 0.5) / 10000 AS containment FROM r WHERE k = 1""")
 def anchor_containment(spark: SparkSession, d: str) -> DataFrame:
     """The segment of its video that holds most of an anchor's words, and their share."""
-    a = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND anchor IS NOT NULL").select("id", F.col("source_video").alias("video_id"), F.explode(F.array_distinct(text.words(F.col("anchor")))).alias("w")).distinct()
-    n = a.groupBy("id").agg(F.count("*").alias("n"))
-    s = segments(spark, d).join(a.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "seg_idx", F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
-    h = a.join(s, ["video_id", "w"]).groupBy("id", "seg_idx").agg(F.count("*").alias("hits"))
-    best = h.groupBy("id").agg(F.max_by(F.struct("seg_idx", "hits"), F.struct("hits", -F.col("seg_idx"))).alias("x"))
-    return best.join(n, "id").select("id", "x.seg_idx", numbers.round_half_up(F.col("x.hits") / F.col("n"), 4).alias("containment"))
+    best = anchors.best_segment(segment_rows(spark, d), _anchors(spark, d))
+    return best.select("id", "seg_idx", numbers.round_half_up(F.col("hits") / F.col("n"), 4).alias("containment"))
+
+
+def _anchors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND anchor IS NOT NULL").select("id", F.col("source_video").alias("video_id"), "anchor")
 
 
 # -- choosing, merging, packing ----------------------------------------------------------------

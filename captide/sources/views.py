@@ -14,10 +14,14 @@ CATEGORIES = (
 )
 
 
+def segment_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the segments with a text and possible times, repeated ones too."""
+    return table(spark, d, "transcript_segments").where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL AND start_ms >= 0 AND end_ms >= start_ms")
+
+
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """(video_id, seg_idx, text, start_ms, end_ms) of the segments with a text and possible times, once each."""
-    s = table(spark, d, "transcript_segments").where("video_id IS NOT NULL AND seg_idx IS NOT NULL AND text IS NOT NULL AND start_ms >= 0 AND end_ms >= start_ms")
-    return s.groupBy("video_id", "seg_idx").agg(F.min("text").alias("text"), F.min("start_ms").alias("start_ms"), F.min("end_ms").alias("end_ms"))
+    return segment_rows(spark, d).groupBy("video_id", "seg_idx").agg(F.min("text").alias("text"), F.min("start_ms").alias("start_ms"), F.min("end_ms").alias("end_ms"))
 
 
 SEGMENTS_SQL = """seg AS (SELECT video_id, seg_idx, min(text) AS text, min(start_ms) AS start_ms, min(end_ms) AS end_ms FROM transcript_segments
