@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from captide.functions import text
-from captide.operators.blocks import block_of
+from captide.operators.blocks import block_of, with_margins
 
 WIDTH = 65_536
 REACH = 6
@@ -128,3 +128,68 @@ def best_segment(segments: DataFrame, anchors: DataFrame) -> DataFrame:
     found = _visited(_pairs(segments, anchors, blocks), visit, "id string, seg_idx int, hits long, n long")
     h = found.groupBy("id", "seg_idx").agg(F.sum("hits").alias("hits"), F.max("n").alias("n"))
     return h.groupBy("id").agg(F.max_by(F.struct("seg_idx", "hits", "n"), F.struct("hits", -F.col("seg_idx"))).alias("x")).select("id", "x.*")
+
+
+def _stretch(rows: np.ndarray, which: np.ndarray, size: int, n: int, least: float) -> tuple[int, int] | None:
+    """Of the stretches of one to REACH segments in a block that hold ``least`` of the ``n`` words the one with most,
+    the shortest, then the first: where it begins and how long it is. ``rows`` as of ``_Block.places``."""
+    count = np.bincount(rows, minlength=size + REACH)
+    upto = np.append(0, np.cumsum(count))
+    at_most = upto[REACH : REACH + size] - upto[:size]  # a word counts as often as it occurs
+    p = np.flatnonzero((count[:size] > 0) & (at_most / n >= least))
+    if not len(p):
+        return None
+    before = np.append(-REACH, rows[:-1])  # where the word was last
+    before[1:][which[1:] != which[:-1]] = -REACH
+    edge = np.zeros(size + REACH + 1, np.int64)
+    edge[p] += 1
+    edge[p + REACH] -= 1
+    near = np.cumsum(edge)[rows] > 0
+    r, before = rows[near], before[near]
+    number = np.full(size, -1)
+    number[p] = np.arange(len(p))
+    hits = np.zeros((REACH, len(p)), np.int64)
+    for d in range(REACH):  # words that come up for the first time d segments after the beginning
+        begin = number[(r - d)[(r - d > before) & (r >= d)]]
+        hits[d] = np.bincount(begin[begin >= 0], minlength=len(p))
+    hits = np.cumsum(hits, axis=0)
+    best = hits[-1].max()
+    if best / n < least:
+        return None
+    k = int(np.argmax(hits.max(axis=1) == best))
+    return int(p[np.argmax(hits[k] == best)]), k + 1
+
+
+def best_stretch(segments: DataFrame, anchors: DataFrame, least: float) -> DataFrame:
+    """(id, first, span, hits, n) of the stretch of one to REACH segments that holds most of an anchor's ``n`` words,
+    the shortest, then the first one, if it holds ``least`` of them. ``first`` is a place among the segments of the
+    video. Of an id with anchors in several videos, segments of one place count together."""
+
+    def visit(block: _Block, anchor: dict, rows: np.ndarray, which: np.ndarray, words: pa.ListScalar) -> Iterator[tuple]:
+        """The segments of the block's best stretch, and those that a stretch across the block's ends may hold."""
+        size, keep = len(block.seg_idx), np.full(len(rows), anchor["several"])
+        if not anchor["several"]:
+            if found := _stretch(rows, which, size, anchor["n"], least):
+                keep |= (rows >= found[0]) & (rows < sum(found))
+            if anchor["base"]:
+                keep |= rows < REACH - 1
+            if anchor["more"]:
+                keep |= rows > size - REACH
+        if keep.any():
+            said, held = words.as_py(), {}
+            for r, w in zip(rows[keep].tolist(), which[keep].tolist()):
+                held.setdefault(r, []).append(said[w])
+            for r, ws in held.items():
+                yield anchor["id"], anchor["base"] + r, ws, anchor["n"]
+
+    order = Window.partitionBy("video_id").orderBy("_b")
+    sizes = segments.select("video_id", block_of("seg_idx", WIDTH).alias("_b"), "seg_idx").distinct().groupBy("video_id", "_b").agg(F.count("*").alias("_n"))
+    base = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.select("video_id", "_b", base.alias("base"), F.lead("_n").over(order).isNotNull().alias("more"))
+    h = _visited(_pairs(segments, anchors, blocks), visit, "id string, pos long, ws array<string>, n long")
+    near = Window.partitionBy("id", "_b").orderBy("pos").rangeBetween(0, REACH - 1)
+    spans = with_margins(h, "pos", REACH).withColumn("l", F.collect_list(F.struct("pos", "ws")).over(near)).where("_own")
+    hits = lambda k: F.size(F.array_distinct(F.flatten(F.transform(F.filter("l", lambda x: x["pos"] < F.col("pos") + k), lambda x: x["ws"]))))
+    options = F.array(*(F.struct(hits(k).alias("hits"), F.lit(-k).alias("less"), (-F.col("pos")).alias("early")) for k in range(1, REACH + 1)))
+    best = spans.groupBy("id").agg(F.max(F.array_max(options)).alias("x"), F.max("n").alias("n")).where(F.col("x.hits") / F.col("n") >= least)
+    return best.select("id", (-F.col("x.early")).alias("first"), (-F.col("x.less")).alias("span"), "x.hits", "n")

@@ -723,17 +723,8 @@ SELECT id, CAST(first AS BIGINT) AS first, CAST(span AS INT) AS span, floor(hits
 def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
     """The stretch of one to six captions that holds most of an anchor's words, the shortest, then
     the first one, if it holds six tenths. Only captions that share a word are looked at."""
-    a = table(spark, d, "parental_quality_manual").where("id IS NOT NULL AND anchor IS NOT NULL").select("id", F.col("source_video").alias("video_id"), F.explode(F.array_distinct(text.words(F.col("anchor")))).alias("w")).distinct()
-    n = a.groupBy("id").agg(F.count("*").alias("n"))
-    s = _numbered(segments(spark, d)).join(a.select("video_id").distinct(), "video_id", "left_semi").select("video_id", "pos", F.explode(F.array_distinct(text.words(F.col("text")))).alias("w"))
-    h = a.join(s, ["video_id", "w"]).groupBy("id", "pos").agg(F.collect_set("w").alias("ws"))
-    near = Window.partitionBy("id", "_b").orderBy("pos").rangeBetween(0, 5)
-    spans = blocks.with_margins(h, "pos", 6).withColumn("l", F.collect_list(F.struct("pos", "ws")).over(near)).where("_own")
-    hits = lambda k: F.size(F.array_distinct(F.flatten(F.transform(F.filter("l", lambda x: x["pos"] < F.col("pos") + k), lambda x: x["ws"]))))
-    options = F.array(*(F.struct(hits(k).alias("hits"), F.lit(-k).alias("less"), (-F.col("pos")).alias("early")) for k in range(1, 7)))
-    best = spans.groupBy("id").agg(F.max(F.array_max(options)).alias("x")).join(n, "id")
-    share = F.col("x.hits") / F.col("n")
-    return best.where(share >= 0.6).select("id", (-F.col("x.early")).cast("bigint").alias("first"), (-F.col("x.less")).alias("span"), numbers.round_half_up(share, 4).alias("score"))
+    best = anchors.best_stretch(segment_rows(spark, d), _anchors(spark, d), 0.6)
+    return best.select("id", F.col("first").cast("bigint").alias("first"), "span", numbers.round_half_up(F.col("hits") / F.col("n"), 4).alias("score"))
 
 
 @query("WITH " + SEGMENTS_SQL + ", " + GOLD_SQL + """, num AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) - 1 AS pos FROM seg),

@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from captide.operators import anchors
@@ -65,3 +66,28 @@ def test_anchor_containment_writes_no_pairs(spark, one_video):
     df = catalog.queries()["anchor_containment"](spark, one_video)
     assert shuffled(spark, df) < 15_000  # of 450,000 pairs
     assert canonical(df.toPandas()) == by_sql(one_video, "anchor_containment")
+
+
+@pytest.mark.parametrize("width", [2, 3, 7, 40, anchors.WIDTH])
+def test_anchor_spans_equals_sql_on_odd_rows(spark, tmp_path, monkeypatch, width):
+    monkeypatch.setattr(anchors, "WIDTH", width)
+    d = written(spark, tmp_path, *odd(100 + width))
+    assert canonical(catalog.queries()["anchor_spans"](spark, d).toPandas()) == by_sql(d, "anchor_spans")
+
+
+def test_anchor_spans_writes_no_pairs(spark, one_video):
+    df = catalog.queries()["anchor_spans"](spark, one_video)
+    assert shuffled(spark, df) < 15_000  # of 450,000 pairs
+    assert canonical(df.toPandas()) == by_sql(one_video, "anchor_spans")
+
+
+def test_best_stretch_of_a_block_equals_brute_force():
+    r = random.Random(5)
+    for _ in range(2000):
+        size, n = r.randint(1, 14), r.randint(1, 6)
+        held = [sorted(r.sample(range(size), r.randint(1, size if r.random() < 0.2 else min(3, size)))) for _ in range(n)]
+        rows, which = np.array([x for xs in held for x in xs]), np.array([w for w, xs in enumerate(held) for _ in xs])
+        total = n + r.randint(0, 3)
+        hits = lambda p, k: sum(any(p <= x < p + k for x in xs) for xs in held)
+        most, less, early = max((hits(p, k), -k, -p) for p in set(rows.tolist()) for k in range(1, anchors.REACH + 1))
+        assert anchors._stretch(rows, which, size, total, 0.6) == ((-early, -less) if most / total >= 0.6 else None)
